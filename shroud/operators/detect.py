@@ -12,6 +12,7 @@ built-in patterns by category order, custom keywords, the entropy catch-all
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -92,12 +93,24 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
     return df
 
 
+def barrier(df: DataFrame, findings: str) -> DataFrame:
+    """Publish the total finding count as an observed metric.
+
+    The metric node also stops the optimizer from pushing later filters (for
+    example the ``size(...) > 0`` it infers for ``inline``) below it by
+    substituting the staged detection expressions into the predicate, which
+    would evaluate the whole detection twice.
+    """
+    name = f"shroud_findings_{uuid.uuid4().hex[:10]}"
+    return df.observe(name, F.sum(F.size(F.col(findings))).alias("n_findings"))
+
+
 def find(df: DataFrame, text: str = "text", policy: P.Policy | None = None, out: str = "findings",
          dotenv: Column | bool = False, key: str | None = None, custom: Sequence = ()) -> DataFrame:
     """Add ``out``: resolved, ascending, non-overlapping findings per row."""
     policy = policy or P.Policy()
     df = with_raw_findings(df, text, policy, "__raw", dotenv=dotenv, key=key, custom=custom)
-    return with_resolved(df, "__raw", out).drop("__raw")
+    return barrier(with_resolved(df, "__raw", out).drop("__raw"), out)
 
 
 def scan_pattern(df: DataFrame, text: str, spec: C.PatternSpec, out: str = "spans",
@@ -106,4 +119,4 @@ def scan_pattern(df: DataFrame, text: str, spec: C.PatternSpec, out: str = "span
     df = with_spans(df, text, [Scan(out, spec.regex, spec.grouped, spec.gate(ident(text)))])
     if validate and spec.validator == "luhn":
         df = add(df, {out: f"filter({out}, s -> {luhn_valid('s.value')})"})
-    return df
+    return barrier(df, out)
