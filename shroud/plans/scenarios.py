@@ -1,12 +1,117 @@
-"""Multi-step queries: vault round trips and streaming (filled in below)."""
+"""Multi-step queries: vault round trips and streaming runs over the corpus."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import policy as P
+from ..operators import vault as V
+from ..operators.report import with_report
+from ..session import scratch_path
+from ..sources.tables import read_table, read_texts
+from ..streaming import stream as S
+from . import oracles as O
+
+PASSPHRASE = "correct horse battery staple"
+EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z, start of the derived event clock
+SECONDS_PER_DOC = 7
+
+
+def _locked(spark: SparkSession, sf: str):
+    vault = V.new_scratch_vault(spark, PASSPHRASE)
+    res = V.lock(read_texts(spark, sf, "documents"), vault, "doc_id", "text", P.Policy())
+    return vault, res
+
+
+def lock_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Lock every document into a fresh vault: ``(doc_id, locked_text, n_replaced)``."""
+    _vault, res = _locked(spark, sf)
+    return res.locked
+
+
+def vault_status_after_lock(spark: SparkSession, sf: str) -> DataFrame:
+    vault, _res = _locked(spark, sf)
+    return vault.status().select("n_entries", "max_token")
+
+
+def unlock_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Lock, reload the vault from storage, unlock: ``(doc_id, unlocked_text, n_restored)``."""
+    vault, res = _locked(spark, sf)
+    path = scratch_path(spark, "locked")
+    res.locked.write.parquet(path)
+    reloaded = V.Vault.load(spark, vault.path).open(PASSPHRASE)
+    locked = spark.read.parquet(path).select("doc_id", F.col("locked_text").alias("text"))
+    return V.unlock(locked, reloaded, "doc_id", "text")
 
-def oracles() -> dict:
-    return {}
 
+def lock_unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: spans locked, tokens restored, and whether text round-trips."""
+    vault, res = _locked(spark, sf)
+    path = scratch_path(spark, "locked")
+    res.locked.write.parquet(path)
+    locked = spark.read.parquet(path)
+    un = V.unlock(locked.select("doc_id", F.col("locked_text").alias("text")), vault, "doc_id", "text")
+    orig = read_table(spark, sf, "documents").select("doc_id", "text")
+    j = un.join(locked.select("doc_id", "n_replaced"), "doc_id").join(orig, "doc_id")
+    return j.select("doc_id", "n_replaced", "n_restored",
+                    F.coalesce(F.col("unlocked_text") == F.col("text"), F.lit(True)).alias("roundtrip_ok"))
 
-def _todo(spark, sf):
-    raise NotImplementedError
 
+def _doc_stream(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
+    schema = read_table(spark, sf, table).schema
+    return S.read_stream(spark, sf, schema, max_files_per_trigger=1, glob=f"{table}.parquet")
 
-lock_unlock_roundtrip = unlock_documents = stream_mask = stream_window_report = stream_dedup_conversations = _todo
+
+def stream_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """File stream of documents masked with availableNow into a parquet sink."""
+    out = S.mask_stream(_doc_stream(spark, sf).select("doc_id", "text"), "text", P.Policy(), keep=("doc_id",))
+    sink, ck = scratch_path(spark, "stream-mask"), scratch_path(spark, "stream-mask-ck")
+    S.run_available(out, sink, ck)
+    return spark.read.parquet(sink).select("doc_id", "masked_text", "n_findings")
+
+
+def stream_window_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings per 10-minute event-time window (derived clock) and category."""
+    from ..operators.detect import find
+
+    src = _doc_stream(spark, sf).select(
+        "doc_id", "text", F.timestamp_seconds(F.lit(EPOCH0) + F.col("doc_id") * SECONDS_PER_DOC).alias("ts"))
+    rep = S.window_report(find(src, "text", P.Policy()), "ts", "10 minutes", "1 hour")
+    sink, ck = scratch_path(spark, "stream-win"), scratch_path(spark, "stream-win-ck")
+    S.run_updates(rep, sink, ck)
+    out = S.latest_updates(spark, sink, ("window_start", "category"))
+    return out.select(F.unix_timestamp("window_start").alias("window_start_epoch"), "category", "n_findings")
+
+
+def stream_dedup_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns whose text differs from the previous turn, masked."""
+    src = _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text")
+    changed = S.drop_repeats(src, "conv_id", "turn", "text")
+    out = S.mask_stream(changed, "text", P.Policy(), keep=("conv_id", "turn"))
+    sink, ck = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ck")
+    S.run_available(out, sink, ck)
+    return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
+
+
+def dedup_conversations_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch form: equi-join each turn with its predecessor."""
+    from ..operators.mask import mask
+
+    df = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    changed = S.drop_repeats_batch(df, "conv_id", "turn", "text")
+    out = mask(changed, "text", P.Policy())
+    return out.select("conv_id", "turn", "masked_text", F.size("findings").cast("long").alias("n_findings"))
+
+
+def oracles() -> dict:
+    return {
+        "lock_documents": O.lock_sql(),
+        "vault_status_after_lock": O.vault_status_sql(),
+        "unlock_documents": O.unlock_sql(),
+        "lock_unlock_roundtrip": O.roundtrip_sql(),
+        "stream_mask": O.mask_sql("documents", ("doc_id",), "text", P.Policy()),
+        "stream_window_report": O.window_report_sql(EPOCH0, SECONDS_PER_DOC),
+        "stream_dedup_conversations": O.dedup_sql(),
+        "dedup_conversations_batch": O.dedup_sql(),
+    }
