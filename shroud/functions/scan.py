@@ -25,6 +25,7 @@ referenced an unmaterialised array expression would re-evaluate it per element.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Optional, Sequence
 
@@ -50,6 +51,7 @@ class Scan:
     grouped: bool = False
     gate: Optional[str] = None
     parts_out: Optional[str] = None
+    dense: bool = False  # many matches per row expected (e.g. every word)
 
 
 def sentinel_sql(text: str) -> str:
@@ -67,28 +69,49 @@ def with_sentinel(df: DataFrame, text: str) -> tuple[DataFrame, bool]:
 _SUM = "0, (a, x) -> a + x"
 
 
-def with_prefix_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+# Arrays up to this size get their prefix sums from Catalyst expressions; longer
+# ones (word scans, long line lists) from one vectorised numpy pass.
+PYTHON_PREFIX_ABOVE = 128
+
+
+def with_prefix_sums(df: DataFrame, pairs: Sequence[tuple], dense: bool | Sequence[bool] = False) -> DataFrame:
     """Exclusive prefix sums of int-array columns; ``pairs`` = [(lengths, out)].
 
     Spark's higher-order functions have no scan, and folding into an array
-    accumulator copies it at every step (O(n^2)). Blocks of ~sqrt(n) elements
-    give O(n^1.5) with no accumulator copies; each stage is one projection for
-    all arrays, and every lambda reads materialised arrays only.
+    accumulator copies it at every step (O(n^2)). Short arrays use blocks of
+    ~sqrt(n) elements (O(n^1.5), no accumulator copies, all in Catalyst; each
+    stage is one projection for all arrays and every lambda reads materialised
+    arrays only). For *dense* arrays (``dense`` per pair), those longer than
+    :data:`PYTHON_PREFIX_ABOVE` go to a pandas UDF that only sees those int
+    arrays (null for every other row); sparse scans (detectors, where matches
+    are rare) stay entirely in Catalyst so their stage keeps no Python step.
     """
+    from pyspark.sql import functions as F
+
+    flags = [dense] * len(pairs) if isinstance(dense, bool) else list(dense)
     stage_b, stage_bs, stage_st, stage_out, tmp = {}, {}, {}, {}, []
-    for src, dst in pairs:
+    big = {}
+    for (src, dst), is_dense in zip(pairs, flags):
         ln, b, bs, st = ident(src), f"{dst}__b", f"{dst}__bs", f"{dst}__st"
-        tmp += [b, bs, st]
+        tmp += [b, bs, st] + ([f"{dst}__py"] if is_dense else [])
         n = f"coalesce(size({ln}), 0)"
+        small = f"({n} <= {PYTHON_PREFIX_ABOVE})" if is_dense else "true"
         stage_b[b] = f"greatest(1, CAST(ceil(sqrt(greatest({n}, 0))) AS INT))"
-        stage_bs[bs] = (f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} ELSE "
+        stage_bs[bs] = (f"CASE WHEN {n} <= 0 OR NOT {small} THEN {empty('ARRAY<INT>')} ELSE "
                         f"transform(sequence(0, CAST(ceil({n} / {b}) AS INT) - 1), "
                         f"j -> aggregate(slice({ln}, j * {b} + 1, {b}), {_SUM})) END")
         stage_st[st] = f"transform({bs}, (x, j) -> aggregate(slice({bs}, 1, j), {_SUM}))"
         blk = f"CAST(k div {b} AS INT)"
-        stage_out[dst] = (f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} ELSE "
+        py = f"WHEN NOT {small} THEN {dst}__py " if is_dense else ""
+        stage_out[dst] = (f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} {py}ELSE "
                           f"transform({ln}, (x, k) -> {st}[{blk}] + "
                           f"aggregate(slice({ln}, {blk} * {b} + 1, k - {blk} * {b}), {_SUM})) END")
+        if is_dense:
+            big[f"{dst}__py"] = F.expr(f"CASE WHEN NOT {small} THEN {ln} END")
+    if big:
+        from .vectorized import exclusive_cumsum
+
+        df = df.withColumns({k: exclusive_cumsum(v) for k, v in big.items()})
     df = add(df, stage_b)
     df = add(df, stage_bs)
     df = add(df, stage_st)
@@ -138,7 +161,7 @@ def with_spans(df: DataFrame, text: str, scans: Sequence[Scan]) -> DataFrame:
     df = add(df, stage1)
     df = add(df, stage2).drop(*drop1)
     df = add(df, stage3)
-    df = with_prefix_sums(df, [(f"__ln{i}", f"__ps{i}") for i in range(len(scans))])
+    df = with_prefix_sums(df, [(f"__ln{i}", f"__ps{i}") for i in range(len(scans))], [s.dense for s in scans])
     df = add(df, stage4)
     kept = {f"__pt{i}": s.parts_out for i, s in enumerate(scans) if s.parts_out}
     if kept:
@@ -147,4 +170,82 @@ def with_spans(df: DataFrame, text: str, scans: Sequence[Scan]) -> DataFrame:
     df = df.drop(*tmp)
     if own:
         df = df.drop(SENTINEL_COL)
-    return df
+    return metric_barrier(df, [s.out for s in scans])
+
+
+def metric_barrier(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
+    """Observe the total size of ``arrays`` (published as a query metric).
+
+    The metric node also keeps the optimizer from pushing later filters (such
+    as the ``size(x) > 0`` it infers for ``explode``/``inline``) below it by
+    substituting the staged expressions into the predicate, which would
+    evaluate the scan again inside the filter.
+    """
+    from pyspark.sql import functions as F
+
+    name = f"shroud_spans_{uuid.uuid4().hex[:10]}"
+    total = None
+    for a in arrays:
+        term = F.coalesce(F.size(F.col(a)), F.lit(0))
+        total = term if total is None else total + term
+    return df.observe(name, F.sum(total).alias("n_spans"))
+
+
+TAGGED_T = "ARRAY<STRUCT<id: INT, start: INT, `end`: INT, value: STRING>>"
+
+
+def with_tagged_spans(df: DataFrame, text: str, scans: Sequence[Scan], out: str) -> DataFrame:
+    """All ``scans`` at once into one column ``out``: ``array<(id, start, end, value)>``.
+
+    ``id`` is the scan's index. Only scans whose gate passes for a row enter
+    the per-row work array, so every later stage is a single lambda over a
+    usually empty array, however many scans there are.
+    """
+    t = ident(text)
+    df, own = with_sentinel(df, text)
+    sx = SENTINEL_COL
+    live, slow = [], []
+    for i, s in enumerate(scans):
+        rx = q(s.regex)
+        gate = s.gate or "true"
+        repl = f"concat('$1', {sx}, '$2', {sx}, '$3')" if s.grouped else f"concat({sx}, '$0', {sx})"
+        live.append(f"named_struct('id', {i}, 'm', CASE WHEN {gate} THEN regexp_replace({t}, {rx}, {repl}) END)")
+        grp = (f"regexp_extract_all({t}, {rx}, 1)", f"regexp_extract_all({t}, {rx}, 3)") if s.grouped else \
+            ("CAST(NULL AS ARRAY<STRING>)", "CAST(NULL AS ARRAY<STRING>)")
+        slow.append(f"named_struct('id', {i}, 'g', CASE WHEN {gate} THEN split({t}, {rx}, -1) END, "
+                    f"'v', CASE WHEN {gate} THEN regexp_extract_all({t}, {rx}, {2 if s.grouped else 0}) END, "
+                    f"'p', {grp[0]}, 's', {grp[1]})")
+    df = add(df, {
+        "__tk": f"CASE WHEN {t} IS NOT NULL AND {sx} IS NOT NULL THEN array({', '.join(live)}) END",
+        "__tf": f"CASE WHEN {t} IS NOT NULL AND {sx} IS NULL THEN array({', '.join(slow)}) END",
+    })
+    df = add(df, {
+        "__tk": "filter(coalesce(__tk, array()), x -> x.m IS NOT NULL)",
+        "__tf": "filter(coalesce(__tf, array()), x -> x.g IS NOT NULL)",
+    })
+    before = "CASE WHEN j > 0 AND x.s IS NOT NULL THEN x.s[j - 1] ELSE '' END"
+    after = "CASE WHEN j < size(x.v) AND x.p IS NOT NULL THEN x.p[j] ELSE '' END"
+    interleave = (f"flatten(transform(sequence(0, size(x.v)), j -> CASE WHEN j < size(x.v) "
+                  f"THEN array(concat({before}, x.g[j], {after}), x.v[j]) ELSE array(concat({before}, x.g[j])) END))")
+    df = add(df, {"__tp": (f"concat(transform(__tk, x -> named_struct('id', x.id, 'parts', split(x.m, {sx}, -1))), "
+                           f"transform(__tf, x -> named_struct('id', x.id, 'parts', {interleave})))")})
+    df = df.drop("__tk", "__tf")
+    df = add(df, {"__tp": "transform(filter(__tp, x -> size(x.parts) >= 3), x -> named_struct('id', x.id, "
+                          "'parts', x.parts, 'lens', transform(x.parts, p -> length(p))))"})
+    df = add(df, {"__tp": "transform(__tp, x -> named_struct('id', x.id, 'parts', x.parts, 'lens', x.lens, "
+                          "'b', greatest(1, CAST(ceil(sqrt(size(x.lens))) AS INT))))"})
+    df = add(df, {"__tp": (f"transform(__tp, x -> named_struct('id', x.id, 'parts', x.parts, 'lens', x.lens, 'b', x.b, "
+                           f"'bs', transform(sequence(0, CAST(ceil(size(x.lens) / x.b) AS INT) - 1), "
+                           f"j -> aggregate(slice(x.lens, j * x.b + 1, x.b), {_SUM}))))")})
+    df = add(df, {"__tp": (f"transform(__tp, x -> named_struct('id', x.id, 'parts', x.parts, 'lens', x.lens, 'b', x.b, "
+                           f"'st', transform(x.bs, (y, j) -> aggregate(slice(x.bs, 1, j), {_SUM}))))")})
+    blk = "CAST((2 * j + 1) div x.b AS INT)"
+    pre = f"(x.st[{blk}] + aggregate(slice(x.lens, {blk} * x.b + 1, 2 * j + 1 - {blk} * x.b), {_SUM}))"
+    span = (f"named_struct('id', x.id, 'start', {pre}, 'end', {pre} + x.lens[2 * j + 1], "
+            f"'value', x.parts[2 * j + 1])")
+    df = add(df, {out: (f"flatten(transform(__tp, x -> transform(sequence(0, CAST((size(x.parts) - 1) div 2 AS INT) - 1), "
+                        f"j -> {span})))")})
+    df = df.drop("__tp")
+    if own:
+        df = df.drop(SENTINEL_COL)
+    return metric_barrier(df, [out])

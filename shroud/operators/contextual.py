@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str,
 
 def _word_candidates(df: DataFrame, text: str, max_words: int, heads: list | None) -> DataFrame:
     """``__cand``: array of (start, end, ngram) word runs up to ``max_words``."""
-    df = with_spans(df, text, [Scan("__words", WORD, parts_out="__wparts")])
+    df = with_spans(df, text, [Scan("__words", WORD, parts_out="__wparts", dense=True)])
     gram = ("n -> named_struct('start', __words[i].start, 'end', __words[i + n - 1].`end`, "
             "'ngram', array_join(slice(__wparts, 2 * i + 2, 2 * n - 1), ''))")
     at = f"i -> transform(sequence(1, least({int(max_words)}, size(__words) - i)), {gram})"
@@ -124,24 +123,12 @@ def _joined(df: DataFrame, text: str, g: DataFrame, max_words: int, out: str, ke
     return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast(CTX_TYPE)))
 
 
-def custom_detector(fn: Callable[[str], Iterable[tuple]], category: str | None = None) -> Callable[[Column], Column]:
-    """Wrap ``fn(text) -> iterable of (start, end, category)`` as a column function.
+def custom_detector(fn: Callable[[str], Iterable[tuple]], category: str | None = None):
+    """Wrap ``fn(text) -> iterable of (start, end[, category])`` as a column function.
 
-    Returned findings carry code-point offsets into the text. The function runs
-    in pandas UDF batches on executors; load models lazily inside ``fn``.
+    Offsets are code points into the text. The function runs in pandas UDF
+    batches on executors; load models lazily inside ``fn`` (once per worker).
     """
+    from ..functions.vectorized import detector_udf
 
-    @F.pandas_udf(CTX_TYPE)
-    def _detect(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = []
-            if isinstance(t, str) and t:
-                for item in fn(t):
-                    start, end = int(item[0]), int(item[1])
-                    cat = item[2] if len(item) > 2 else category
-                    found.append({"start": start, "end": end, "category": cat, "value": t[start:end]})
-            out.append(found)
-        return pd.Series(out)
-
-    return _detect
+    return detector_udf(fn, category)

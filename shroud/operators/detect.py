@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions.scalar import looks_secret, luhn_valid
-from ..functions.scan import SENTINEL_COL, Scan, with_sentinel, with_spans
+from ..functions.scan import SENTINEL_COL, Scan, with_sentinel, with_spans, with_tagged_spans
 from ..functions.sql import FINDING_T, add, empty, ident, q
 from . import catalog as C
 from .contextual import with_contextual
@@ -28,7 +28,10 @@ from .dotenv import with_dotenv_spans
 from .resolve import with_resolved
 
 
-def detector_plan(text: str, policy: P.Policy) -> list[tuple[Scan, str, str | None]]:
+LOWER_COL = "__lc"
+
+
+def detector_plan(text: str, policy: P.Policy, lowered: str | None = None) -> list[tuple[Scan, str, str | None]]:
     """(scan, category, validator) for every enabled regex-style detector."""
     plan = []
     t = ident(text)
@@ -36,16 +39,21 @@ def detector_plan(text: str, policy: P.Policy) -> list[tuple[Scan, str, str | No
         if not policy.is_on(category):
             continue
         for spec in C.BUILTIN.get(category, ()):
-            plan.append((Scan(f"__d{len(plan)}", spec.regex, spec.grouped, spec.gate(t)), category, spec.validator))
+            plan.append((Scan(f"__d{len(plan)}", spec.regex, spec.grouped, spec.gate(t, lowered)), category,
+                         spec.validator))
     for word in policy.active_keywords:
         rx = C.keyword_regex(word)
-        plan.append((Scan(f"__d{len(plan)}", rx, False, f"{t} RLIKE {q(rx)}"), P.KEYWORD, None))
+        plan.append((Scan(f"__d{len(plan)}", rx, False, C.keyword_gate(word, t, lowered)), P.KEYWORD, None))
     if policy.is_on(P.SECRET):
         spec = C.ENTROPY_CANDIDATE
         plan.append((Scan(f"__d{len(plan)}", spec.regex, False, spec.gate(t)), P.SECRET, "entropy"))
     return plan
 
 
+def _needs_lower(policy: P.Policy) -> bool:
+    return policy.is_on(P.SECRET) or bool(policy.active_keywords)
+
+
 def _tagged(name: str, category: str) -> str:
     return (f"transform({name}, s -> named_struct('start', s.start, 'end', s.`end`, "
             f"'category', {q(category)}, 'value', s.value))")
@@ -57,20 +65,29 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
     """``out`` = unresolved findings of every enabled detector."""
     t = ident(text)
     df, own = with_sentinel(df, text)
-    plan = detector_plan(text, policy)
-    df = with_spans(df, text, [s for s, _, _ in plan])
-
-    fixes = {}
-    for scan, _category, validator in plan:
-        if validator == "luhn":
-            fixes[scan.out] = f"filter({scan.out}, s -> {luhn_valid('s.value')})"
-        elif validator == "entropy":
-            fixes[scan.out] = (f"filter({scan.out}, s -> "
-                               f"{looks_secret('s.value', policy.entropy_min_length, policy.entropy_min_bits)})")
-    df = add(df, fixes)
-
-    arrays = [_tagged(s.out, cat) for s, cat, _ in plan]
-    extra = []
+    lowered = None
+    if _needs_lower(policy):
+        # one lower-cased copy per row, shared by every case-insensitive gate
+        df = add(df, {LOWER_COL: f"lower({t})"})
+        lowered = LOWER_COL
+    plan = detector_plan(text, policy, lowered)
+    extra = ["__tagged"]
+    arrays = []
+    if plan:
+        df = with_tagged_spans(df, text, [s for s, _, _ in plan], "__tagged")
+        checks = []
+        for i, (_scan, _category, validator) in enumerate(plan):
+            if validator == "luhn":
+                checks.append(f"WHEN {i} THEN {luhn_valid('s.value')}")
+            elif validator == "entropy":
+                checks.append(f"WHEN {i} THEN "
+                              f"{looks_secret('s.value', policy.entropy_min_length, policy.entropy_min_bits)}")
+        valid = f"CASE s.id {' '.join(checks)} ELSE true END" if checks else "true"
+        category = "CASE s.id " + " ".join(f"WHEN {i} THEN {q(cat)}" for i, (_s, cat, _v) in enumerate(plan)) + " END"
+        arrays.append(f"transform(filter(__tagged, s -> {valid}), s -> named_struct('start', s.start, 'end', s.`end`, "
+                      f"'category', {category}, 'value', s.value))")
+    if lowered:
+        df = df.drop(LOWER_COL)
     if policy.contextual_status == "active":
         df = with_contextual(df, text, policy, "__ctx", key=key)
         arrays.append("__ctx")
@@ -87,7 +104,7 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
 
     raw = f"concat({', '.join(arrays)})" if arrays else empty(FINDING_T)
     df = add(df, {out: f"CASE WHEN {t} IS NULL OR length({t}) = 0 THEN {empty(FINDING_T)} ELSE {raw} END"})
-    df = df.drop(*[s.out for s, _, _ in plan], *extra)
+    df = df.drop(*[c for c in extra if c in df.columns])
     if own:
         df = df.drop(SENTINEL_COL)
     return df

@@ -47,7 +47,7 @@ def with_dotenv_spans(df: DataFrame, text: str, out: str, enabled: Column | bool
                                 f"WHEN __dv_g IS NOT NULL THEN {slow} ELSE {empty('ARRAY<STRING>')} END"})
     df = df.drop("__dv_mk", "__dv_g", "__dv_s")
     df = add(df, {"__dv_len": "transform(__dv_lines, x -> length(x))"})
-    df = with_prefix_sums(df, [("__dv_len", "__dv_off")])
+    df = with_prefix_sums(df, [("__dv_len", "__dv_off")], dense=True)
     env = q(ENV_LINE)
     df = add(df, {"__dv_m": f"transform(__dv_lines, l -> CASE WHEN l RLIKE {env} THEN named_struct("
                             f"'head', length(regexp_extract(l, {env}, 1)), 'value', regexp_extract(l, {env}, 2)) END)"})

@@ -43,14 +43,25 @@ def find_single(name: str, table: str = "documents"):
 
 
 def find_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    """Every secret pattern on its own (unresolved), documents and pages."""
+    """Every secret pattern on its own (unresolved), documents and pages.
+
+    One scan stage per table computes all patterns; each span is tagged with
+    its pattern name.
+    """
+    from ..functions.scan import Scan, with_spans
+    from ..functions.sql import ident, q
+
     out = None
     for table, key in (("documents", "doc_id"), ("pages", "page_id")):
         df = read_texts(spark, sf, table).withColumnRenamed(key, "id")
-        for spec in C.SECRETS:
-            part = _spans(df, ("id",), spec).select(F.lit(table).alias("source_table"), F.lit(spec.name)
-                                                    .alias("pattern"), "*")
-            out = part if out is None else out.unionByName(part)
+        scans = [Scan(f"__s{i}", spec.regex, spec.grouped, spec.gate(ident("text")))
+                 for i, spec in enumerate(C.SECRETS)]
+        df = with_spans(df, "text", scans)
+        tagged = ", ".join(
+            f"transform(__s{i}, s -> named_struct('pattern', {q(spec.name)}, 'start', CAST(s.start AS BIGINT), "
+            f"'end', CAST(s.`end` AS BIGINT), 'value', s.value))" for i, spec in enumerate(C.SECRETS))
+        part = df.select(F.lit(table).alias("source_table"), "id", F.inline(F.expr(f"concat({tagged})")))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
