@@ -30,6 +30,9 @@ from ..functions.scan import Scan, with_spans
 from ..functions.sql import add, empty, q
 
 INLINE_TERM_LIMIT = 50_000
+# With at most this many distinct first words, only their occurrences are
+# located (one trie-shaped regex) instead of tokenising every word.
+HEAD_REGEX_LIMIT = 256
 WORD = r"(?U)\w+"
 
 # FIXED VALUES: external entity labels and the categories they map to.
@@ -87,13 +90,49 @@ def _word_candidates(df: DataFrame, text: str, max_words: int, heads: list | Non
     return df.drop("__words", "__wparts")
 
 
+def _trie_regex(words) -> str:
+    """Alternation of literal words factored by common prefix (no backtracking blow-up)."""
+    import re as _re
+
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts, end = [], False
+        for ch in sorted(node):
+            if ch == "":
+                end = True
+            else:
+                alts.append(_quote(ch) + emit(node[ch]))
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 and not end else "(?:" + "|".join(alts) + ")"
+        return body + ("?" if end else "")
+
+    del _re
+    return emit(trie)
+
+
+def _quote(ch: str) -> str:
+    return "\\" + ch if not ch.isalnum() else ch
+
+
 def _inline(df: DataFrame, text: str, g: DataFrame, max_words: int, out: str) -> DataFrame:
     # bounded by the INLINE_TERM_LIMIT check in with_contextual
     by_cat: dict = {}
     for r in g.collect():
-        by_cat.setdefault(r["category"], set()).add(r["term"])
-    head_words = sorted({w for terms in by_cat.values() for t in terms for w in _first_word(t)})
-    df = _word_candidates(df, text, max_words, head_words)
+        if _whole_words(r["term"]):
+            by_cat.setdefault(r["category"], set()).add(r["term"])
+    heads = sorted({w for terms in by_cat.values() for t in terms for w in _first_word(t)})
+    if not heads:
+        return df.withColumn(out, F.array().cast(CTX_TYPE))
+    if len(heads) <= HEAD_REGEX_LIMIT:
+        return _inline_by_heads(df, text, by_cat, heads, out)
+    df = _word_candidates(df, text, max_words, heads)
     label = "CAST(NULL AS STRING)"
     for cat in reversed([x for x in P.CONTEXTUAL_CATEGORIES if x in by_cat]):
         terms = ", ".join(q(t) for t in sorted(by_cat[cat]))
@@ -104,6 +143,41 @@ def _inline(df: DataFrame, text: str, g: DataFrame, max_words: int, out: str) ->
     return df.drop("__cand")
 
 
+def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: str) -> DataFrame:
+    """Locate whole-word head occurrences, then test each term that starts there.
+
+    A term matches at a head occurrence when the text continues with exactly
+    the term and the next character is not a word character — the same as
+    the term equalling a run of whole words with their separators.
+    """
+    from ..functions.sql import ident
+
+    t = ident(text)
+    rx = r"(?U)(?<!\w)(?:" + _trie_regex(heads) + r")(?!\w)"
+    gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
+    df = with_spans(df, text, [Scan("__heads", rx, False, gate)])
+    # (head, term, category) candidates as a literal lookup table
+    entries = []
+    for cat in P.CONTEXTUAL_CATEGORIES:
+        for term in sorted(by_cat.get(cat, ())):
+            entries.append(f"named_struct('head', {q(_first_word(term)[0])}, 'term', {q(term)}, 'category', {q(cat)})")
+    table = f"array({', '.join(entries)})"
+    after = f"substr({t}, h.start + length(c.term) + 1, 1)"
+    ok = (f"substr({t}, h.start + 1, length(c.term)) = c.term AND "
+          f"({after} = '' OR NOT {after} RLIKE '(?U)\\w')")
+    per_head = (f"transform(filter({table}, c -> c.head = h.value AND {ok}), c -> named_struct("
+                f"'start', h.start, 'end', h.start + length(c.term), 'category', c.category, 'value', c.term))")
+    df = add(df, {out: f"flatten(transform(__heads, h -> {per_head}))"})
+    return df.drop("__heads")
+
+
+def _whole_words(term: str) -> bool:
+    """Terms must start and end with a word character to be matchable."""
+    import re
+
+    return bool(term) and bool(re.match(r"\w", term[0])) and bool(re.match(r"\w", term[-1]))
+
+
 def _first_word(term: str) -> list:
     import re
 

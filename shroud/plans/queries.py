@@ -45,22 +45,22 @@ def find_single(name: str, table: str = "documents"):
 def find_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Every secret pattern on its own (unresolved), documents and pages.
 
-    One scan stage per table computes all patterns; each span is tagged with
-    its pattern name.
+    One combined scan per table computes all patterns; each span carries its
+    pattern name.
     """
-    from ..functions.scan import Scan, with_spans
+    from ..functions.scan import Scan, with_tagged_spans
     from ..functions.sql import ident, q
 
+    names = "CASE s.id " + " ".join(f"WHEN {i} THEN {q(spec.name)}" for i, spec in enumerate(C.SECRETS)) + " END"
     out = None
     for table, key in (("documents", "doc_id"), ("pages", "page_id")):
-        df = read_texts(spark, sf, table).withColumnRenamed(key, "id")
-        scans = [Scan(f"__s{i}", spec.regex, spec.grouped, spec.gate(ident("text")))
+        df = read_texts(spark, sf, table).withColumnRenamed(key, "id").withColumn("__lc", F.lower("text"))
+        scans = [Scan(f"__s{i}", spec.regex, spec.grouped, spec.gate(ident("text"), "__lc"))
                  for i, spec in enumerate(C.SECRETS)]
-        df = with_spans(df, "text", scans)
-        tagged = ", ".join(
-            f"transform(__s{i}, s -> named_struct('pattern', {q(spec.name)}, 'start', CAST(s.start AS BIGINT), "
-            f"'end', CAST(s.`end` AS BIGINT), 'value', s.value))" for i, spec in enumerate(C.SECRETS))
-        part = df.select(F.lit(table).alias("source_table"), "id", F.inline(F.expr(f"concat({tagged})")))
+        df = with_tagged_spans(df, "text", scans, "__spans")
+        tagged = (f"transform(__spans, s -> named_struct('pattern', {names}, 'start', CAST(s.start AS BIGINT), "
+                  f"'end', CAST(s.`end` AS BIGINT), 'value', s.value))")
+        part = df.select(F.lit(table).alias("source_table"), "id", F.inline(F.expr(tagged)))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -60,7 +60,9 @@ def lock_unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_stream(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
     schema = read_table(spark, sf, table).schema
-    return S.read_stream(spark, sf, schema, max_files_per_trigger=1, glob=f"{table}.parquet")
+    # the test tables are single-row-group files: spread each micro-batch
+    spread = spark.sparkContext.defaultParallelism * 4
+    return S.read_stream(spark, sf, schema, max_files_per_trigger=1, glob=f"{table}.parquet", spread_to=spread)
 
 
 def stream_mask(spark: SparkSession, sf: str) -> DataFrame:

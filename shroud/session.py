@@ -58,3 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, label: str):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the plan once (an
+    eager ``checkpoint()`` runs it twice: once to count, once to write) and
+    stores it columnar, so later reads prune columns. Survives executor loss:
+    the table lives in the cluster's shared folder, not on a local disk.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -28,14 +28,19 @@ from ..operators.report import counts_sql
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
-                fmt: str = "parquet", glob: str | None = None) -> DataFrame:
-    """File stream of a folder (optionally only files matching ``glob``)."""
+                fmt: str = "parquet", glob: str | None = None, spread_to: int | None = None) -> DataFrame:
+    """File stream of a folder (optionally only files matching ``glob``).
+
+    ``spread_to`` deals each micro-batch round-robin over that many tasks; use
+    it when micro-batches hold few large files (e.g. one row group each).
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    df = reader.load(path)
+    return df.repartition(spread_to) if spread_to else df
 
 
 def mask_stream(stream: DataFrame, text: str = "text", policy: P.Policy | None = None,
