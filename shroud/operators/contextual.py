@@ -164,7 +164,7 @@ def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: s
     table = f"array({', '.join(entries)})"
     after = f"substr({t}, h.start + length(c.term) + 1, 1)"
     ok = (f"substr({t}, h.start + 1, length(c.term)) = c.term AND "
-          f"({after} = '' OR NOT {after} RLIKE '(?U)\\w')")
+          f"({after} = '' OR NOT {after} RLIKE {q(r'(?U)\w')})")
     per_head = (f"transform(filter({table}, c -> c.head = h.value AND {ok}), c -> named_struct("
                 f"'start', h.start, 'end', h.start + length(c.term), 'category', c.category, 'value', c.term))")
     df = add(df, {out: f"flatten(transform(__heads, h -> {per_head}))"})

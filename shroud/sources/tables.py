@@ -45,12 +45,16 @@ def read_text_files(spark: SparkSession, paths, recursive: bool = False) -> Data
     """Whole files as rows ``(path, file_name, dotenv, text)``.
 
     ``dotenv`` is true for ``.env``, ``.env.*`` and ``*.env`` names, so one plan
-    masks mixed inputs, each file in its own mode.
+    masks mixed inputs, each file in its own mode. Spark's file sources treat
+    names starting with ``.`` or ``_`` as hidden and never read them, even by
+    explicit path: stage such files (``.env``, ``.env.local``) under visible
+    names and route them with :func:`~shroud.operators.dotenv.is_dotenv_name`
+    on the original name.
     """
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(paths if isinstance(paths, (list, tuple)) else [paths])
+    df = reader.text(list(paths) if isinstance(paths, (list, tuple)) else [paths], wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
                    F.col("value").alias("text"))
     return df.withColumn("dotenv", is_dotenv_name(F.col("file_name")))
