@@ -97,6 +97,19 @@ def resolve_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(find(read_texts(spark, sf, "documents"), "text", DEFAULT), ("doc_id",))
 
 
+def resolve_documents_islands(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolution on the exploded findings table (window islands), the form
+    used when findings arrive as a table rather than per-row arrays."""
+    from ..operators.detect import with_raw_findings
+    from ..operators.resolve import resolve_exploded
+
+    raw = with_raw_findings(read_texts(spark, sf, "documents"), "text", DEFAULT, "raw")
+    table = raw.select("doc_id", F.inline("raw"))
+    out = resolve_exploded(table, "doc_id")
+    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+                      "category", "value")
+
+
 def mask_table(table: str, policy: P.Policy = DEFAULT):
     keys = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"),
             "benchmark": ("item_id",)}[table]
