@@ -31,7 +31,7 @@ from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
 
-from .sql import SPAN_T, add, empty, ident, q
+from .sql import SPAN_T, add, empty, ident, let, q
 
 SENTINELS = tuple(chr(c) for c in range(0xFDD0, 0xFDF0))
 SENTINEL_COL = "__sx"
@@ -89,34 +89,31 @@ def with_prefix_sums(df: DataFrame, pairs: Sequence[tuple], dense: bool | Sequen
     from pyspark.sql import functions as F
 
     flags = [dense] * len(pairs) if isinstance(dense, bool) else list(dense)
-    stage_b, stage_bs, stage_st, stage_out, tmp = {}, {}, {}, {}, []
-    big = {}
+    big, out = {}, {}
     for (src, dst), is_dense in zip(pairs, flags):
-        ln, b, bs, st = ident(src), f"{dst}__b", f"{dst}__bs", f"{dst}__st"
-        tmp += [b, bs, st] + ([f"{dst}__py"] if is_dense else [])
+        ln = ident(src)
         n = f"coalesce(size({ln}), 0)"
-        small = f"({n} <= {PYTHON_PREFIX_ABOVE})" if is_dense else "true"
-        stage_b[b] = f"greatest(1, CAST(ceil(sqrt(greatest({n}, 0))) AS INT))"
-        stage_bs[bs] = (f"CASE WHEN {n} <= 0 OR NOT {small} THEN {empty('ARRAY<INT>')} ELSE "
-                        f"transform(sequence(0, CAST(ceil({n} / {b}) AS INT) - 1), "
-                        f"j -> aggregate(slice({ln}, j * {b} + 1, {b}), {_SUM})) END")
-        stage_st[st] = f"transform({bs}, (x, j) -> aggregate(slice({bs}, 1, j), {_SUM}))"
-        blk = f"CAST(k div {b} AS INT)"
-        py = f"WHEN NOT {small} THEN {dst}__py " if is_dense else ""
-        stage_out[dst] = (f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} {py}ELSE "
-                          f"transform({ln}, (x, k) -> {st}[{blk}] + "
-                          f"aggregate(slice({ln}, {blk} * {b} + 1, k - {blk} * {b}), {_SUM})) END")
+        blk = "CAST(k div r.b AS INT)"
+        body = (f"transform(r.l, (x, k) -> r.st[{blk}] + aggregate(slice(r.l, {blk} * r.b + 1, k - {blk} * r.b), "
+                f"{_SUM}))")
+        with_st = let({"l": "q.l", "b": "q.b", "st": f"transform(q.bs, (y, j) -> aggregate(slice(q.bs, 1, j), {_SUM}))"},
+                      body, "r")
+        with_bs = let({"l": "p.l", "b": "p.b",
+                       "bs": (f"transform(sequence(0, CAST(ceil(size(p.l) / p.b) AS INT) - 1), "
+                              f"j -> aggregate(slice(p.l, j * p.b + 1, p.b), {_SUM}))")}, with_st, "q")
+        blocks = let({"l": ln, "b": f"greatest(1, CAST(ceil(sqrt({n})) AS INT))"}, with_bs, "p")
         if is_dense:
-            big[f"{dst}__py"] = F.expr(f"CASE WHEN NOT {small} THEN {ln} END")
+            py = f"{dst}__py"
+            big[py] = F.expr(f"CASE WHEN {n} > {PYTHON_PREFIX_ABOVE} THEN {ln} END")
+            out[dst] = f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} WHEN {py} IS NOT NULL THEN {py} ELSE {blocks} END"
+        else:
+            out[dst] = f"CASE WHEN {n} <= 0 THEN {empty('ARRAY<INT>')} ELSE {blocks} END"
     if big:
         from .vectorized import exclusive_cumsum
 
         df = df.withColumns({k: exclusive_cumsum(v) for k, v in big.items()})
-    df = add(df, stage_b)
-    df = add(df, stage_bs)
-    df = add(df, stage_st)
-    df = add(df, stage_out)
-    return df.drop(*tmp)
+    df = add(df, out)
+    return df.drop(*big.keys())
 
 
 def with_spans(df: DataFrame, text: str, scans: Sequence[Scan]) -> DataFrame:
@@ -153,10 +150,11 @@ def with_spans(df: DataFrame, text: str, scans: Sequence[Scan]) -> DataFrame:
         stage2[pt] = (f"CASE WHEN {mk} IS NOT NULL THEN split({mk}, {sx}, -1) "
                       f"WHEN {fg} IS NOT NULL THEN {slow_parts} ELSE {empty('ARRAY<STRING>')} END")
         stage3[ln] = f"transform({pt}, x -> length(x))"
-        stage4[s.out] = (f"CASE WHEN size({pt}) < 3 THEN {empty(SPAN_T)} ELSE "
-                         f"transform(sequence(0, CAST((size({pt}) - 1) div 2 AS INT) - 1), "
-                         f"j -> named_struct('start', {ps}[2 * j + 1], 'end', {ps}[2 * j + 1] + {ln}[2 * j + 1], "
-                         f"'value', {pt}[2 * j + 1])) END")
+        spans = let({"p": pt, "l": ln, "s": ps},
+                    "transform(sequence(0, CAST((size(v.p) - 1) div 2 AS INT) - 1), "
+                    "j -> named_struct('start', v.s[2 * j + 1], 'end', v.s[2 * j + 1] + v.l[2 * j + 1], "
+                    "'value', v.p[2 * j + 1]))", "v")
+        stage4[s.out] = f"CASE WHEN size({pt}) < 3 THEN {empty(SPAN_T)} ELSE {spans} END"
 
     df = add(df, stage1)
     df = add(df, stage2).drop(*drop1)

@@ -50,3 +50,15 @@ def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 def empty(sql_type: str) -> str:
     return f"CAST(array() AS {sql_type})"
+
+
+def let(bindings: Mapping[str, str], body: str, var: str) -> str:
+    """Evaluate ``bindings`` once per row and ``body`` over them as ``var.<name>``.
+
+    ``transform(array(named_struct(...)), var -> body)[0]``: values a lambda
+    reads through ``var`` are computed once, whereas a column read inside a
+    lambda may be inlined there by the optimizer (projection collapsing
+    counts references, not evaluations) and recomputed per element.
+    """
+    fields = ", ".join(f"'{k}', {v}" for k, v in bindings.items())
+    return f"transform(array(named_struct({fields})), {var} -> {body})[0]"

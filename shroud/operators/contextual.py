@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions.scan import Scan, with_spans
-from ..functions.sql import add, empty, q
+from ..functions.sql import add, empty, let, q
 
 INLINE_TERM_LIMIT = 50_000
 # With at most this many distinct first words, only their occurrences are
@@ -78,15 +78,15 @@ def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str,
 def _word_candidates(df: DataFrame, text: str, max_words: int, heads: list | None) -> DataFrame:
     """``__cand``: array of (start, end, ngram) word runs up to ``max_words``."""
     df = with_spans(df, text, [Scan("__words", WORD, parts_out="__wparts", dense=True)])
-    gram = ("n -> named_struct('start', __words[i].start, 'end', __words[i + n - 1].`end`, "
-            "'ngram', array_join(slice(__wparts, 2 * i + 2, 2 * n - 1), ''))")
-    at = f"i -> transform(sequence(1, least({int(max_words)}, size(__words) - i)), {gram})"
-    starts = "sequence(0, size(__words) - 1)"
+    gram = ("n -> named_struct('start', v.w[i].start, 'end', v.w[i + n - 1].`end`, "
+            "'ngram', array_join(slice(v.p, 2 * i + 2, 2 * n - 1), ''))")
+    at = f"i -> transform(sequence(1, least({int(max_words)}, size(v.w) - i)), {gram})"
+    starts = "sequence(0, size(v.w) - 1)"
     if heads is not None:
-        starts = f"filter({starts}, i -> __words[i].value IN ({', '.join(q(h) for h in heads)}))"
+        starts = f"filter({starts}, i -> v.w[i].value IN ({', '.join(q(h) for h in heads)}))"
     cand_t = "ARRAY<STRUCT<start: INT, `end`: INT, ngram: STRING>>"
-    df = add(df, {"__cand": f"CASE WHEN size(__words) > 0 THEN flatten(transform({starts}, {at})) "
-                            f"ELSE {empty(cand_t)} END"})
+    cand = let({"w": "__words", "p": "__wparts"}, f"flatten(transform({starts}, {at}))", "v")
+    df = add(df, {"__cand": f"CASE WHEN size(__words) > 0 THEN {cand} ELSE {empty(cand_t)} END"})
     return df.drop("__words", "__wparts")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import should_mask_env_value
 from ..functions.scan import SENTINEL_COL, with_prefix_sums, with_sentinel
-from ..functions.sql import SPAN_T, add, empty, ident, q
+from ..functions.sql import SPAN_T, add, empty, ident, let, q
 
 # FIXED VALUES: line separators of str.splitlines and the assignment shape.
 LINE_SEP = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
@@ -51,11 +51,12 @@ def with_dotenv_spans(df: DataFrame, text: str, out: str, enabled: Column | bool
     env = q(ENV_LINE)
     df = add(df, {"__dv_m": f"transform(__dv_lines, l -> CASE WHEN l RLIKE {env} THEN named_struct("
                             f"'head', length(regexp_extract(l, {env}, 1)), 'value', regexp_extract(l, {env}, 2)) END)"})
-    one = ("i -> CASE WHEN __dv_m[i] IS NOT NULL THEN named_struct('start', __dv_off[i] + __dv_m[i].head, "
-           "'end', __dv_off[i] + __dv_m[i].head + length(__dv_m[i].value), 'value', __dv_m[i].value) END")
+    one = ("i -> CASE WHEN v.m[i] IS NOT NULL THEN named_struct('start', v.o[i] + v.m[i].head, "
+           "'end', v.o[i] + v.m[i].head + length(v.m[i].value), 'value', v.m[i].value) END")
     keep = f"x -> x IS NOT NULL AND {should_mask_env_value('x.value')}"
-    df = add(df, {out: f"CASE WHEN size(__dv_m) > 0 THEN filter(transform(sequence(0, size(__dv_m) - 1), {one}), "
-                       f"{keep}) ELSE {empty(SPAN_T)} END"})
+    spans = let({"m": "__dv_m", "o": "__dv_off"},
+                f"filter(transform(sequence(0, size(v.m) - 1), {one}), {keep})", "v")
+    df = add(df, {out: f"CASE WHEN size(__dv_m) > 0 THEN {spans} ELSE {empty(SPAN_T)} END"})
     df = df.drop("__dv_lines", "__dv_len", "__dv_off", "__dv_m", flag)
     if own:
         df = df.drop(SENTINEL_COL)
