@@ -42,6 +42,11 @@ def resolve_sql(raw: str) -> str:
     return f"coalesce({out}, {empty(FINDING_T)})"
 
 
+# Rows with at most this many raw findings use one fold (cheapest for the
+# common case); longer arrays are cut into islands first.
+FOLD_UP_TO = 32
+
+
 def with_resolved(df: DataFrame, raw: str, out: str) -> DataFrame:
     """``out`` = resolved, ascending, disjoint findings of the ``raw`` array.
 
@@ -74,7 +79,8 @@ def with_resolved(df: DataFrame, raw: str, out: str) -> DataFrame:
                  step_c, "b")
     body = let({"rs": f"sort_array(transform({r}, f -> {key}))"},
                f"CASE WHEN size(a.rs) = 0 THEN {empty(FINDING_T)} ELSE {step_b} END", "a")
-    return add(df, {out: f"CASE WHEN {r} IS NULL OR size({r}) = 0 THEN {empty(FINDING_T)} ELSE {body} END"})
+    return add(df, {out: f"CASE WHEN {r} IS NULL OR size({r}) = 0 THEN {empty(FINDING_T)} "
+                         f"WHEN size({r}) <= {FOLD_UP_TO} THEN {resolve_sql(r)} ELSE {body} END"})
 
 
 def resolve_exploded(findings: DataFrame, key: str = "doc_id") -> DataFrame:
