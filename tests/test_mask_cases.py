@@ -175,3 +175,13 @@ def test_null_text_passes_through(spark):
     r = run_mask(spark, [None, "a@b.com"])
     assert r[0].masked_text is None and r[0].n_findings == 0
     assert r[1].masked_text == "[EMAIL]"
+
+
+def test_unicode_case_folding_reaches_gates(spark):
+    # long s, dotless i and dotted capital I fold onto ASCII letters
+    rows = run_mask(spark, ["paſſword: hunter2", "apı_key: zzz", "Authorization: BEARER abcdefgh12"])
+    assert rows[0].masked_text == "paſſword: [SECRET]"
+    assert rows[1].masked_text == "apı_key: [SECRET]"
+    assert rows[2].masked_text == "Authorization: BEARER [SECRET]"
+    r = masked(spark, "KİSS me, kiss", P.Policy(enabled={P.KEYWORD}, keywords=["kiss"]))
+    assert r.masked_text == "[REDACTED] me, [REDACTED]"
