@@ -156,18 +156,29 @@ def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: s
     rx = r"(?U)(?<!\w)(?:" + _trie_regex(heads) + r")(?!\w)"
     gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
     df = with_spans(df, text, [Scan("__heads", rx, False, gate)])
-    # (head, term, category) candidates as a literal lookup table
-    entries = []
+    # head word -> its (term, category) candidates, a constant-folded map
+    by_head: dict = {}
     for cat in P.CONTEXTUAL_CATEGORIES:
         for term in sorted(by_cat.get(cat, ())):
-            entries.append(f"named_struct('head', {q(_first_word(term)[0])}, 'term', {q(term)}, 'category', {q(cat)})")
-    table = f"array({', '.join(entries)})"
-    after = f"substr({t}, h.start + length(c.term) + 1, 1)"
-    ok = (f"substr({t}, h.start + 1, length(c.term)) = c.term AND "
-          f"({after} = '' OR NOT {after} RLIKE {q(r'(?U)\w')})")
-    per_head = (f"transform(filter({table}, c -> c.head = h.value AND {ok}), c -> named_struct("
-                f"'start', h.start, 'end', h.start + length(c.term), 'category', c.category, 'value', c.term))")
-    df = add(df, {out: f"flatten(transform(__heads, h -> {per_head}))"})
+            by_head.setdefault(_first_word(term)[0], []).append(
+                f"named_struct('term', {q(term)}, 'category', {q(cat)})")
+    table = "map(" + ", ".join(f"{q(h)}, array({', '.join(v)})" for h, v in sorted(by_head.items())) + ")"
+    from .mask import SPLICE_CHUNKED_ABOVE, _piece_sql
+
+    def per_head(sub, n, heads_col):
+        end = "h.start + length(cd.term)"
+        after = f"CASE WHEN {end} >= {n} THEN '' ELSE {sub(end, end + ' + 1')} END"
+        ok = (f"{end} <= {n} AND {sub('h.start', end)} = cd.term AND "
+              f"({after} = '' OR NOT {after} RLIKE {q(r'(?U)\w')})")
+        cands = (f"transform(filter(coalesce({table}[h.value], array()), cd -> {ok}), cd -> named_struct("
+                 f"'start', h.start, 'end', {end}, 'category', cd.category, 'value', cd.term))")
+        return f"flatten(transform({heads_col}, h -> {cands}))"
+
+    direct = per_head(lambda a, b: f"substr({t}, ({a}) + 1, ({b}) - ({a}))", f"length({t})", "__heads")
+    # many occurrences: cut the text into chunks once (substr walks from the start)
+    chunked = let({"ch": f"regexp_extract_all({t}, '(?s).{{1,2048}}', 0)", "n": f"length({t})", "hs": "__heads"},
+                  per_head(_piece_sql, "v.n", "v.hs"), "v")
+    df = add(df, {out: f"CASE WHEN size(__heads) <= {SPLICE_CHUNKED_ABOVE} THEN {direct} ELSE {chunked} END"})
     return df.drop("__heads")
 
 

@@ -107,3 +107,15 @@ def test_custom_detector(spark):
     df = spark.createDataFrame([(0, "ACME hired a@b.com")], "doc_id long, text string")
     out = mask(df, "text", P.Policy(enabled={P.EMAIL, P.ORG}), custom=[det]).first()
     assert out.masked_text == "[ORG] hired [EMAIL]"
+
+
+def test_gazetteer_many_occurrences(spark):
+    import re
+
+    text = " ".join(("Paris John Smith Parisian Barack Obama's" if i % 2 else "x Paris-Paris y") for i in range(400))
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    pol = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=_gazetteer(spark))
+    got = [(f.start, f.end, f.value) for f in find(df, "text", pol).first().findings]
+    want = sorted([(m.start(), m.end(), m.group()) for t in ("Barack Obama", "Paris", "John Smith")
+                   for m in re.finditer(r"(?<!\w)" + re.escape(t) + r"(?!\w)", text)])
+    assert got == want
