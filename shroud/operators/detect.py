@@ -69,7 +69,7 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
     lowered = None
     if _needs_lower(policy):
         # one lower-cased copy per row, shared by every case-insensitive gate
-        df = add(df, {LOWER_COL: f"lower({t})"})
+        df = add(df, {LOWER_COL: f"lower({t})", LOWER_COL + "__cf": C.special_chars(t)})
         lowered = LOWER_COL
     plan = detector_plan(text, policy, lowered)
     extra = ["__tagged"]
@@ -88,7 +88,7 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
         arrays.append(f"transform(filter(__tagged, s -> {valid}), s -> named_struct('start', s.start, 'end', s.`end`, "
                       f"'category', {category}, 'value', s.value))")
     if lowered:
-        df = df.drop(LOWER_COL)
+        df = df.drop(LOWER_COL, LOWER_COL + "__cf")
     if policy.contextual_status == "active":
         df = with_contextual(df, text, policy, "__ctx", key=key)
         arrays.append("__ctx")

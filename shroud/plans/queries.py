@@ -54,7 +54,8 @@ def find_secrets(spark: SparkSession, sf: str) -> DataFrame:
     names = "CASE s.id " + " ".join(f"WHEN {i} THEN {q(spec.name)}" for i, spec in enumerate(C.SECRETS)) + " END"
     out = None
     for table, key in (("documents", "doc_id"), ("pages", "page_id")):
-        df = read_texts(spark, sf, table).withColumnRenamed(key, "id").withColumn("__lc", F.lower("text"))
+        df = read_texts(spark, sf, table).withColumnRenamed(key, "id").withColumn("__lc", F.lower("text")) \
+            .withColumn("__lc__cf", F.expr(C.special_chars("text")))
         scans = [Scan(f"__s{i}", spec.regex, spec.grouped, spec.gate(ident("text"), "__lc"))
                  for i, spec in enumerate(C.SECRETS)]
         df = with_tagged_spans(df, "text", scans, "__spans")
