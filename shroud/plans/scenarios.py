@@ -96,6 +96,21 @@ def stream_dedup_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
 
 
+def stream_dedup_conversations_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Same result with state kept as a table and predecessor equi-joins."""
+    from ..operators.mask import mask
+
+    src = _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text")
+
+    def masked(kept):
+        out = mask(kept, "text", P.Policy())
+        return out.select("conv_id", "turn", "masked_text", F.size("findings").cast("long").alias("n_findings"))
+
+    sink, ck = scratch_path(spark, "stream-dedup-t"), scratch_path(spark, "stream-dedup-t-ck")
+    S.run_without_repeats(src, "conv_id", "turn", "text", sink, ck, then=masked)
+    return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
+
+
 def dedup_conversations_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Batch form: equi-join each turn with its predecessor."""
     from ..operators.mask import mask
@@ -116,4 +131,5 @@ def oracles() -> dict:
         "stream_window_report": O.window_report_sql(EPOCH0, SECONDS_PER_DOC),
         "stream_dedup_conversations": O.dedup_sql(),
         "dedup_conversations_batch": O.dedup_sql(),
+        "stream_dedup_conversations_table": O.dedup_sql(),
     }

@@ -136,3 +136,50 @@ def window_report(masked_findings: DataFrame, ts: str, window: str = "10 minutes
             .agg(F.sum("n").cast("long").alias("n_findings"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "category", "n_findings"))
+
+
+def run_without_repeats(stream: DataFrame, key: str, seq: str, text: str, sink: str, checkpoint: str,
+                        then=None, processing_time: str | None = None):
+    """Repeat suppression for dense per-key sequences, with the state as a table.
+
+    Each micro-batch is joined, row by row, with its predecessor ``(key, seq - 1)``
+    taken from the batch itself or from the state table of the previous batch
+    (``(key, last seq, last hash)``, one row per key). Joins on ``(key, seq)``
+    spread a hot key over all tasks; nothing collects a key's rows in one
+    group. ``then`` transforms the kept rows (e.g. masking) before they are
+    written to ``sink/batch_id=N``; state goes to ``checkpoint/repeat-state``.
+    Both are overwritten per batch id, so a replayed batch is harmless.
+    """
+    state_root = checkpoint.rstrip("/") + "/repeat-state"
+
+    def step(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        cols = list(batch.columns)
+        cur = (batch.withColumn("__hash", F.sha2(F.coalesce(F.col(text), F.lit("\u0000null")), 256))
+               .withColumn("__seq", F.col(seq).cast("long")).persist())
+        known = cur.select(key, "__seq", "__hash")
+        prev_state = f"{state_root}/b={batch_id - 1}"
+        if batch_id > 0 and _path_exists(spark, prev_state):
+            known = known.unionByName(spark.read.parquet(prev_state))
+        pred = known.select(F.col(key).alias("__k"), (F.col("__seq") + 1).alias("__s"),
+                            F.col("__hash").alias("__prev"))
+        j = cur.join(pred, (cur[key] == pred["__k"]) & (cur["__seq"] == pred["__s"]), "left")
+        kept = j.where(F.col("__prev").isNull() | (F.col("__prev") != F.col("__hash"))).select(*cols)
+        out = then(kept) if then else kept
+        out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        last = known.groupBy(key).agg(F.max_by(F.struct("__seq", "__hash"), "__seq").alias("__l"))
+        last.select(key, "__l.__seq", "__l.__hash").write.mode("overwrite").parquet(f"{state_root}/b={batch_id}")
+        cur.unpersist()
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    q = w.start()
+    if not processing_time:
+        q.awaitTermination()
+    return q
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -101,3 +101,13 @@ def test_text_files_and_dotenv_routing(spark, tmp_path):
            for r in mask(df, "text", P.Policy(), dotenv=F.col("dotenv")).collect()}
     assert out["prod.env"] == "API=[SECRET]\nPORT=80\n"
     assert out["notes.txt"] == "API=abc mail [EMAIL]\n"
+
+
+def test_drop_repeats_with_state_table_across_batches(spark):
+    src = _write_batches(spark, [[(1, 1, "a"), (1, 2, "a")], [(1, 3, "b"), (1, 4, "a"), (2, 1, "a")],
+                                 [(1, 5, "a"), (2, 2, "a"), (3, 1, None), (3, 2, None)]])
+    stream = S.read_stream(spark, src, "k long, seq long, text string", max_files_per_trigger=1)
+    sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    S.run_without_repeats(stream, "k", "seq", "text", sink, ck)
+    got = sorted((r.k, r.seq, r.text) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, 1, "a"), (1, 3, "b"), (1, 4, "a"), (2, 1, "a"), (3, 1, None)]
