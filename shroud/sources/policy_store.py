@@ -51,6 +51,6 @@ def remove_keyword(table: DataFrame, keyword: str) -> tuple[DataFrame, bool]:
     return table.where(F.lower("keyword") != target), True
 
 
-def list_keywords(table: DataFrame) -> list:
-    """Keyword values (for display; the table is meant to be small enough)."""
-    return [r.keyword for r in table.orderBy("keyword").collect()]
+def list_keywords(table: DataFrame) -> DataFrame:
+    """The keyword table in display order (a DataFrame; nothing is collected)."""
+    return table.select("keyword").orderBy("keyword")

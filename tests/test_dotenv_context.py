@@ -45,9 +45,9 @@ def test_keyword_table_edits(spark):
     kw, added = PS.add_keyword(kw, "  project titan ")
     assert not added
     kw, added = PS.add_keyword(kw, "Ace")
-    assert added and sorted(PS.list_keywords(kw)) == ["Ace", "Project Titan"]
+    assert added and [r.keyword for r in PS.list_keywords(kw).collect()] == ["Ace", "Project Titan"]
     kw, removed = PS.remove_keyword(kw, "ACE")
-    assert removed and PS.list_keywords(kw) == ["Project Titan"]
+    assert removed and [r.keyword for r in PS.list_keywords(kw).collect()] == ["Project Titan"]
     pol, ok = P.Policy().add_keyword("x")
     assert ok and pol.add_keyword(" X ")[1] is False and pol.remove_keyword("X")[0].keywords == ()
 
