@@ -119,3 +119,24 @@ def test_gazetteer_many_occurrences(spark):
     want = sorted([(m.start(), m.end(), m.group()) for t in ("Barack Obama", "Paris", "John Smith")
                    for m in re.finditer(r"(?<!\w)" + re.escape(t) + r"(?!\w)", text)])
     assert got == want
+
+
+def test_dotenv_random_against_python(spark):
+    import random
+
+    import pyref
+    from shroud.operators.dotenv import with_dotenv_spans
+
+    rnd = random.Random(11)
+    keys = ["A", "export B", "  C_1", "d.e", "#F", "9G", "\tH", "export\tI"]
+    vals = ["x", "1_000", "nan", " 'yes' ", '"q v"', "'u'", "", "a#b", "0x1F", "é😀", "true ", "  ", "1e5", "٣", "v w"]
+    seps = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", " ", " ", " # c\n", ""]
+    texts = []
+    for _ in range(300):
+        texts.append("".join(rnd.choice(keys) + rnd.choice(["=", " = ", "=\t"]) + rnd.choice(vals) + rnd.choice(seps)
+                             for _ in range(rnd.randint(0, 8))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = with_dotenv_spans(df, "text", "env").collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        assert [(s.start, s.end, "secret", s.value) for s in r.env] == pyref.dotenv_findings(t), repr(t)
