@@ -140,3 +140,32 @@ def test_dotenv_random_against_python(spark):
     for r in rows:
         t = texts[r.doc_id]
         assert [(s.start, s.end, "secret", s.value) for s in r.env] == pyref.dotenv_findings(t), repr(t)
+
+
+def test_keywords_random_against_python(spark):
+    import random
+    import re
+
+    from shroud.operators.detect import with_raw_findings
+
+    rnd = random.Random(5)
+    words = ["Titan", "C++", "a.b", "straße", "ΣΟΦΙΑ", "@acme", "x_y", "Ünïcode", "NaN", "so"]
+    fillers = ["titan", "TITAN", "Titans", "c++", "xC++y", "A.B", "aXb", "STRAßE", "σοφια", "@ACME", "me@acme",
+               "X_Y", "ünïcode", "nan", "SO", "also", "so-so", " ", ", ", "\n", "é"]
+    kws = ["Titan", "C++", "a.b", "straße", "ΣΟΦΙΑ", "@acme", "x_y", "Ünïcode", "so"]
+    texts = ["".join(rnd.choice(fillers + words) + rnd.choice([" ", "", "."]) for _ in range(rnd.randint(0, 12)))
+             for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pol = P.Policy(enabled={P.KEYWORD}, keywords=kws)
+    rows = with_raw_findings(df, "text", pol, "raw").collect()
+
+    def py(text):
+        out = []
+        for k in kws:
+            w = k.strip()
+            rx = (r"\b" if w[:1].isalnum() else "") + re.escape(w) + (r"\b" if w[-1:].isalnum() else "")
+            out += [(m.start(), m.end(), "keyword", m.group()) for m in re.finditer(rx, text, re.I)]
+        return sorted(out)
+
+    for r in rows:
+        assert sorted((f.start, f.end, f.category, f.value) for f in r.raw) == py(texts[r.doc_id]), texts[r.doc_id]
