@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..operators import vault as V
-from ..operators.report import with_report
 from ..session import scratch_path
 from ..sources.tables import read_table, read_texts
 from ..streaming import stream as S
