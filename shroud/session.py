@@ -78,3 +78,26 @@ def materialize(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def table_path(df) -> str | None:
+    """Folder of a DataFrame read by :func:`materialize` (None otherwise)."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    return files[0].rsplit("/", 1)[0]
+
+
+def remove_tables(spark: SparkSession, paths) -> None:
+    """Delete intermediate tables this library wrote under the checkpoint folder."""
+    base = checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if not p:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        qualified = str(fs.makeQualified(path))
+        if qualified.startswith(str(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(base)))):
+            fs.delete(path, True)
