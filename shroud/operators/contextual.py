@@ -8,8 +8,11 @@ below the policy's minimum (0.4 by default) are ignored.
 
 Two physical plans, chosen by a size check on the gazetteer:
 
-* up to :data:`INLINE_TERM_LIMIT` terms — the terms become hash sets inside the
-  plan and matching runs in the same narrow stage as every other detector;
+* up to :data:`INLINE_TERM_LIMIT` terms — matching runs in the same narrow
+  stage as every other detector: with at most :data:`HEAD_REGEX_LIMIT`
+  distinct first words, a trie regex finds head-word occurrences and each
+  candidate term is checked in place; otherwise word n-grams are tested
+  against in-plan hash sets;
 * larger — n-gram candidates are exploded and equi-joined with the gazetteer
   (broadcast or shuffled as the optimizer's size estimates decide), then
   regrouped per document.
@@ -31,8 +34,12 @@ from ..functions.sql import add, empty, let, q
 
 INLINE_TERM_LIMIT = 50_000
 # With at most this many distinct first words, only their occurrences are
-# located (one trie-shaped regex) instead of tokenising every word.
-HEAD_REGEX_LIMIT = 256
+# located (one trie-shaped regex, cost per position bounded by the trie
+# depth) instead of tokenising every word.
+HEAD_REGEX_LIMIT = 5000
+# Up to this many heads the row gate is a set of byte searches; above it the
+# trie regex itself is the gate.
+HEAD_CONTAINS_GATE = 32
 WORD = r"(?U)\w+"
 
 # FIXED VALUES: external entity labels and the categories they map to.
@@ -154,7 +161,10 @@ def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: s
 
     t = ident(text)
     rx = r"(?U)(?<!\w)(?:" + _trie_regex(heads) + r")(?!\w)"
-    gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
+    if len(heads) <= HEAD_CONTAINS_GATE:
+        gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
+    else:
+        gate = f"{t} RLIKE {q(rx)}"
     df = with_spans(df, text, [Scan("__heads", rx, False, gate)])
     # head word -> its (term, category) candidates, a constant-folded map
     by_head: dict = {}

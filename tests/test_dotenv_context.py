@@ -169,3 +169,16 @@ def test_keywords_random_against_python(spark):
 
     for r in rows:
         assert sorted((f.start, f.end, f.category, f.value) for f in r.raw) == py(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_gazetteer_many_heads_uses_regex_gate(spark):
+    import re
+
+    terms = [(f"Name{i} Surname{i}", "person") for i in range(60)] + [("Paris", "location")]
+    gaz = spark.createDataFrame(terms, "term string, category string")
+    text = "Met Name7 Surname7 and Name70 Surname7 in Paris; Name59 Surname59. Name1 Surname10"
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    got = [(f.start, f.end, f.category) for f in
+           find(df, "text", P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=gaz)).first().findings]
+    want = sorted([(m.start(), m.end(), c) for t, c in terms for m in re.finditer(r"(?<!\w)" + re.escape(t) + r"(?!\w)", text)])
+    assert got == want and len(got) == 3, got
