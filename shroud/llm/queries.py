@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import langid, packing, simhash
 from .common import table
 
 
@@ -24,6 +24,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces packed into sequences of at most 4096 tokens."""
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
+                         "sequence_id", "offset")
+
+
 def queries() -> dict:
     """Every ``opN_<name>`` query of this subpackage."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
