@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash
+from . import langid, mixing, packing, simhash
 from .common import table
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of 150% of all words takes, sources weighing 5, 2, 1 in turn."""
+    planned = mixing.plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
+    return mixing.taken(planned).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (3-word shingles, 3 bits)."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
