@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+HAMMING_TOPK = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), codes AS (
+  SELECT vec_id, bit_or(CASE WHEN i <= 64 AND x > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END) AS code
+  FROM parts GROUP BY vec_id
+  HAVING bool_and(x IS NOT NULL AND isfinite(x)) AND bool_or(x <> 0)
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code)) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hamming_topk": HAMMING_TOPK}

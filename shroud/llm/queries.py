@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, simhash
+from . import hamming, hnsw, langid, mixing, packing, pii, simhash
+from . import vectors
 from .common import table
 
 
+def op2_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found, by inner product, for every vec_id divisible by 20."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of 150% of all words takes, sources weighing 5, 2, 1 in turn."""
     planned = mixing.plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
     return mixing.taken(planned).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact 10 nearest sign codes, by Hamming distance, for every vec_id divisible by 20."""
+    vec = F.col("embedding")
+    code = F.when(vectors.usable(vec), hamming.sign_code(vec))
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 10, "vec_id", code)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (3-word shingles, 3 bits)."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
