@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, hnsw, langid, mixing, packing, pii, simhash
+from . import hamming, hnsw, langid, mixing, packing, pii, simhash, templates, urls
 from . import vectors
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by its segmented words."""
+    judged = urls.judge(table(spark, sf_dir, "pages"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
 def op2_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found, by inner product, for every vec_id divisible by 20."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -53,6 +59,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = templates.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces packed into sequences of at most 4096 tokens."""
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
