@@ -1,4 +1,8 @@
-"""Helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators.
+
+Column names that start with two underscores are the operators' own work
+columns; any other column of an input may have any name.
+"""
 
 from __future__ import annotations
 

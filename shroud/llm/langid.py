@@ -13,7 +13,8 @@ window's border costs nothing), so memory is bounded for any text length.
 Null text and text without letters give ``und`` with score 0 and no spans; so
 does every text if nothing was learned. Rows with null text or null language
 are not learned from. Ties go to the language that sorts first. Repeated rows
-repeat; other columns pass through unread.
+repeat; other columns pass through unread (a column named like an output is
+replaced).
 """
 
 from __future__ import annotations
@@ -254,8 +255,8 @@ def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_o
         share = letters[np.arange(len(col)), top] / np.maximum(total, 1)
         return pd.DataFrame({"lang": np.where(total > 0, names[top], UND), "score": np.where(total > 0, share, 0.0)})
 
-    out = docs.withColumn("__lang", predict(F.col(text_col)))
-    return out.withColumns({lang_out: F.col("__lang.lang"), score_out: F.col("__lang.score")}).drop("__lang")
+    out = docs.withColumn("__langid", predict(F.col(text_col)))
+    return out.withColumns({lang_out: F.col("__langid.lang"), score_out: F.col("__langid.score")}).drop("__langid")
 
 
 def spans(model: LanguageModel, text: str | None) -> list[tuple[int, int, str]]:

@@ -165,12 +165,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text as it is; else the words taken keep the white space that follows them.
     """
     decided = plan(docs, id_col, text_col, source_col, block=block, seed=seed, **options)
-    spans = decided.select("row_hash", "start", F.col("size").alias("words"), F.expr(_spans(block)).alias("spans"))
+    spans = decided.select(F.col("row_hash").alias("__row"), "start", F.col("size").alias("words"), F.expr(_spans(block)).alias("spans"))
     # Rows that repeat share a hash: the n-th of them takes the n-th decision.
-    spans = spans.groupBy("row_hash").agg(F.sort_array(F.collect_list(F.struct("start", "words", "spans"))).alias("__plans"))
-    keyed = docs.withColumn("row_hash", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)))
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")))
-    out = keyed.join(spans, "row_hash").withColumn("__plan", F.element_at("__plans", F.col("__nth")))
+    spans = spans.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "words", "spans"))).alias("__plans"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)))
+    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    out = keyed.join(spans, "__row").withColumn("__plan", F.element_at("__plans", F.col("__nth")))
     most = F.expr("coalesce(array_max(__plan.spans.times), 0L)")
     out = out.withColumn("__pass", F.explode(F.when(most > 0, F.sequence(F.lit(1).cast("long"), most)).otherwise(
         F.array().cast("array<bigint>"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, hnsw, langid, mixing, packing, pii, simhash, templates, urls
+from . import hamming, hnsw, langid, mixing, packing, pii, quality, simhash, templates, urls
 from . import vectors
 from .common import table
 
@@ -65,6 +65,13 @@ def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality score of every document; ``keep`` at a probability of 0.5."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces packed into sequences of at most 4096 tokens."""
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
