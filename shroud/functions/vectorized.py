@@ -22,6 +22,13 @@ def exclusive_cumsum(arrays: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf("array<int>")
+def first_occurrence_numbers(arrays: pd.Series) -> pd.Series:
+    """For each string array, each element's number by first occurrence (null stays null)."""
+    return pd.Series([None if a is None else pd.factorize(np.asarray(a, dtype=object))[0].astype(np.int32) for a in arrays],
+                     dtype=object)
+
+
 FINDINGS_DDL = "array<struct<start:int,end:int,category:string,value:string>>"
 
 

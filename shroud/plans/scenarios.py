@@ -12,7 +12,7 @@ from ..sources.tables import read_table, read_texts
 from ..streaming import stream as S
 from . import oracles as O
 
-PASSPHRASE = "correct horse battery staple"
+PASSPHRASE = "seven lanterns over a quiet harbour"
 EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z, start of the derived event clock
 SECONDS_PER_DOC = 7
 
@@ -41,7 +41,7 @@ def unlock_documents(spark: SparkSession, sf: str) -> DataFrame:
     res.locked.write.parquet(path)
     reloaded = V.Vault.load(spark, vault.path).open(PASSPHRASE)
     locked = spark.read.parquet(path).select("doc_id", F.col("locked_text").alias("text"))
-    return V.unlock(locked, reloaded, "doc_id", "text")
+    return V.unlock(locked, reloaded)
 
 
 def lock_unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def lock_unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "locked")
     res.locked.write.parquet(path)
     locked = spark.read.parquet(path)
-    un = V.unlock(locked.select("doc_id", F.col("locked_text").alias("text")), vault, "doc_id", "text")
+    un = V.unlock(locked.select("doc_id", F.col("locked_text").alias("text")), vault)
     orig = read_table(spark, sf, "documents").select("doc_id", "text")
     j = un.join(locked.select("doc_id", "n_replaced"), "doc_id").join(orig, "doc_id")
     return j.select("doc_id", "n_replaced", "n_restored",
