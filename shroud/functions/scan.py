@@ -246,4 +246,4 @@ def with_tagged_spans(df: DataFrame, text: str, scans: Sequence[Scan], out: str)
     df = df.drop("__tp")
     if own:
         df = df.drop(SENTINEL_COL)
-    return metric_barrier(df, [out])
+    return df

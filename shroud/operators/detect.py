@@ -111,13 +111,14 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
     return df
 
 
-def barrier(df: DataFrame, findings: str) -> DataFrame:
-    """Publish the total finding count as an observed metric.
-
-    The metric node also stops the optimizer from pushing later filters (for
-    example the ``size(...) > 0`` it infers for ``inline``) below it by
-    substituting the staged detection expressions into the predicate, which
-    would evaluate the whole detection twice.
+def guard(df: DataFrame, findings: str = "findings") -> DataFrame:
+    """Publish the finding count as an observed metric, and keep later filters above it.
+
+    ``explode``/``inline`` infer a filter ``size(findings) > 0``, and a filter
+    on the findings is pushed through projections by substituting the staged
+    expressions, which would run the detection twice. Put this only in front
+    of such a step: it also keeps key filters and column pruning from reaching
+    the scan.
     """
     name = f"shroud_findings_{uuid.uuid4().hex[:10]}"
     return df.observe(name, F.sum(F.size(F.col(findings))).alias("n_findings"))
@@ -125,10 +126,14 @@ def barrier(df: DataFrame, findings: str) -> DataFrame:
 
 def find(df: DataFrame, text: str = "text", policy: P.Policy | None = None, out: str = "findings",
          dotenv: Column | bool = False, key: str | None = None, custom: Sequence = ()) -> DataFrame:
-    """Add ``out``: resolved, ascending, non-overlapping findings per row."""
+    """Add ``out``: resolved, ascending, non-overlapping findings per row.
+
+    A plain projection: filters on other columns reach the scan, and an unused
+    ``out`` costs nothing.
+    """
     policy = policy or P.Policy()
     df = with_raw_findings(df, text, policy, "__raw", dotenv=dotenv, key=key, custom=custom)
-    return barrier(with_resolved(df, "__raw", out).drop("__raw"), out)
+    return with_resolved(df, "__raw", out).drop("__raw")
 
 
 def scan_pattern(df: DataFrame, text: str, spec: C.PatternSpec, out: str = "spans",
@@ -137,4 +142,4 @@ def scan_pattern(df: DataFrame, text: str, spec: C.PatternSpec, out: str = "span
     df = with_spans(df, text, [Scan(out, spec.regex, spec.grouped, spec.gate(ident(text)))])
     if validate and spec.validator == "luhn":
         df = add(df, {out: f"filter({out}, s -> {luhn_valid('s.value')})"})
-    return barrier(df, out)
+    return df

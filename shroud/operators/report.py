@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import count_label
 from ..functions.sql import add, ident
+from .detect import guard
 
 
 def counts_sql(f: str) -> str:
@@ -36,7 +37,12 @@ def with_report(df: DataFrame, findings: str = "findings") -> DataFrame:
 
 def explode_findings(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:
     """Findings table ``(keys..., start, end, category, value)``."""
-    return df.select(*keys, F.inline(findings))
+    return guard(df.select(*keys, findings), findings).select(*keys, F.inline(findings))
+
+
+def changed_rows(df: DataFrame, findings: str = "findings") -> DataFrame:
+    """The rows with findings, detected once."""
+    return guard(df, findings).where(F.size(findings) > 0)
 
 
 def counts_by(df: DataFrame, group: Sequence[str], findings: str = "findings") -> DataFrame:
@@ -46,5 +52,5 @@ def counts_by(df: DataFrame, group: Sequence[str], findings: str = "findings") -
     the hash aggregate combines them map-side before the shuffle, so a hot
     group never concentrates raw findings in one task.
     """
-    per_row = df.select(*group, F.explode(F.expr(counts_sql(ident(findings)))).alias("category", "n"))
+    per_row = guard(df.select(*group, findings), findings).select(*group, F.explode(F.expr(counts_sql(ident(findings)))).alias("category", "n"))
     return per_row.groupBy(*group, "category").agg(F.sum("n").cast("long").alias("n_findings"))

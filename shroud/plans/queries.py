@@ -15,7 +15,7 @@ from ..functions.sql import add
 from ..operators import catalog as C
 from ..operators.detect import find, scan_pattern
 from ..operators.mask import mask
-from ..operators.report import counts_by, with_report
+from ..operators.report import changed_rows, counts_by, explode_findings, with_report
 from ..sources.tables import read_table, read_texts
 
 DEFAULT = P.Policy()
@@ -48,7 +48,7 @@ def find_secrets(spark: SparkSession, sf: str) -> DataFrame:
     One combined scan per table computes all patterns; each span carries its
     pattern name.
     """
-    from ..functions.scan import Scan, with_tagged_spans
+    from ..functions.scan import Scan, metric_barrier, with_tagged_spans
     from ..functions.sql import ident, q
 
     names = "CASE s.id " + " ".join(f"WHEN {i} THEN {q(spec.name)}" for i, spec in enumerate(C.SECRETS)) + " END"
@@ -61,6 +61,7 @@ def find_secrets(spark: SparkSession, sf: str) -> DataFrame:
         df = with_tagged_spans(df, "text", scans, "__spans")
         tagged = (f"transform(__spans, s -> named_struct('pattern', {names}, 'start', CAST(s.start AS BIGINT), "
                   f"'end', CAST(s.`end` AS BIGINT), 'value', s.value))")
+        df = metric_barrier(df, ["__spans"])
         part = df.select(F.lit(table).alias("source_table"), "id", F.inline(F.expr(tagged)))
         out = part if out is None else out.unionByName(part)
     return out
@@ -89,7 +90,7 @@ def find_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flat(df: DataFrame, keys) -> DataFrame:
-    return df.select(*keys, F.inline("findings")).select(
+    return explode_findings(df, keys).select(
         *keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
         "category", "value")
 
@@ -105,7 +106,7 @@ def resolve_documents_islands(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.resolve import resolve_exploded
 
     raw = with_raw_findings(read_texts(spark, sf, "documents"), "text", DEFAULT, "raw")
-    table = raw.select("doc_id", F.inline("raw"))
+    table = explode_findings(raw, ("doc_id",), "raw")
     out = resolve_exploded(table, "doc_id")
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                       "category", "value")
@@ -123,8 +124,8 @@ def mask_table(table: str, policy: P.Policy = DEFAULT):
 
 
 def summary_documents(spark: SparkSession, sf: str) -> DataFrame:
-    df = with_report(find(read_texts(spark, sf, "documents"), "text", DEFAULT))
-    return df.where("changed").select("doc_id", "n_findings", "summary")
+    df = with_report(changed_rows(find(read_texts(spark, sf, "documents"), "text", DEFAULT)))
+    return df.select("doc_id", "n_findings", "summary")
 
 
 def counts_by_category(spark: SparkSession, sf: str) -> DataFrame:

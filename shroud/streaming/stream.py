@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from .. import policy as P
+from ..operators.detect import guard
 from ..operators.mask import mask
 from ..operators.report import counts_sql
 
@@ -130,7 +131,7 @@ def drop_repeats_batch(df: DataFrame, key: str, seq: str, text: str = "text") ->
 def window_report(masked_findings: DataFrame, ts: str, window: str = "10 minutes",
                   watermark: str = "1 hour") -> DataFrame:
     """Finding counts per (event-time window, category), watermarked."""
-    per_row = masked_findings.select(ts, F.explode(F.expr(counts_sql("findings"))).alias("category", "n"))
+    per_row = guard(masked_findings.select(ts, "findings")).select(ts, F.explode(F.expr(counts_sql("findings"))).alias("category", "n"))
     return (per_row.withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), "category")
             .agg(F.sum("n").cast("long").alias("n_findings"))
