@@ -1,21 +1,17 @@
 """Contextual entities (person, location, org, date) and pluggable detectors.
 
 The entity categories have no fixed shape. Here they are found with a
-*gazetteer* — a table ``(term, category[, score])`` — matched against word
-n-grams of the text: a term matches when it equals, case-sensitively, a run of
-whole words together with the exact separators between them. Terms scoring
-below the policy's minimum (0.4 by default) are ignored.
-
-Two physical plans, chosen by a size check on the gazetteer:
-
-* up to :data:`INLINE_TERM_LIMIT` terms — matching runs in the same narrow
-  stage as every other detector: with at most :data:`HEAD_REGEX_LIMIT`
-  distinct first words, a trie regex finds head-word occurrences and each
-  candidate term is checked in place; otherwise word n-grams are tested
-  against in-plan hash sets;
-* larger — n-gram candidates are exploded and equi-joined with the gazetteer
-  (broadcast or shuffled as the optimizer's size estimates decide), then
-  regrouped per document.
+*gazetteer* — a table ``(term, category[, score])`` — matched against whole
+words of the text: a term matches when it equals, case-sensitively, a run of
+whole words together with the exact separators between them, so it must begin
+and end with a word character. Terms scoring below the policy's minimum (0.4 by
+default) are ignored.
+
+A short gazetteer (up to :data:`PLAN_TERMS` terms) is compiled into the narrow
+detection stage: a trie-shaped regex finds the terms' first words, and each
+candidate term is checked in place. A longer one is joined
+(:mod:`shroud.operators.terms`). The findings are the same; only the plan
+differs. The joined form needs a batch DataFrame.
 
 Any other detector (a model, a service client) plugs in as a pandas UDF through
 :func:`custom_detector`; it runs on executors in Arrow batches.
@@ -30,17 +26,13 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions.scan import Scan, with_spans
-from ..functions.sql import add, empty, let, q
-
-INLINE_TERM_LIMIT = 50_000
-# With at most this many distinct first words, only their occurrences are
-# located (one trie-shaped regex, cost per position bounded by the trie
-# depth) instead of tokenising every word.
-HEAD_REGEX_LIMIT = 5000
-# Up to this many heads the row gate is a set of byte searches; above it the
-# trie regex itself is the gate.
+from ..functions.sql import add, ident, let, q
+from .terms import term_table, with_term_hits
+
+#: Terms that are compiled into the plan; more are joined.
+PLAN_TERMS = 5000
+#: Up to this many first words the row gate is a set of byte searches; above it the trie regex itself is the gate.
 HEAD_CONTAINS_GATE = 32
-WORD = r"(?U)\w+"
 
 # FIXED VALUES: external entity labels and the categories they map to.
 ENTITY_LABELS = {"PERSON": P.PERSON, "LOCATION": P.LOCATION, "ORGANIZATION": P.ORG, "DATE_TIME": P.DATE}
@@ -56,51 +48,25 @@ def prepare_gazetteer(gazetteer: DataFrame, policy: P.Policy) -> DataFrame:
     if "score" in g.columns:
         g = g.where(F.col("score") >= F.lit(policy.contextual_min_score))
     g = g.where(F.col("category").isin(*sorted(policy.contextual_enabled)))
-    g = g.where(F.col("term").isNotNull() & (F.length("term") > 0))
-    return g.select("term", "category").dropDuplicates(["term", "category"])
-
+    g = g.where(F.col("term").rlike(r"(?Us)^\w(?:.*\w)?$"))
+    return g.select("term", "category", F.regexp_extract("term", r"(?U)^\w+", 0).alias("head")).dropDuplicates(["term", "category"])
 
-def _gazetteer_stats(g: DataFrame) -> tuple[int, int]:
-    row = g.agg(F.count(F.lit(1)).alias("n"),
-                F.max(F.size(F.regexp_extract_all("term", F.lit(WORD), 0))).alias("w")).first()
-    return int(row["n"] or 0), int(row["w"] or 0)
 
-
-def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str,
-                    key: str | None = None) -> DataFrame:
+def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str) -> DataFrame:
     """``out`` = contextual findings array (category per element)."""
     if policy.contextual_status != "active":
         return df.withColumn(out, F.array().cast(CTX_TYPE))
     g = prepare_gazetteer(policy.gazetteer, policy)
-    n_terms, max_words = _gazetteer_stats(g)
-    if n_terms == 0 or max_words == 0:
+    few = g.limit(PLAN_TERMS + 1).collect()
+    if not few:
         return df.withColumn(out, F.array().cast(CTX_TYPE))
-    if n_terms <= INLINE_TERM_LIMIT or key is None:
-        if n_terms > INLINE_TERM_LIMIT:
-            raise ValueError("gazetteer larger than the inline limit needs a document key column")
-        return _inline(df, text, g, max_words, out)
-    return _joined(df, text, g, max_words, out, key)
-
-
-def _word_candidates(df: DataFrame, text: str, max_words: int, heads: list | None) -> DataFrame:
-    """``__cand``: array of (start, end, ngram) word runs up to ``max_words``."""
-    df = with_spans(df, text, [Scan("__words", WORD, parts_out="__wparts", dense=True)])
-    gram = ("n -> named_struct('start', v.w[i].start, 'end', v.w[i + n - 1].`end`, "
-            "'ngram', array_join(slice(v.p, 2 * i + 2, 2 * n - 1), ''))")
-    at = f"i -> transform(sequence(1, least({int(max_words)}, size(v.w) - i)), {gram})"
-    starts = "sequence(0, size(v.w) - 1)"
-    if heads is not None:
-        starts = f"filter({starts}, i -> v.w[i].value IN ({', '.join(q(h) for h in heads)}))"
-    cand_t = "ARRAY<STRUCT<start: INT, `end`: INT, ngram: STRING>>"
-    cand = let({"w": "__words", "p": "__wparts"}, f"flatten(transform({starts}, {at}))", "v")
-    df = add(df, {"__cand": f"CASE WHEN size(__words) > 0 THEN {cand} ELSE {empty(cand_t)} END"})
-    return df.drop("__words", "__wparts")
+    if len(few) <= PLAN_TERMS:
+        return _compiled(df, text, few, out)
+    return with_term_hits(df, text, term_table(g, fold=False), out, fold=False)
 
 
 def _trie_regex(words) -> str:
     """Alternation of literal words factored by common prefix (no backtracking blow-up)."""
-    import re as _re
-
     trie: dict = {}
     for w in words:
         node = trie
@@ -120,7 +86,6 @@ def _trie_regex(words) -> str:
         body = alts[0] if len(alts) == 1 and not end else "(?:" + "|".join(alts) + ")"
         return body + ("?" if end else "")
 
-    del _re
     return emit(trie)
 
 
@@ -128,50 +93,24 @@ def _quote(ch: str) -> str:
     return "\\" + ch if not ch.isalnum() else ch
 
 
-def _inline(df: DataFrame, text: str, g: DataFrame, max_words: int, out: str) -> DataFrame:
-    # bounded by the INLINE_TERM_LIMIT check in with_contextual
-    by_cat: dict = {}
-    for r in g.collect():
-        if _whole_words(r["term"]):
-            by_cat.setdefault(r["category"], set()).add(r["term"])
-    heads = sorted({w for terms in by_cat.values() for t in terms for w in _first_word(t)})
-    if not heads:
-        return df.withColumn(out, F.array().cast(CTX_TYPE))
-    if len(heads) <= HEAD_REGEX_LIMIT:
-        return _inline_by_heads(df, text, by_cat, heads, out)
-    df = _word_candidates(df, text, max_words, heads)
-    label = "CAST(NULL AS STRING)"
-    for cat in reversed([x for x in P.CONTEXTUAL_CATEGORIES if x in by_cat]):
-        terms = ", ".join(q(t) for t in sorted(by_cat[cat]))
-        label = f"CASE WHEN c.ngram IN ({terms}) THEN {q(cat)} ELSE {label} END"
-    tagged = (f"transform(__cand, c -> named_struct('start', c.start, 'end', c.`end`, 'category', {label}, "
-              f"'value', c.ngram))")
-    df = add(df, {out: f"filter({tagged}, x -> x.category IS NOT NULL)"})
-    return df.drop("__cand")
-
-
-def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: str) -> DataFrame:
-    """Locate whole-word head occurrences, then test each term that starts there.
-
-    A term matches at a head occurrence when the text continues with exactly
-    the term and the next character is not a word character — the same as
-    the term equalling a run of whole words with their separators.
-    """
-    from ..functions.sql import ident
+def _compiled(df: DataFrame, text: str, rows: list, out: str) -> DataFrame:
+    """Locate whole-word first words, then test each term that starts there.
 
+    A term matches where the text continues with exactly the term and the next
+    character is not a word character.
+    """
     t = ident(text)
+    heads = sorted({r["head"] for r in rows})
     rx = r"(?U)(?<!\w)(?:" + _trie_regex(heads) + r")(?!\w)"
     if len(heads) <= HEAD_CONTAINS_GATE:
         gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
     else:
         gate = f"{t} RLIKE {q(rx)}"
     df = with_spans(df, text, [Scan("__heads", rx, False, gate)])
-    # head word -> its (term, category) candidates, a constant-folded map
+    # first word -> its (term, category) candidates, a constant-folded map
     by_head: dict = {}
-    for cat in P.CONTEXTUAL_CATEGORIES:
-        for term in sorted(by_cat.get(cat, ())):
-            by_head.setdefault(_first_word(term)[0], []).append(
-                f"named_struct('term', {q(term)}, 'category', {q(cat)})")
+    for r in sorted(rows, key=lambda r: (P.CONTEXTUAL_CATEGORIES.index(r["category"]), r["term"])):
+        by_head.setdefault(r["head"], []).append(f"named_struct('term', {q(r['term'])}, 'category', {q(r['category'])})")
     table = "map(" + ", ".join(f"{q(h)}, array({', '.join(v)})" for h, v in sorted(by_head.items())) + ")"
     from .mask import SPLICE_CHUNKED_ABOVE, _piece_sql
 
@@ -192,32 +131,6 @@ def _inline_by_heads(df: DataFrame, text: str, by_cat: dict, heads: list, out: s
     return df.drop("__heads")
 
 
-def _whole_words(term: str) -> bool:
-    """Terms must start and end with a word character to be matchable."""
-    import re
-
-    return bool(term) and bool(re.match(r"\w", term[0])) and bool(re.match(r"\w", term[-1]))
-
-
-def _first_word(term: str) -> list:
-    import re
-
-    m = re.match(r"\w+", term)
-    return [m.group(0)] if m else []
-
-
-def _joined(df: DataFrame, text: str, g: DataFrame, max_words: int, out: str, key: str) -> DataFrame:
-    base = _word_candidates(df.select(key, text), text, max_words, None)
-    cand = base.select(key, F.inline("__cand"))
-    hits = cand.join(g, cand["ngram"] == g["term"], "inner")
-    # a term listed under several categories matches once per category, like
-    # several detectors reporting the same span; resolution picks one
-    per_doc = hits.groupBy(key).agg(F.collect_list(F.struct(
-        F.col("start"), F.col("end"), F.col("category"), F.col("ngram").alias("value"))).alias(out))
-    joined = df.join(per_doc, on=key, how="left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast(CTX_TYPE)))
-
-
 def custom_detector(fn: Callable[[str], Iterable[tuple]], category: str | None = None):
     """Wrap ``fn(text) -> iterable of (start, end[, category])`` as a column function.
 

@@ -26,6 +26,7 @@ from . import catalog as C
 from .contextual import with_contextual
 from .dotenv import with_dotenv_spans
 from .resolve import with_resolved
+from .terms import term_table, with_term_hits
 
 
 LOWER_COL = "__lc"
@@ -50,6 +51,22 @@ def detector_plan(text: str, policy: P.Policy, lowered: str | None = None) -> li
     return plan
 
 
+def with_keyword_table(df: DataFrame, text: str, keywords: DataFrame, out: str) -> DataFrame:
+    """Keywords of a table ``(keyword)`` of any size, whatever their case, as whole words (marks may touch anything).
+
+    Keywords without a word of their own (only marks, or an underscore at an
+    end, which may continue a word) can't be joined by words; those few are
+    scanned one by one.
+    """
+    terms = keywords.select(F.trim("keyword").alias("term"), F.lit(P.KEYWORD).alias("category")).where(F.length("term") > 0)
+    loose = ~F.col("term").rlike(r"(?U)\w") | F.col("term").rlike(r"^_|_$")
+    df = with_term_hits(df, text, term_table(terms.where(~loose), fold=True), out, fold=True)
+    for i, r in enumerate(terms.where(loose).distinct().orderBy("term").collect()):
+        df = with_spans(df, text, [Scan(f"__kw{i}", C.keyword_regex(r["term"]))])
+        df = add(df, {out: f"concat({out}, {_tagged(f'__kw{i}', P.KEYWORD)})"}).drop(f"__kw{i}")
+    return df
+
+
 def _needs_lower(policy: P.Policy) -> bool:
     # one lower-cased copy per row makes every case-insensitive gate a byte search
     return policy.is_on(P.SECRET) or bool(policy.active_keywords)
@@ -61,8 +78,7 @@ def _tagged(name: str, category: str) -> str:
 
 
 def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "raw_findings",
-                      dotenv: Column | bool = False, key: str | None = None,
-                      custom: Sequence = ()) -> DataFrame:
+                      dotenv: Column | bool = False, custom: Sequence = ()) -> DataFrame:
     """``out`` = unresolved findings of every enabled detector."""
     t = ident(text)
     df, own = with_sentinel(df, text)
@@ -90,9 +106,13 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
     if lowered:
         df = df.drop(LOWER_COL, LOWER_COL + "__cf")
     if policy.contextual_status == "active":
-        df = with_contextual(df, text, policy, "__ctx", key=key)
+        df = with_contextual(df, text, policy, "__ctx")
         arrays.append("__ctx")
         extra.append("__ctx")
+    if policy.keyword_table is not None and policy.is_on(P.KEYWORD):
+        df = with_keyword_table(df, text, policy.keyword_table, "__kwt")
+        arrays.append("__kwt")
+        extra.append("__kwt")
     for i, det in enumerate(custom):
         name = f"__cu{i}"
         df = df.withColumn(name, det(F.col(text)))
@@ -125,14 +145,14 @@ def guard(df: DataFrame, findings: str = "findings") -> DataFrame:
 
 
 def find(df: DataFrame, text: str = "text", policy: P.Policy | None = None, out: str = "findings",
-         dotenv: Column | bool = False, key: str | None = None, custom: Sequence = ()) -> DataFrame:
+         dotenv: Column | bool = False, custom: Sequence = ()) -> DataFrame:
     """Add ``out``: resolved, ascending, non-overlapping findings per row.
 
     A plain projection: filters on other columns reach the scan, and an unused
     ``out`` costs nothing.
     """
     policy = policy or P.Policy()
-    df = with_raw_findings(df, text, policy, "__raw", dotenv=dotenv, key=key, custom=custom)
+    df = with_raw_findings(df, text, policy, "__raw", dotenv=dotenv, custom=custom)
     return with_resolved(df, "__raw", out).drop("__raw")
 
 

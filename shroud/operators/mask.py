@@ -56,9 +56,8 @@ def with_masked(df: DataFrame, text: str, findings: str, policy: P.Policy, out:
 
 
 def mask(df: DataFrame, text: str = "text", policy: P.Policy | None = None, out: str = "masked_text",
-         findings: str = "findings", dotenv: Column | bool = False, key: str | None = None,
-         custom: Sequence = ()) -> DataFrame:
+         findings: str = "findings", dotenv: Column | bool = False, custom: Sequence = ()) -> DataFrame:
     """Add ``findings`` and the masked text ``out`` (null text stays null)."""
     policy = policy or P.Policy()
-    df = find(df, text, policy, out=findings, dotenv=dotenv, key=key, custom=custom)
+    df = find(df, text, policy, out=findings, dotenv=dotenv, custom=custom)
     return with_masked(df, text, findings, policy, out)

@@ -1,0 +1,68 @@
+"""Term tables of any size: whole-word terms found by equi-joins.
+
+A term is its *core* (from its first to its last word) and the marks before and
+after the core. The core is matched against runs of whole words together with
+their separators, the marks against the neighbouring separators. Only words
+that begin some term start a run, and a run is no longer than the longest term
+of its first word: the distinct words of each text are joined with the terms'
+first words before any run is built. Texts are identified by a hash, so no key
+column is needed and equal texts are searched alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.hashing import PAIR, text_hash
+from ..functions.scan import Scan, metric_barrier, with_spans
+from ..functions.sql import add, let
+
+WORD = r"(?U)\w+"
+HIT_T = "array<struct<start:int,end:int,category:string,value:string>>"
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with the four letters that case-fold onto ASCII ones replaced by them."""
+    return F.lower(F.translate(c, "ıſKİ", "iski"))
+
+
+def term_table(terms: DataFrame, fold: bool) -> DataFrame:
+    """``(term, category)`` -> ``(core, pre, post, head, n_words, category)``; terms without a whole word are left out."""
+    t = F.trim(F.col("term")) if fold else F.col("term")
+    t = folded(t) if fold else t
+    parts = terms.select(t.alias("t"), "category").select(
+        "t", "category", F.regexp_extract("t", r"(?Us)^(\W*)(\w.*\w|\w)(\W*)$", 1).alias("pre"),
+        F.regexp_extract("t", r"(?Us)^(\W*)(\w.*\w|\w)(\W*)$", 2).alias("core"),
+        F.regexp_extract("t", r"(?Us)^(\W*)(\w.*\w|\w)(\W*)$", 3).alias("post"))
+    out = parts.where(F.length("core") > 0).withColumns({
+        "head": F.regexp_extract("core", r"(?U)^\w+", 0), "n_words": F.size(F.regexp_extract_all("core", F.lit(WORD), F.lit(0)))})
+    return out.select("core", "pre", "post", "head", "n_words", "category").distinct()
+
+
+def with_term_hits(df: DataFrame, text: str, table: DataFrame, out: str, fold: bool) -> DataFrame:
+    """Add ``out``: every occurrence of every term (overlapping ones included), null text gives none."""
+    source = df.select("*", *text_hash(text))
+    same = (lambda c: folded(c)) if fold else (lambda c: c)
+    base = source.where(F.col(text).isNotNull()).select(*PAIR, F.col(text).alias("__t"))
+    base = with_spans(base, "__t", [Scan("__words", WORD, parts_out="__parts", dense=True)]).drop("__t")
+    heads = table.groupBy("head").agg(F.max("n_words").alias("n"))
+    seen = base.select(*PAIR, F.explode(F.array_distinct(F.transform("__words", lambda w: same(w["value"])))).alias("head"))
+    present = seen.join(heads, "head").groupBy(*PAIR).agg(F.map_from_entries(F.collect_set(F.struct("head", "n"))).alias("__heads"))
+    cand = base.join(present, PAIR)
+    fold_sql = (lambda x: f"lower(translate({x}, 'ıſKİ', 'iski'))") if fold else (lambda x: x)
+    gram = ("n -> named_struct('start', v.w[i].start, 'end', v.w[i + n - 1].`end`, "
+            "'gram', array_join(slice(v.p, 2 * i + 2, 2 * n - 1), ''), 'before', v.p[2 * i], 'after', v.p[2 * (i + n)])")
+    longest = f"element_at(v.h, {fold_sql('v.w[i].value')})"
+    runs = let({"w": "__words", "p": "__parts", "h": "__heads"},
+               f"flatten(transform(filter(sequence(0, size(v.w) - 1), i -> {longest} IS NOT NULL), "
+               f"i -> transform(sequence(1, least({longest}, size(v.w) - i)), {gram})))", "v")
+    cand = metric_barrier(add(cand.where(F.size("__words") > 0), {"__runs": runs}).select(*PAIR, "__runs"), ["__runs"])
+    cand = cand.select(*PAIR, F.inline("__runs")).withColumn("core", same(F.col("gram")))
+    hits = cand.join(table, "core").where(F.col("before").endswith(F.col("pre")) & F.col("after").startswith(F.col("post")))
+    # The value as it stands in the text.
+    row = F.struct((F.col("start") - F.length("pre")).alias("start"), (F.col("end") + F.length("post")).alias("end"), "category",
+                   F.expr("concat(right(before, length(pre)), gram, left(after, length(post)))").alias("value"))
+    found = hits.groupBy(*PAIR).agg(F.sort_array(F.collect_set(row)).alias(out))
+    joined = source.join(found, PAIR, "left").drop(*PAIR)
+    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast(HIT_T)))

@@ -149,7 +149,62 @@ def keyword_mask(spark: SparkSession, sf: str) -> DataFrame:
 def gazetteer_find(spark: SparkSession, sf: str) -> DataFrame:
     gaz = spark.createDataFrame(list(GAZETTEER), "term string, category string")
     policy = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=gaz)
-    return _flat(find(read_texts(spark, sf, "documents"), "text", policy, key="doc_id"), ("doc_id",))
+    return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
+
+
+def gazetteer_large_find(spark: SparkSession, sf: str) -> DataFrame:
+    """The same terms among one term for each line item (tens of thousands): the joined form, equal to the short one."""
+    items = read_table(spark, sf, "lineitem").select(F.concat_ws(" ", F.lit("Item"), "l_orderkey", "l_linenumber").alias("term"))
+    gaz = items.distinct().withColumn("category", F.lit(P.LOCATION)).unionByName(
+        spark.createDataFrame(list(GAZETTEER), "term string, category string"))
+    policy = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=gaz)
+    return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
+
+
+def gazetteer_scores_find(spark: SparkSession, sf: str) -> DataFrame:
+    """External entity labels and scores: labels are mapped, low scores and categories that are off drop out."""
+    rows = [("Orre", "PERSON", 0.9), ("Nicht", "LOCATION", 0.4), ("That", "PERSON", 0.39), ("Anon", "ORGANIZATION", 0.8),
+            ("Pour", "DATE_TIME", 1.0)]
+    gaz = spark.createDataFrame(rows, "term string, category string, score double")
+    policy = P.Policy(enabled={P.PERSON, P.LOCATION, P.DATE}, gazetteer=gaz)
+    return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
+
+
+KEYWORD_WORD = "^[A-Za-z]{9,}$"
+
+
+def conversation_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of keywords: the long plain words of all conversations, in order of their first turn."""
+    turns = read_table(spark, sf, "conversations")
+    words = turns.select("conv_id", F.explode(F.split("text", " ")).alias("w"))
+    words = words.where(F.col("w").rlike(KEYWORD_WORD)).groupBy(F.lower("w").alias("keyword")).agg(F.min("conv_id").alias("pos"))
+    return words.select("pos", "keyword")
+
+
+def keyword_table_find(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scanned with a keyword table, by joins: no regex per keyword."""
+    policy = P.Policy(enabled={P.KEYWORD}, keyword_table=conversation_keywords(spark, sf))
+    return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
+
+
+def keyword_table_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords added (duplicates in other case skipped) and removed by joins, with their length."""
+    from ..sources import policy_store as PS
+
+    base = conversation_keywords(spark, sf)
+    upper = base.select((F.col("pos") + 1).alias("pos"), F.upper("keyword").alias("keyword"))
+    added = PS.add_keywords(base, upper.unionByName(base.select("pos", F.concat(F.lit(" x"), "keyword", F.lit(" ")).alias("keyword"))))
+    return PS.remove_keywords(added, base.where(F.length("keyword") > 11)).select("keyword")
+
+
+def policy_tables_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """A policy that comes as a table: e-mail with its own token, cards by default, an unknown category ignored."""
+    rows = [("email", True, "<mail>"), ("credit_card", True, None), ("ip", False, "<ip>"), ("retina", True, "<eye>")]
+    from ..sources.policy_store import policy_from_tables
+
+    policy = policy_from_tables(spark.createDataFrame(rows, "category string, enabled boolean, replacement string"))
+    df = mask(read_texts(spark, sf, "documents"), "text", policy)
+    return df.select("doc_id", "masked_text", F.size("findings").cast("long").alias("n_findings"))
 
 
 def customer_env_files(spark: SparkSession, sf: str) -> DataFrame:

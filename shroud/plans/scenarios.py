@@ -87,29 +87,67 @@ def stream_window_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_dedup_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns whose text differs from the previous turn, masked."""
-    src = _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text")
-    changed = S.drop_repeats(src, "conv_id", "turn", "text")
-    out = S.mask_stream(changed, "text", P.Policy(), keep=("conv_id", "turn"))
-    sink, ck = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ck")
-    S.run_available(out, sink, ck)
-    return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
+    return _stream_without_repeats(spark, _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text"))
 
 
-def stream_dedup_conversations_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Same result with state kept as a table and predecessor equi-joins."""
+def _stream_without_repeats(spark: SparkSession, src: DataFrame) -> DataFrame:
     from ..operators.mask import mask
 
-    src = _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text")
-
     def masked(kept):
         out = mask(kept, "text", P.Policy())
         return out.select("conv_id", "turn", "masked_text", F.size("findings").cast("long").alias("n_findings"))
 
-    sink, ck = scratch_path(spark, "stream-dedup-t"), scratch_path(spark, "stream-dedup-t-ck")
+    sink, ck = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ck")
     S.run_without_repeats(src, "conv_id", "turn", "text", sink, ck, then=masked)
     return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
 
 
+#: Each turn is repeated one to three times with gaps in the sequence; SQL that Spark and DuckDB read alike.
+COPIES_SQL = "1 + (conv_id + turn) % 3"
+BATCHES = 4
+
+
+def repeated_turns(spark: SparkSession, sf: str) -> DataFrame:
+    from .planted import planted
+
+    df = planted(spark, sf).withColumn("copy", F.explode(F.expr(f"sequence(1L, {COPIES_SQL})")))
+    return df.select("conv_id", (F.col("turn") * 10 + F.col("copy") * 2).alias("turn"), "text")
+
+
+def stream_dedup_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with repeats and gaps in several micro-batches: only changes are processed."""
+    rows = repeated_turns(spark, sf)
+    src = scratch_path(spark, "stream-repeats")
+    for b in range(BATCHES):  # one file per micro-batch, in order of turns
+        last = b == BATCHES - 1
+        part = rows.where((F.col("turn") >= 10 * b) & (F.lit(last) | (F.col("turn") < 10 * (b + 1))))
+        part.coalesce(1).write.mode("append").parquet(src)
+    return _stream_without_repeats(spark, S.read_stream(spark, src, rows.schema, max_files_per_trigger=1))
+
+
+def dedup_repeats_batch(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.mask import mask
+
+    out = mask(S.drop_repeats_batch(repeated_turns(spark, sf), "conv_id", "turn", "text"), "text", P.Policy())
+    return out.select("conv_id", "turn", "masked_text", F.size("findings").cast("long").alias("n_findings"))
+
+
+def dedup_repeats_sql() -> str:
+    from .planted import piece_sql
+
+    src = (f"SELECT conv_id, turn * 10 + copy * 2 AS turn, text FROM (SELECT conv_id, turn, text || ' ' || {piece_sql('VARCHAR')} "
+           f"|| ' end' AS text, unnest(generate_series(1, {COPIES_SQL})) AS copy FROM conversations)")
+    changed = (f"SELECT conv_id, turn, text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, "
+               f"row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM ({src})) WHERE n = 1 OR prev IS DISTINCT FROM text")
+    return O.mask_sql("conversations", ("conv_id", "turn"), "text", P.Policy(), changed)
+
+
+def stream_dedup_conversations_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same result by another name: state is a table (kept for earlier users of the query)."""
+    src = _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return _stream_without_repeats(spark, src)
+
+
 def dedup_conversations_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Batch form: equi-join each turn with its predecessor."""
     from ..operators.mask import mask
@@ -131,4 +169,6 @@ def oracles() -> dict:
         "stream_dedup_conversations": O.dedup_sql(),
         "dedup_conversations_batch": O.dedup_sql(),
         "stream_dedup_conversations_table": O.dedup_sql(),
+        "stream_dedup_repeats": dedup_repeats_sql(),
+        "dedup_repeats_batch": dedup_repeats_sql(),
     }

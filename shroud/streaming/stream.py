@@ -2,30 +2,28 @@
 
 * :func:`mask_stream` — stateless: every micro-batch is masked with the same
   narrow plan as batch masking (the watch loop, with source and sink apart).
-* :func:`drop_repeats` — a row is processed only when its text differs from
-  the previous row of the same key (consecutive repeats only). State per key
-  is the last text hash and sequence number, kept by
-  ``applyInPandasWithState``; rows of a key inside one micro-batch arrive in
-  Arrow chunks and are ordered by sequence there. Micro-batches are bounded
-  by ``maxFilesPerTrigger``, which bounds any one group's batch.
+* :func:`run_without_repeats` — a row is processed only when its text differs
+  from the previous row of the same key in true order (consecutive repeats
+  only), over gaps and across micro-batches. Rows are range-partitioned by
+  (key, sequence) and compared with their neighbour; only one row per range
+  crosses a border, so a hot key spreads over all tasks. The last row per key
+  is kept in a state table.
 * :func:`window_report` — findings per category per event-time window with a
   watermark bounding the state.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from .. import policy as P
 from ..operators.detect import guard
 from ..operators.mask import mask
 from ..operators.report import counts_sql
+from ..session import materialize
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
@@ -64,9 +62,6 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
     return q
 
 
-_STATE_SCHEMA = "last_hash string, last_seq long"
-
-
 def run_updates(df: DataFrame, sink: str, checkpoint: str):
     """Update-mode stream drained into an append-only log ``(batch_id, ...)``.
 
@@ -83,49 +78,49 @@ def run_updates(df: DataFrame, sink: str, checkpoint: str):
 
 
 def latest_updates(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
-
     log = spark.read.parquet(sink)
     w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
     return log.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "batch_id")
 
 
-def _suppress(key, batches: Iterator[pd.DataFrame], state):
-    last_hash = state.get[0] if state.exists else None
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values("__seq", kind="stable")
-    prev = pdf["__hash"].shift(1).astype(object)
-    prev.iloc[0] = last_hash
-    keep = (pdf["__hash"] != prev).to_numpy()
-    state.update((str(pdf["__hash"].iloc[-1]), int(pdf["__seq"].iloc[-1])))
-    out = pdf[keep].drop(columns=["__hash"])
-    if len(out):
-        yield out
-
-
-def drop_repeats(stream: DataFrame, key: str, seq: str, text: str = "text") -> DataFrame:
-    """Rows whose text differs from the previous row (by ``seq``) of the same key."""
-    cols = list(stream.columns)
-    s = stream.withColumn("__hash", F.sha2(F.coalesce(F.col(text), F.lit("\u0000null")), 256)) \
-        .withColumn("__seq", F.col(seq).cast("long"))
-    out_schema = StructType([f for f in s.schema.fields if f.name != "__hash"])
-    res = s.groupBy(key).applyInPandasWithState(
-        _suppress, out_schema, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return res.select(*cols)
+def _changed(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """``(key, seq, __hash, __old)`` -> the new rows (``__old`` false) whose hash differs from the row before them.
 
+    The range partition ids are frozen by writing the small table. Inside a
+    range a window compares neighbours; the first row of a range is compared
+    with the last row of the nearest range before it (one row per range).
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [key, seq, "__new", "__hash"]  # state rows sort before new ones
+    ranged = rows.select(key, seq, "__hash", (~F.col("__old")).alias("__new")).repartitionByRange(n, *order)
+    ranged = materialize(ranged.withColumn("__pid", F.spark_partition_id()), "repeat-ranges")
+    own = Window.partitionBy("__pid").orderBy(*order)
+    here = F.struct(F.col(key).alias("k"), F.col("__hash").alias("h"))
+    marked = ranged.withColumns({"__prev": F.lag(here).over(own), "__first": F.row_number().over(own) == 1})
+    ends = ranged.groupBy("__pid").agg(F.max_by(here, F.struct(*order)).alias("__end"))
+    border = ends.select("__pid", F.lag("__end").over(Window.orderBy("__pid")).alias("__before"))
+    joined = marked.join(F.broadcast(border), "__pid")
+    prev = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))
+    repeat = prev.isNotNull() & prev["k"].eqNullSafe(F.col(key)) & (prev["h"] == F.col("__hash"))
+    return joined.where(F.col("__new") & ~F.coalesce(repeat, F.lit(False))).select(key, seq, "__hash")
 
-def drop_repeats_batch(df: DataFrame, key: str, seq: str, text: str = "text") -> DataFrame:
-    """Batch form for dense sequences: compare each row with ``(key, seq - 1)``.
 
-    An equi-join on ``(key, seq)`` spreads even a hot key over all tasks,
-    where a window over ``key`` would put it in one.
-    """
-    h = df.withColumn("__hash", F.sha2(F.coalesce(F.col(text), F.lit("\u0000null")), 256))
-    prev = h.select(F.col(key).alias("__k"), (F.col(seq) + 1).alias("__s"), F.col("__hash").alias("__prev"))
-    j = h.join(prev, (h[key] == prev["__k"]) & (h[seq] == prev["__s"]), "left")
-    return j.where(F.col("__prev").isNull() | (F.col("__prev") != F.col("__hash"))).select(*df.columns)
+def _hashed(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("__hash", F.sha2(F.coalesce(F.col(text), F.lit("\u0000null")), 256))
+
+
+def _keep(df: DataFrame, changed: DataFrame, key: str, seq: str) -> DataFrame:
+    """Rows of ``df`` that are in ``changed``; of rows equal in key, sequence and text, one."""
+    c = changed.select(F.col(key).alias("__k"), F.col(seq).alias("__s"), F.col("__hash").alias("__h")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col(seq).eqNullSafe(F.col("__s")) & (F.col("__hash") == F.col("__h"))
+    return df.join(c, same, "left_semi").dropDuplicates([key, seq, "__hash"])
+
+
+def drop_repeats_batch(df: DataFrame, key: str, seq: str, text: str = "text") -> DataFrame:
+    """Rows whose text differs from the previous row of the same key in order of ``seq`` (gaps are fine)."""
+    h = _hashed(df, text)
+    rows = h.select(key, seq, "__hash", F.lit(False).alias("__old"))
+    return _keep(h, _changed(rows, key, seq), key, seq).select(*df.columns)
 
 
 def window_report(masked_findings: DataFrame, ts: str, window: str = "10 minutes",
@@ -140,37 +135,68 @@ def window_report(masked_findings: DataFrame, ts: str, window: str = "10 minutes
 
 
 def run_without_repeats(stream: DataFrame, key: str, seq: str, text: str, sink: str, checkpoint: str,
-                        then=None, processing_time: str | None = None):
-    """Repeat suppression for dense per-key sequences, with the state as a table.
-
-    Each micro-batch is joined, row by row, with its predecessor ``(key, seq - 1)``
-    taken from the batch itself or from the state table of the previous batch
-    (``(key, last seq, last hash)``, one row per key). Joins on ``(key, seq)``
-    spread a hot key over all tasks; nothing collects a key's rows in one
-    group. ``then`` transforms the kept rows (e.g. masking) before they are
-    written to ``sink/batch_id=N``; state goes to ``checkpoint/repeat-state``.
-    Both are overwritten per batch id, so a replayed batch is harmless.
+                        then=None, processing_time: str | None = None, compact_every: int = 20, expire_after: int | None = None):
+    """Repeat suppression over micro-batches, with the last row per key as a state table.
+
+    Each micro-batch is compared in true order, state rows first: a row is
+    compared with the row before it in the batch, or with the key's last row of
+    earlier batches. Rows that arrive after a later row of their key was
+    processed are compared by arrival, with that last row. ``then`` transforms
+    the kept rows before they are written to ``sink/batch_id=N``.
+
+    A batch writes only the keys it changed (``repeat-state/d=N``); every
+    ``compact_every`` batches the state becomes one table (``repeat-state/b=N``)
+    and older versions are deleted. Keys not seen for ``expire_after`` batches
+    are forgotten then (None: never). All writes are per batch id, so a
+    replayed batch is harmless; a missing state version is an error.
     """
-    state_root = checkpoint.rstrip("/") + "/repeat-state"
+    root = checkpoint.rstrip("/") + "/repeat-state"
+
+    def state_before(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        at = batch_id - 1
+        parts = []
+        while at >= 0:
+            full = f"{root}/b={at}"
+            if _path_exists(spark, full):
+                parts.append(spark.read.parquet(full))
+                break
+            delta = f"{root}/d={at}"
+            if not _path_exists(spark, delta):
+                raise RuntimeError(f"repeat state of batch {at} is missing under {root}")
+            parts.append(spark.read.parquet(delta))
+            at -= 1
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        newest = F.max_by(F.struct("__seq", "__hash", "__batch"), "__batch").alias("s")
+        return rows.groupBy(key).agg(newest).select(key, "s.__seq", "s.__hash", "s.__batch")
 
     def step(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        cols = list(batch.columns)
-        cur = (batch.withColumn("__hash", F.sha2(F.coalesce(F.col(text), F.lit("\u0000null")), 256))
-               .withColumn("__seq", F.col(seq).cast("long")).persist())
-        known = cur.select(key, "__seq", "__hash")
-        prev_state = f"{state_root}/b={batch_id - 1}"
-        if batch_id > 0 and _path_exists(spark, prev_state):
-            known = known.unionByName(spark.read.parquet(prev_state))
-        pred = known.select(F.col(key).alias("__k"), (F.col("__seq") + 1).alias("__s"),
-                            F.col("__hash").alias("__prev"))
-        j = cur.join(pred, (cur[key] == pred["__k"]) & (cur["__seq"] == pred["__s"]), "left")
-        kept = j.where(F.col("__prev").isNull() | (F.col("__prev") != F.col("__hash"))).select(*cols)
+        cur = _hashed(batch, text).withColumn("__seq", F.col(seq).cast("long"))
+        state = state_before(spark, batch_id)
+        rows = cur.select(key, "__seq", "__hash", F.lit(False).alias("__old"))
+        if state is not None:
+            # The key's state stands before its first row of this batch, whatever its own sequence was.
+            first = rows.groupBy(key).agg(F.min("__seq").alias("__low"))
+            old = state.join(first, state[key].eqNullSafe(first[key])).select(state[key], F.col("__low").alias("__seq"), "__hash")
+            rows = rows.unionByName(old.withColumn("__old", F.lit(True)))
+        kept = _keep(cur, _changed(rows, key, "__seq"), key, "__seq").select(*batch.columns)
         out = then(kept) if then else kept
         out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
-        last = known.groupBy(key).agg(F.max_by(F.struct("__seq", "__hash"), "__seq").alias("__l"))
-        last.select(key, "__l.__seq", "__l.__hash").write.mode("overwrite").parquet(f"{state_root}/b={batch_id}")
-        cur.unpersist()
+        last = cur.groupBy(key).agg(F.max_by(F.struct("__seq", "__hash"), F.struct("__seq", "__hash")).alias("l"))
+        last = last.select(key, "l.__seq", "l.__hash", F.lit(batch_id).cast("long").alias("__batch"))
+        last.write.mode("overwrite").parquet(f"{root}/d={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            whole = state_before(spark, batch_id + 1)
+            if expire_after is not None:
+                whole = whole.where(F.col("__batch") > batch_id - expire_after)
+            whole.write.mode("overwrite").parquet(f"{root}/b={batch_id}")
+            # The last version stays until the next compaction: the last batch may be replayed.
+            _delete_paths(spark, [f"{root}/{k}={n}" for n in range(max(0, batch_id - 2 * compact_every), batch_id - 1)
+                                  for k in ("b", "d") if not (k == "b" and n >= batch_id - compact_every)])
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
@@ -184,3 +210,10 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete_paths(spark: SparkSession, paths) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)

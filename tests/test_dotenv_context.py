@@ -41,15 +41,30 @@ def test_dotenv_flag_per_row_from_file_name(spark):
 
 
 def test_keyword_table_edits(spark):
-    kw = PS.keyword_table(spark, ["Project Titan"])
-    kw, added = PS.add_keyword(kw, "  project titan ")
-    assert not added
-    kw, added = PS.add_keyword(kw, "Ace")
-    assert added and [r.keyword for r in PS.list_keywords(kw).collect()] == ["Ace", "Project Titan"]
-    kw, removed = PS.remove_keyword(kw, "ACE")
-    assert removed and [r.keyword for r in PS.list_keywords(kw).collect()] == ["Project Titan"]
-    pol, ok = P.Policy().add_keyword("x")
-    assert ok and pol.add_keyword(" X ")[1] is False and pol.remove_keyword("X")[0].keywords == ()
+    one = lambda *w: PS.keyword_table(spark, w)
+    kw = PS.add_keywords(one("Zeta", " ", "Project Titan"), one("  project titan ", "Ace", "ACE", "Beta"))
+    assert [r.keyword for r in PS.list_keywords(kw).collect()] == ["Zeta", "Project Titan", "Ace", "Beta"]
+    kw = PS.remove_keywords(kw, one("ACE", "nothing"))
+    assert [r.keyword for r in PS.list_keywords(kw).collect()] == ["Zeta", "Project Titan", "Beta"]
+    assert PS.add_keywords(one(), one("x")).count() == 1
+
+
+def test_keyword_table_equals_the_list(spark):
+    import random
+
+    rnd = random.Random(6)
+    kws = ["Titan", "C++", "a.b", "straße", "ΣΟΦΙΑ", "@acme", "x_y", "so", "so so", "_u", "++", "Kelvin"]
+    fillers = ["titan", "TITANS", "c++", "xC++y", "A.B", "aXb", "STRAßE", "σοφια", "@ACME", "me@acme", "X_Y", "so", "SO  so", "a_u", "_U",
+               "+++", "\u212aelvin", "é"]
+    texts = ["".join(rnd.choice(fillers) + rnd.choice([" ", "", ".", " "]) for _ in range(rnd.randint(0, 12))) for _ in range(250)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None])], "doc_id long, text string").repartition(4)
+    table = spark.createDataFrame([(k,) for k in kws], "keyword string")
+
+    def run(policy):
+        return {r.doc_id: [tuple(f) for f in r.findings] for r in find(df, "text", policy).collect()}
+
+    listed = run(P.Policy(enabled={P.KEYWORD}, keywords=kws))
+    assert run(P.Policy(enabled={P.KEYWORD}, keyword_table=table)) == listed
 
 
 def _gazetteer(spark):
@@ -70,19 +85,18 @@ def test_contextual_cases(spark):
 
 
 def test_contextual_paths_agree(spark, monkeypatch):
-    texts = ["I had lunch with Barack Obama today in Paris.", "Barack Obamas Paris-Paris John Smith", None, ""]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    texts = ["I had lunch with Barack Obama today in Paris.", "Barack Obamas Paris-Paris John Smith", None, "", "Paris", "Paris\u0301 é Paris"]
+    ids = [0, 1, 2, 3, None, None]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     pol = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=_gazetteer(spark))
 
     def run():
-        return sorted((r.doc_id, tuple(tuple(f) for f in r.findings)) for r in find(df, "text", pol, key="doc_id").collect())
+        return sorted((str(r.doc_id), tuple(tuple(f) for f in r.findings)) for r in find(df, "text", pol).collect())
 
     by_heads = run()
-    monkeypatch.setattr(CX, "HEAD_REGEX_LIMIT", 0)
-    by_words = run()
-    monkeypatch.setattr(CX, "INLINE_TERM_LIMIT", 0)
-    by_join = run()
-    assert by_heads == by_words == by_join
+    monkeypatch.setattr(CX, "PLAN_TERMS", 0)
+    assert by_heads == run()
+    by_heads = [x for x in by_heads if x[0] == "1"] * 2
     assert by_heads[1][1] == ((14, 19, "location", "Paris"), (20, 25, "location", "Paris"), (26, 36, "person", "John Smith"))
 
 
