@@ -1,4 +1,8 @@
-"""The reference's masking cases, as rows of DataFrames (see FIXTURES.md)."""
+"""Masking cases as rows of DataFrames.
+
+FIXED VALUES: the inputs and expected outputs below state the behaviour that
+must be kept (see FIXTURES.md).
+"""
 
 import pytest
 
