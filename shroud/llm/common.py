@@ -11,7 +11,20 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.session import materialize  # noqa: F401  (written table in the shared checkpoint folder)
+from shroud.session import scratch_path
+
+
+def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage and survives lost executors. ``files`` bounds the number
+    of files of a table known to be small. Zstandard keeps the codec's buffers
+    on the heap, where many small files would pile up direct memory.
+    """
+    path = scratch_path(df.sparkSession, label)
+    out = df if files is None else df.coalesce(files)
+    out.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +40,3 @@ def need(df: DataFrame, columns: Iterable[str]) -> None:
 
 def blocks_of(n_rows: int, per_block: int) -> int:
     return max(1, -(-n_rows // per_block))
-
-
-def signature(df: DataFrame, *cols: str) -> tuple[int, int]:
-    """Row count and an order-free hash of ``cols`` (two numbers reach the driver)."""
-    h = F.xxhash64(*cols).cast("decimal(38,0)")
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
-    return row.n, int(row.h or 0)

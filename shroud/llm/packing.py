@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from typing import Iterator
@@ -39,64 +40,130 @@ TOKENIZER = "word_bpe_49k.json"
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 CHUNK_CHARS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHED_LENGTH = 48
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in set(shown))
+    table = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return [table[b] for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of whole texts from a word-bound tokenizer, with the ids of words kept.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words one after another. Words are split at ASCII blanks
-    only; anything else inside a word is the tokenizer's own business.
+    The tokenizer drops white space, lower-cases letter by letter and never
+    joins letters with marks, so a text's ids are those of its words one after
+    another, a Latin-1 word's are those of its lower-case form, and a mark
+    after a Latin-1 letter stands for itself (other letters may decompose). Words are split at ASCII blanks only; all else
+    is the tokenizer's own business. Two generations of words are kept.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Lower-case Latin letters go straight to the merges; anything else through the whole tokenizer."""
+        out, rest, merge, letters = {}, [], self.model.tokenize, self.letters
+        for w in words:
+            low = w.lower()
+            if w.isalpha() and (w.isascii() or max(w) <= "\xff"):
+                shown = low if w.isascii() else "".join([letters[b] for b in low.encode()])
+                out[w] = struct.pack(f"<{len(found)}I", *[t.id for t in found]) if (found := merge(shown)) else b""
+            else:
+                rest.append(w)
+        words = rest
         for at in range(0, len(words), 4096):
             part = words[at:at + 4096]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-            ends = np.searchsorted(owner, np.arange(len(part)), "right")
+            ids = np.array(got.ids, "<u4").tobytes()
+            owner = np.array(got.word_ids, np.int64)
             start = 0
-            for word, end in zip(part, ends.tolist()):
-                out[word] = ids[start:end].tobytes()
+            for word, end in zip(part, (4 * np.searchsorted(owner, np.arange(len(part)), "right")).tolist()):
+                out[word] = ids[start:end]
                 start = end
         return out
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if "<|" in text:  # special tokens are matched in the whole text, so blanks are no borders there
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out, at = [], 0
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in ``known``."""
+        out, marked, older = {}, {}, self.older
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                out[w] = ids
+            elif w[-1] in ".,;:!?" and w[-2:-1] <= "\xff" and w[:-1].isalpha():
+                marked[w] = w[:-1]
+        known = self.known
+        fresh = self._encode([w for w in (new | set(marked.values()) | {w[-1] for w in marked}) - out.keys() - marked.keys()
+                              if w not in known and w not in older])
+        out.update(fresh)
+        for w, stem in marked.items():
+            out[w] = b"".join([next(d[x] for d in (out, known, older) if x in d) for x in (stem, w[-1])])
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        split = [[] if "<|" in t else _split(_lower(t)) for t in texts]
+        # Special tokens are matched in the whole text, before any splitting.
+        whole = {n: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                 for n, t in enumerate(texts) if "<|" in t}
+        words = set().union(*split)
+        if new := words - self.known.keys():
+            learnt = self._learn(new)
+            if len(self.known) > CACHE_WORDS:
+                self.older, self.known = self.known, {"": b""}
+                learnt.update((w, self.older[w]) for w in words - new)
+            self.known.update(learnt)
+        get = self.known.__getitem__
+        out = [whole[n] if n in whole else b"".join(map(get, w)) for n, w in enumerate(split)]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                self.known.pop(w, None)
+        return out
+
+    def id_chunks(self, text: str) -> Iterator[bytes]:
+        """The ids of a text of any length, by stretches cut at blanks."""
+        if "<|" in text:
+            yield from self.ids([text])
+            return
+        at = 0
         while at < len(text):
             end = at + CHUNK_CHARS
             if end < len(text):
                 gap = _BLANK.search(text, end)
                 end = gap.start() if gap else len(text)
-            words = _split(text[at:end])
-            known = self.known
-            new = {w for w in words if w not in known}
-            if new:
-                learnt = self._learn(list(new))
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    known[""] = b""
-                    learnt = self._learn(list({w for w in words if w}))
-                known.update(learnt)
-            out.append(b"".join([known[w] for w in words]))
-            for w in new:
-                if len(w) > CACHED_LENGTH:
-                    del known[w]
+            yield from self.ids([text[at:end]])
             at = end
-        return b"".join(out)
+
+
+def _lower(text: str) -> str:
+    """Lower case where it is the same letter by letter (ASCII and Latin-1 texts)."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about ``CHUNK_CHARS`` characters; a longer one alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def _split(text: str) -> list[str]:
@@ -119,6 +186,11 @@ def _encoder(path: str | None) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _all_ids(enc: WordEncoder, texts: list[str]) -> Iterator[bytes]:
+    for group in _groups(texts):
+        yield from enc.ids(group) if len(group) > 1 or len(group[0]) <= CHUNK_CHARS else [b"".join(enc.id_chunks(group[0]))]
+
+
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
              tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(id, piece, start, length, crc[, ids])``: every document's pieces, its closing id included.
@@ -137,8 +209,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         enc = _encoder(tokenizer)
         for batch in batches:
             keys, columns, ids_out = [], ([], [], [], []), []
-            for row, text in enumerate(batch.column("text")):
-                ids = enc.ids(text.as_py()) + last
+            for row, ids in enumerate(_all_ids(enc, batch.column("text").to_pylist())):
+                ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     keys.append(row)
@@ -247,6 +319,7 @@ def pack_chunks(items: DataFrame, capacity: int, islands: int, epochs: int, popu
     chunks = items.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("x"))
     chunks = chunks.select("chunk", F.col("x.uid").alias("uids"), F.col("x.length").alias("lengths"))
     chunks = materialize(chunks, "packing-chunks")
+    rows = chunks.count() * islands
     state = chunks.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths",
                           F.array().cast("array<binary>").alias("elites"))
 
@@ -262,8 +335,8 @@ def pack_chunks(items: DataFrame, capacity: int, islands: int, epochs: int, popu
 
     schema = "chunk long, island int, bins long, square double, elites array<binary>"
     for turn in range(epochs):
-        # One row is one island's whole epoch: spread the rows, not the bytes.
-        spread = state.repartition(F.xxhash64("chunk", "island"))
+        # One row is one island's whole epoch: a task for every few rows, however few bytes they have.
+        spread = state.repartition(blocks_of(rows, 4), "chunk", "island")
         done = materialize(spread.mapInPandas(epoch, schema), "packing-epoch")
         if turn + 1 < epochs:
             guests = done.select("chunk", ((F.col("island") + 1) % islands).alias("island"),
