@@ -15,10 +15,10 @@ batch and Structured Streaming plans.
 from .operators.contextual import custom_detector
 from .operators.detect import find
 from .operators.mask import mask
-from .operators.report import counts_by, explode_findings
+from .operators.report import changed_rows, counts_by, explode_findings
 from .operators.report import with_report as report
 from .operators.vault import Vault, VaultError, lock, unlock
 from .policy import Policy
 
-__all__ = ["Policy", "find", "mask", "report", "counts_by", "explode_findings", "lock", "unlock", "Vault",
+__all__ = ["Policy", "find", "mask", "report", "changed_rows", "counts_by", "explode_findings", "lock", "unlock", "Vault",
            "VaultError", "custom_detector"]
