@@ -11,7 +11,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.session import scratch_path
+from shroud.session import remove_tables, scratch_path
 
 
 def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -24,7 +24,14 @@ def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFram
     path = scratch_path(df.sparkSession, label)
     out = df if files is None else df.coalesce(files)
     out.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    remove_tables(df.sparkSession, [df.written_to])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

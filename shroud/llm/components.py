@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, signature
+from .common import blocks_of, discard, materialize
+
+EDGES_PER_FILE = 200_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -27,6 +29,14 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no smaller end: then each edge leads to its component's root."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` (any comparable type, no nulls) -> ``(node, root)``.
 
@@ -37,12 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialize(e, "cc")
-    seen = signature(e, "u", "v")
-    while seen[0]:
-        e = materialize(_small_star(_large_star(e)), "cc")
-        now = signature(e, "u", "v")
-        if now == seen:
-            break
-        seen = now
+    while not _all_stars(e):
+        before, e = e, materialize(_small_star(_large_star(e)), "cc", files=blocks_of(e.count(), EDGES_PER_FILE))
+        discard(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
