@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, materialize, need
+from .common import blocks_of, discard, materialize, need
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,7 +40,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 CHUNK_CHARS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CACHED_LENGTH = 48
 
 
@@ -274,30 +274,32 @@ def crossover(giver: Bins, taker: Bins, size: list[int], capacity: int, rng: ran
     return best_fit(inject + left, loose, size, capacity)
 
 
-def first_parents(size: list[int], capacity: int, count: int, rng: random.Random) -> list[Bins]:
+def first_parents(size: list[int], capacity: int, count: int, rng: random.Random) -> Iterator[Bins]:
     """Best fit by decreasing size, then by slightly disturbed decreasing sizes."""
     order = sorted(range(len(size)), key=lambda i: -size[i])
-    out = [best_fit([], order, size, capacity)]
-    while len(out) < count:
+    yield best_fit([], order, size, capacity)
+    for _ in range(count - 1):
         noise = [size[i] * rng.uniform(0.85, 1.0) for i in range(len(size))]
-        out.append(best_fit([], sorted(order, key=lambda i: -noise[i]), size, capacity))
-    return out
+        yield best_fit([], sorted(order, key=lambda i: -noise[i]), size, capacity)
 
 
 def evolve(size: list[int], capacity: int, elites: list[Bins], seed: int, population: int, generations: int) -> list[Bins]:
     """One epoch of an island; the best individuals first. Stops at the lower bound of bins."""
     bound = -(-sum(size) // capacity)
     rng = random.Random(seed)
-    rank = lambda b: fitness(b, size, capacity)
-    if elites and len(elites[0]) == bound:
-        return elites
-    group = sorted(elites + first_parents(size, capacity, max(1, population - len(elites)), rng), key=rank, reverse=True)
+    group = [(fitness(b, size, capacity), b) for b in elites]
+    best = lambda: max(group, key=lambda x: x[0])[1]
+    for parent in first_parents(size, capacity, max(1, population - len(elites)), rng):
+        if group and len(best()) == bound:
+            break
+        group.append((fitness(parent, size, capacity), parent))
     for _ in range(generations):
-        if len(group[0]) == bound or len(group) < 2:
+        if len(best()) == bound or len(group) < 2:
             break
-        children = [crossover(*rng.sample(group, 2), size, capacity, rng) for _ in range(population)]
-        group = sorted(group + children, key=rank, reverse=True)[:population]
-    return group
+        bred = [crossover(*(b for _, b in rng.sample(group, 2)), size, capacity, rng) for _ in range(population)]
+        group += [(fitness(b, size, capacity), b) for b in bred]
+        group = sorted(group, key=lambda x: x[0], reverse=True)[:population]
+    return [b for _, b in sorted(group, key=lambda x: x[0], reverse=True)]
 
 
 def _dump(bins: Bins, n: int) -> bytes:
@@ -334,10 +336,13 @@ def pack_chunks(items: DataFrame, capacity: int, islands: int, epochs: int, popu
                                     "elites": [[_dump(b, len(size)) for b in group[:2]]]})
 
     schema = "chunk long, island int, bins long, square double, elites array<binary>"
+    done = None
     for turn in range(epochs):
         # One row is one island's whole epoch: a task for every few rows, however few bytes they have.
         spread = state.repartition(blocks_of(rows, 4), "chunk", "island")
-        done = materialize(spread.mapInPandas(epoch, schema), "packing-epoch")
+        before, done = done, materialize(spread.mapInPandas(epoch, schema), "packing-epoch")
+        if before is not None:
+            discard(before)
         if turn + 1 < epochs:
             guests = done.select("chunk", ((F.col("island") + 1) % islands).alias("island"),
                                  F.slice("elites", 1, 1).alias("guests"))

@@ -38,7 +38,7 @@ def check_bins(bins, size, capacity):
 def test_genetic_steps_keep_every_piece():
     rng = random.Random(1)
     size = [rng.randint(1, 100) for _ in range(200)]
-    parents = packing.first_parents(size, 100, 4, rng)
+    parents = list(packing.first_parents(size, 100, 4, rng))
     for p in parents:
         check_bins(p, size, 100)
     for _ in range(10):
@@ -56,7 +56,7 @@ def test_evolution_beats_best_fit_on_triplets():
         a = rng.randint(380, 490)
         b = rng.randint(250, (1000 - a) // 2 + 20)
         size += [a, b, 1000 - a - b]
-    greedy = len(packing.first_parents(size, 1000, 1, rng)[0])
+    greedy = len(next(packing.first_parents(size, 1000, 1, rng)))
     assert len(packing.evolve(size, 1000, [], 5, 20, 60)[0]) < greedy
 
 
