@@ -35,7 +35,7 @@ UND = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 WINDOW_WORDS = 2048
-BATCH_WORDS = 200_000
+BATCH_WORDS = 100_000
 #: Nats that a change of language costs, and that a word out of script costs a language.
 SWITCH, OUT_OF_SCRIPT = 8.0, 60.0
 #: One word's evidence is cut at this many nats, so that one odd word can't outweigh its neighbours.
@@ -255,7 +255,8 @@ def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_o
         share = letters[np.arange(len(col)), top] / np.maximum(total, 1)
         return pd.DataFrame({"lang": np.where(total > 0, names[top], UND), "score": np.where(total > 0, share, 0.0)})
 
-    out = docs.withColumn("__langid", predict(F.col(text_col)))
+    # Not to be evaluated again by a filter on its result that is pushed below it.
+    out = docs.withColumn("__langid", predict.asNondeterministic()(F.col(text_col)))
     return out.withColumns({lang_out: F.col("__langid.lang"), score_out: F.col("__langid.score")}).drop("__langid")
 
 
