@@ -8,7 +8,8 @@ other, removes the receiver's bins that hold any of the injected pieces, and
 best-fits the displaced pieces again. After each epoch an island's elite
 migrates to the next island of its chunk (an equi-join); islands stop early at
 the lower bound. Poorly filled bins of many chunks then meet in fewer chunks
-and are packed again, level by level, until one chunk is left.
+and are packed again, level by level, until one chunk is left or packing again
+saves no more bins.
 
 Null text counts as empty: its document is the closing id alone. Rows with a
 null or repeated id are packed like any other; every input row gives its own
@@ -367,38 +368,49 @@ def _bins_of(packed: DataFrame) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = 4096, islands: int = 3, epochs: int = 2,
-         population: int = 6, generations: int = 6, merge: int = 64, poor: float = 0.95, seed: int = 11) -> DataFrame:
+         population: int = 6, generations: int = 6, merge: int = 64, poor: float = 0.95, seed: int = 11,
+         gain: float = 0.005) -> DataFrame:
     """``(uid, length)`` with unique ``uid`` -> ``(uid, sequence_id, offset)``.
 
     ``chunk_pieces`` bounds a chunk; bins filled below ``poor`` of the capacity
-    of ``merge`` chunks meet again at the next level.
+    of ``merge`` chunks meet again at the next level. Once the chunks cannot get
+    fewer, a level that saves less than ``gain`` of the bins it packs again is
+    the last; a level that saves none leaves the bins as they were.
     """
     items = pieces.where(F.col("length") < capacity)
     chunks = blocks_of(items.count(), chunk_pieces)
     items = items.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk"))
     placed = pieces.where(F.col("length") >= capacity).select(
         "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    level = 0
-    while True:
-        bins = materialize(_bins_of(pack_chunks(items, capacity, islands, epochs, population, generations, seed + level)),
-                           "packing-bins")
-        last = chunks == 1
-        done = bins if last else bins.where(F.col("fill") >= F.lit(poor * capacity))
-        number = F.lit(level << 56) + F.col("chunk") * F.lit(1 << 24) + F.col("bin")
-        # Offsets: running sum inside one bin of bounded size.
-        starts = F.expr("transform(sequence(0, size(lengths) - 1), i -> aggregate(slice(lengths, 1, i), 0L, (s, x) -> s + x))")
-        rows = (done.select(number.alias("sequence_id"), F.arrays_zip("uids", starts.alias("offset")).alias("z"))
+    # Offsets: running sum inside one bin of bounded size.
+    starts = F.expr("transform(sequence(0, size(lengths) - 1), i -> aggregate(slice(lengths, 1, i), 0L, (s, x) -> s + x))")
+
+    def rows_of(bins: DataFrame) -> DataFrame:
+        return (bins.select("sequence_id", F.arrays_zip("uids", starts.alias("offset")).alias("z"))
                 .select("sequence_id", F.inline("z")).select(F.col("uids").alias("uid"), "sequence_id", "offset"))
-        placed = placed.unionByName(rows)
-        if last:
-            return placed
+
+    level, used, held, n_held = 0, 0, None, 0  # used: chunk numbers given so far; held: the poor bins of the level before
+    while True:
+        bins = _bins_of(pack_chunks(items, capacity, islands, epochs, population, generations, seed + level))
+        number = (F.col("chunk") + F.lit(used)) * F.lit(1 << 24) + F.col("bin")
+        bins = materialize(bins.withColumn("sequence_id", number), "packing-bins")
+        used += chunks
+        stalled = False
+        if held is not None:
+            saved = n_held - bins.count()
+            stalled = saved < gain * n_held
+            if saved <= 0:
+                bins = held
         rest = bins.where(F.col("fill") < F.lit(poor * capacity))
-        rest = rest.select("chunk", F.inline(F.arrays_zip("uids", "lengths")))
-        left = rest.count()
-        chunks = min(blocks_of(chunks, merge), blocks_of(left, chunk_pieces // 2)) if left else 1
-        chunks = max(chunks, blocks_of(left, 2 * chunk_pieces))
-        items = rest.select(F.col("uids").alias("uid"), F.col("lengths").alias("length"),
-                            F.pmod(F.xxhash64("uids", F.lit(level)), F.lit(chunks)).alias("chunk"))
+        n_held, left = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("uids")), F.lit(0))).first()
+        fewer = max(min(blocks_of(chunks, merge), blocks_of(left, chunk_pieces // 2)), blocks_of(left, 2 * chunk_pieces))
+        if chunks == 1 or not left or (stalled and fewer >= chunks):
+            return placed.unionByName(rows_of(bins))
+        placed = placed.unionByName(rows_of(bins.where(F.col("fill") >= F.lit(poor * capacity))))
+        chunks, held = fewer, rest
+        items = rest.select("chunk", F.inline(F.arrays_zip("uids", "lengths"))).select(
+            F.col("uids").alias("uid"), F.col("lengths").alias("length"),
+            F.pmod(F.xxhash64("uids", F.lit(level)), F.lit(chunks)).alias("chunk"))
         level += 1
 
 

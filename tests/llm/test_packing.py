@@ -96,3 +96,34 @@ def test_levels_and_edge_cases(spark):
     whole = {r.sequence_id: r.ids for r in packing.sequences(out).collect()}
     assert all(list(whole[r.sequence_id][r.offset:r.offset + r.length]) == list(r.ids) for r in got)
     assert packing.pack_documents(docs.where("doc_id < 0")).count() == 0
+
+
+def test_levels_end_when_nothing_can_be_saved(spark, monkeypatch):
+    # No two pieces fit together, so the chunks never get fewer than two.
+    n, calls, real = 2 * 16 + 1, [], packing.pack_chunks
+
+    def counted(*args):
+        calls.append(1)
+        assert len(calls) <= 5, "the levels do not end"
+        return real(*args)
+
+    monkeypatch.setattr(packing, "pack_chunks", counted)
+    pieces = spark.range(n).selectExpr("id AS uid", "2458L AS length")
+    rows = packing.pack(pieces, chunk_pieces=16, islands=2, epochs=1).collect()
+    assert sorted(r.uid for r in rows) == list(range(n))
+    assert len({r.sequence_id for r in rows}) == n and {r.offset for r in rows} == {0}
+
+
+def test_short_pieces_still_meet_the_long_ones(spark):
+    # Levels over several chunks: every piece once, within the capacity.
+    size = [2458] * 70 + [700] * 25 + [4096] * 3
+    pieces = spark.createDataFrame(list(enumerate(size)), "uid long, length long")
+    rows = packing.pack(pieces, chunk_pieces=8, islands=2, epochs=1).collect()
+    assert sorted(r.uid for r in rows) == list(range(len(size)))
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, size[r.uid]))
+    for v in bins.values():
+        assert [o for o, _ in sorted(v)] == [sum(l for _, l in sorted(v)[:i]) for i in range(len(v))]
+        assert sum(l for _, l in v) <= 4096
+    assert 73 <= len(bins) <= 76
