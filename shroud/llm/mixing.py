@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Laguë apportionment, in equal-token blocks.
 
 Sources weigh ``WEIGHTS`` in turn, by code point of their name (null last).
 They share ``share`` times all words; a target stops at ``limit`` times its
@@ -7,10 +7,12 @@ this settles is found with prefix sums over the sources, sorted by
 ``words / weight``).
 
 Each source's words are dealt to shards of bounded size by a seeded hash of
-the document, and a shard's words, in seeded order of its documents, form a
-stream cut into blocks of ``block`` words. The blocks of the whole mix go to
-sources by highest quotients ``target / (2k + 1)``, and each source's blocks to
-its shards in the same way. A shard takes all its blocks ``quota div blocks``
+the document, as many as its own words and rows ask for; a shard's words, in
+seeded order of its documents, form a stream cut into blocks of ``block``
+words, of which the last may be shorter. The words of the whole mix go to
+sources by highest quotients ``target / (2k + 1)``, and each source's words to
+its shards in the same way. A shard's ``quota`` is the number of its blocks that
+come nearest to its words. It takes all its blocks ``quota div blocks``
 times and the first ``quota mod blocks`` of them once more, in a seeded
 permutation of block numbers, so nothing is sorted or exploded by block.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shroud.functions.sql import ident, let, q
 
-from .common import blocks_of, materialize, need
+from .common import materialize, need
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -113,34 +115,50 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                        h.alias("row_hash"))
     rows = materialize(rows, "mix-sizes")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    shards = max(blocks_of(total.n, SHARD_ROWS), blocks_of(total.words, SHARD_WORDS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_hash", F.lit(seed)), F.lit(shards)))
-
-    cells = materialize(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell")), "mix-cells")
-    goal = targets(cells.groupBy("source").agg(F.sum("cell").alias("words")), weights, share, limit)
-    # All blocks of the mix, then each source's, then each shard's.
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
-    goal = sainte_lague(goal.withColumn("seats", blocks), [], ["place"], "target", "seats", "source_quota").drop("seats")
-    goal = materialize(goal, "mix-targets")
-    cells = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    cells = sainte_lague(cells, ["place"], ["shard"], "cell", "source_quota", "quota")
+    # A source's shards follow its own words and rows, so a small source is not spread thin by the size of the rest.
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    shards = F.greatest(F.ceil(F.col("n") / SHARD_ROWS), F.ceil(F.col("words") / SHARD_WORDS))
+    sizes = materialize(sizes.select("source", "words", shards.cast("long").alias("shards")), "mix-sources")
+    goal = targets(sizes.select("source", "words"), weights, share, limit)
+    # All words of the mix, then each source's, then each shard's.
+    seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0)))).cast("long")
+    goal = sainte_lague(goal.withColumn("seats", seats), [], ["place"], "target", "seats", "source_quota").drop("seats")
+    goal = goal.join(sizes.select(F.col("source").alias("__source"), "shards"), F.col("source").eqNullSafe(F.col("__source")))
+    goal = materialize(goal.drop("__source"), "mix-targets")
+    named = goal.select("source", "place", "shards")
+    rows = rows.join(named, rows["source"].eqNullSafe(named["source"])).drop(named["source"])
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_hash", F.lit(seed)), F.col("shards"))).drop("shards")
+
+    cells = materialize(rows.groupBy("place", "shard").agg(F.sum("size").alias("cell")), "mix-cells")
+    cells = cells.join(goal.select("place", "words", "target", "source_quota"), "place")
+    cells = sainte_lague(cells, ["place"], ["shard"], "cell", "source_quota", "owed")
     count = F.ceil(F.col("cell") / block)
-    cells = cells.withColumn("blocks", count).withColumn("quota", F.least("quota", (count * limit).cast("long")))
     spin = F.xxhash64("place", "shard", F.lit(seed + 1))
     primes = F.array(*[F.lit(p).cast("long") for p in _PRIMES])
-    cells = cells.select(
-        "place", "shard", F.col("words").alias("source_size"), "target", "quota", "blocks",
-        F.when(F.col("blocks") > 0, F.pmod(spin, F.col("blocks"))).otherwise(0).alias("shift"),
-        F.when(F.col("blocks") > 0, F.pmod(F.element_at(primes, (F.pmod(spin, F.lit(len(_PRIMES))) + 1).cast("int")),
-                                           F.col("blocks"))).otherwise(0).alias("multiplier"))
-    named = goal.select("source", "place")
-    rows = rows.join(named, rows["source"].eqNullSafe(named["source"])).drop(named["source"])
+    cells = cells.withColumn("blocks", count).withColumns({
+        "shift": F.when(F.col("blocks") > 0, F.pmod(spin, F.col("blocks"))).otherwise(0),
+        "multiplier": F.when(F.col("blocks") > 0, F.pmod(F.element_at(primes, (F.pmod(spin, F.lit(len(_PRIMES))) + 1).cast("int")),
+                                                         F.col("blocks"))).otherwise(0)})
+    cells = cells.select("place", "shard", F.col("words").alias("source_size"), "target", F.expr(_quota(block, limit)).alias("quota"),
+                         "blocks", "shift", "multiplier")
     stream = Window.partitionBy("place", "shard").orderBy("row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     return rows.join(cells, ["place", "shard"]).drop("place", "shard")
 
 
+def _quota(block: int, limit: float) -> str:
+    """SQL: the number of a shard's blocks whose words come nearest to ``owed``; its short last block counts as it is.
+
+    Whole passes over the shard come first. Of the rest, ``r`` blocks in the
+    order of the permutation hold ``block * r`` words up to the place ``late``
+    of the last block, and then ``block - short`` words less.
+    """
+    nearest = let({"late": "(multiplier * (blocks - 1) + shift) % blocks", "short": f"cell - {block} * (blocks - 1)", "rest": "owed % cell"},
+                  f"IF(v.rest < {block} * v.late + v.short / 2, least(round(v.rest / {block}), v.late), "
+                  f"v.late + 1 + greatest(round((v.rest - {block} * v.late - v.short) / {block}), 0))", "v")
+    return f"IF(cell = 0, 0L, least((owed div cell) * blocks + CAST({nearest} AS BIGINT), CAST(blocks * {limit} AS BIGINT)))"
+
+
 def _spans(block: int) -> str:
     """SQL: the document's stretches ``(from, to, times)``, one per block it touches (``to`` exclusive, in its own words)."""
     rest = "quota - (quota div blocks) * blocks"

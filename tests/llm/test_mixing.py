@@ -109,3 +109,30 @@ def test_many_shards(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.taken(mixing.plan(docs)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 0.05 * r.g for r in rows)
+
+
+def test_small_sources_reach_their_targets_beside_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    rows = [("big", 400)] * 300 + [("tens", 10)] * 40 + [("fifties", 50)] * 8 + [("long", 400)] * 2 + [("one", 10), ("b", 130), ("c", 65), (None, 7)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    got = mixing.taken(mixing.plan(docs)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert len(got) == 8
+    for r in got:
+        slack = 0.01 * r.g if r.source == "big" else mixing.BLOCK_WORDS / 2 + 1
+        assert abs(r.t - r.g) <= slack, r
+
+
+def test_short_last_block_counts_with_its_size(spark):
+    cells = [(c, -(-c // 64)) for c in (0, 7, 64, 65, 100, 130, 640)]
+    rows = [(c, n, s, m, owed) for c, n in cells for s in range(max(n, 1)) for m in {1 % max(n, 1), (n - 1) % max(n, 1)}
+            for owed in range(2 * c + 1)]
+    df = spark.createDataFrame(rows, "cell long, blocks long, shift long, multiplier long, owed long")
+
+    def words(r, quota):
+        if r.blocks == 0:
+            return 0
+        again = [b for b in range(r.blocks) if (r.multiplier * b + r.shift) % r.blocks < quota % r.blocks]
+        return quota // r.blocks * r.cell + sum(min(64, r.cell - 64 * b) for b in again)
+
+    for r in df.withColumn("quota", F.expr(mixing._quota(64, 2.0))).collect():
+        assert abs(words(r, r.quota) - r.owed) == min(abs(words(r, n) - r.owed) for n in range(2 * r.blocks + 1)), r
