@@ -2,7 +2,8 @@
 
 Every page is parsed into element subtrees. The hash of a subtree covers its
 tag, its text and its children; subtrees are counted per host over distinct
-pages in Spark, and those that recur on many pages of the host are deleted:
+contents of pages in Spark (copies under several urls count once), and those
+that recur on many of the host's are deleted:
 anywhere outside the article, and in it if they are boxes (``div``, lists,
 tables and the like), not paragraphs or headings of its own. What a page marks
 itself as furniture (menus, headers, footers, sidebars, notices, adverts,
@@ -174,6 +175,13 @@ class Page:
         self._close_to(0)
         self._flush()
 
+    def content(self) -> int:
+        """Hash of the text that the page may keep; copies of a page share it, whatever their urls."""
+        import xxhash
+
+        h = xxhash.xxh64_intdigest("\x1f".join(t for t, _, article in self.blocks if article or not self.has_article))
+        return h - (1 << 64) if h >= 1 << 63 else h
+
     def text(self, recurring) -> str:
         """The main text without the subtrees whose hashes recur."""
         drop = {n for n, h in enumerate(self.hashes) if h in recurring} if recurring else ()
@@ -182,36 +190,37 @@ class Page:
 
 
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """``(host, key, html)`` -> ``(host, key, h)``: distinct subtree hashes of distinct pages."""
+    """``(host, key, html)`` -> ``(host, key, content, h)``: each page's distinct subtree hashes (one null if none) and the hash of its content."""
 
-    @F.pandas_udf("array<long>")
-    def hashes(col: pd.Series) -> pd.Series:
-        return pd.Series([sorted({h for h in Page(t or "").hashes if h}) for t in col])
+    @F.pandas_udf("content long, hs array<long>")
+    def hashes(col: pd.Series) -> pd.DataFrame:
+        read = [Page(t or "") for t in col]
+        return pd.DataFrame({"content": [p.content() for p in read], "hs": [sorted({h for h in p.hashes if h}) for p in read]})
 
-    found = pages.select("host", "key", hashes("html").alias("hs")).where(F.size("hs") > 0)
-    return found.dropDuplicates(["host", "key"]).select("host", "key", F.explode("hs").alias("h"))
+    found = pages.select("host", "key", hashes("html").alias("p")).dropDuplicates(["host", "key"])
+    return found.select("host", "key", F.col("p.content").alias("content"), F.explode_outer("p.hs").alias("h"))
 
 
-def recurring(subtrees: DataFrame, pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``(host, h)`` on at least ``min_pages`` distinct pages and ``min_share`` of the host's."""
-    counts = subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "h")
+def recurring(subtrees: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``(host, h)`` on at least ``min_pages`` distinct contents and ``min_share`` of the host's."""
+    counts = subtrees.where(F.col("h").isNotNull()).groupBy("host", "h").agg(F.count_distinct("content").alias("n"))
+    sizes = subtrees.groupBy("host").agg(F.count_distinct("content").alias("pages"))
+    counts = counts.where(F.col("n") >= min_pages).join(sizes, "host")
+    return counts.where(F.col("n") >= F.col("pages") * min_share).select("host", "h")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4,
             min_share: float = 0.02) -> DataFrame:
     """``(id, url, text, n_chars)`` for every row.
 
-    A subtree is template if it stands on ``min_pages`` distinct pages of its
-    host and on ``min_share`` of them.
+    A subtree is template if it stands on ``min_pages`` pages of its host that
+    differ in content and on ``min_share`` of them.
     """
     need(pages, (id_col, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("key", F.xxhash64("url", "html"))
+    rows = rows.withColumn("key", F.xxhash64(host_of(F.col("url")), "html"))
     trees = materialize(subtree_counts(rows.select(host_of(F.col("url")).alias("host"), "key", "html")), "template-subtrees")
-    known = rows.select(host_of(F.col("url")).alias("host"), "key")
-    template = recurring(trees, known, min_pages, min_share)
+    template = recurring(trees, min_pages, min_share)
     drops = trees.join(template, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("drops"))
 
     @F.pandas_udf("string")

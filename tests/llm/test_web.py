@@ -115,3 +115,18 @@ def test_query_keeps_whole_articles(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", source[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", body)]
         assert r.text == "\n".join(filter(None, blocks))
+
+
+def test_copies_under_other_urls_are_no_template(spark):
+    article = "<link rel='canonical' href='{u}'><div>Top {u}</div><article><h1>T</h1><div>Own box</div><ul><li>a</li><li>b</li></ul></article>"
+    plain = "<body><div><h2>Only</h2><p>one story</p></div><section>and its end</section></body>"
+    box = "<div>Welcome</div>"
+    urls_of = lambda host: [f"http://{host}/{i}" for i in range(36)]
+    rows = [(u, article.format(u=u), "T\nOwn box\na\nb") for u in urls_of("copies.com")]
+    rows += [(u, plain, "Only\none story\nand its end") for u in urls_of("plain.com")]
+    # A box of many different pages is template on copies, too.
+    rows += [(u, f"<body>{box}<div>Story</div>", "Story") for u in urls_of("mixed.com")]
+    rows += [(f"http://mixed.com/own/{i}", f"<body>{box}<div>Text {i}</div>", f"Text {i}") for i in range(5)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    got = {r.id: r.text for r in templates.extract(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
