@@ -3,9 +3,11 @@
 Distinct vectors are dealt to shards of bounded size by a hash. One task builds
 a shard's hierarchical navigable small-world graph and stores it as flat
 arrays: the vectors, and for each layer one neighbour table (node x slots, -1
-for none). Largest inner product becomes smallest Euclidean distance by one
-more component, sqrt(M^2 - |x|^2) with the largest norm M (0 for a query).
-Blocks of distinct queries search every shard; the shards' results are merged
+for none). Edges go by Euclidean distance with one more component,
+sqrt(M^2 - |x|^2) with the largest norm M, under which nearest means largest
+inner product. Searches go by the inner product itself, in double precision,
+and start both from the upper layers and from the best of a shard's ``HEAD``
+longest vectors. Blocks of distinct queries search every shard; the shards' results are merged
 and scored on the original vectors in double precision.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take
@@ -29,23 +31,39 @@ from pyspark.sql import functions as F
 from . import vectors
 from .common import need
 
-Near = list[tuple[float, int]]  # (squared distance, node)
+Near = list[tuple[float, int]]  # (squared distance or negative inner product, node)
+At = tuple[float, float] | None  # a point's square and lift; None to go by inner product
+
+HEAD = 1024
 
 
 class Graph:
-    """A navigable small-world graph over the rows of ``x``, by Euclidean distance."""
+    """A navigable small-world graph over the rows of ``x``, by Euclidean distance.
+
+    ``lift`` is one more component of every row. It is kept apart, so that its
+    size does not drown the others' differences; a graph with it is searched by
+    largest inner product.
+    """
 
-    def __init__(self, x: np.ndarray, slots: int):
-        self.x, self.slots = x, slots
+    def __init__(self, x: np.ndarray, slots: int, lift: np.ndarray | None = None):
+        self.x, self.slots, self.lift = x, slots, lift
         self.square = (x * x).sum(axis=1)
+        # Long vectors win many inner products, whatever their direction: a search starts from the best of them, too.
+        self.long = None if lift is None else np.argsort(-self.square, kind="stable")[:HEAD]
         self.layers: list[np.ndarray] = []
         self.entry, self.height = -1, -1
         self._seen, self._turn = np.zeros(len(x), np.int32), 0
 
-    def _far(self, q: np.ndarray, qq: float, nodes: np.ndarray) -> np.ndarray:
-        return self.square[nodes] + qq - 2 * (self.x[nodes] @ q)
+    def _far(self, q: np.ndarray, at: At, nodes: np.ndarray) -> np.ndarray:
+        if at is None:
+            return -(self.x[nodes] @ q)
+        far = self.square[nodes] + at[0] - 2 * (self.x[nodes] @ q)
+        return far if self.lift is None else far + (self.lift[nodes] - at[1]) ** 2
+
+    def _at(self, node: int) -> At:
+        return float(self.square[node]), 0.0 if self.lift is None else float(self.lift[node])
 
-    def _walk(self, q: np.ndarray, qq: float, start: Near, width: int, layer: int) -> Near:
+    def _walk(self, q: np.ndarray, at: At, start: Near, width: int, layer: int) -> Near:
         """The ``width`` nearest nodes that a best-first walk of the layer meets, nearest first."""
         table, seen = self.layers[layer], self._seen
         self._turn += 1
@@ -64,7 +82,7 @@ class Graph:
             if not len(near):
                 continue
             seen[near] = turn
-            far = self._far(q, qq, near)
+            far = self._far(q, at, near)
             if len(best) >= width:
                 close = far < -best[0][0]
                 near, far = near[close], far[close]
@@ -78,10 +96,10 @@ class Graph:
                 heapq.heappush(todo, (dist, n))
         return sorted((-d, n) for d, n in best)
 
-    def _descend(self, q: np.ndarray, qq: float, down_to: int) -> Near:
-        near = [(float(self._far(q, qq, np.array([self.entry]))[0]), self.entry)]
+    def _descend(self, q: np.ndarray, at: At, down_to: int) -> Near:
+        near = [(float(self._far(q, at, np.array([self.entry]))[0]), self.entry)]
         for layer in range(self.height, down_to, -1):
-            near = self._walk(q, qq, near[:1], 1, layer)
+            near = self._walk(q, at, near[:1], 1, layer)
         return near
 
     def _spread(self, nodes: np.ndarray, far: np.ndarray, count: int) -> np.ndarray:
@@ -93,7 +111,10 @@ class Graph:
         if len(nodes) <= count:
             return nodes
         square = self.square[nodes]
-        shorter = (square[:, None] + square[None, :] - 2 * (self.x[nodes] @ self.x[nodes].T)) < far[:, None]
+        apart = square[:, None] + square[None, :] - 2 * (self.x[nodes] @ self.x[nodes].T)
+        if self.lift is not None:
+            apart += (self.lift[nodes][:, None] - self.lift[nodes][None, :]) ** 2
+        shorter = apart < far[:, None]
         blocked, chosen = np.zeros(len(nodes), bool), []
         for i in range(len(nodes)):
             if not blocked[i]:
@@ -111,10 +132,10 @@ class Graph:
         if self.entry < 0:
             self.entry, self.height = node, level
             return
-        q, qq = self.x[node], float(self.square[node])
-        near = self._descend(q, qq, level)
+        q, at = self.x[node], self._at(node)
+        near = self._descend(q, at, level)
         for layer in range(min(level, self.height), -1, -1):
-            near = self._walk(q, qq, near, width, layer)
+            near = self._walk(q, at, near, width, layer)
             table = self.layers[layer]
             mine = self._spread(np.array([n for _, n in near]), np.array([d for d, _ in near]), self.slots)
             table[node, :len(mine)] = mine
@@ -125,35 +146,41 @@ class Graph:
                     row[free] = node
                     continue
                 pool = np.append(row, node)
-                far = self._far(self.x[other], float(self.square[other]), pool)
+                far = self._far(self.x[other], self._at(other), pool)
                 order = np.argsort(far, kind="stable")
                 table[other] = self._spread(pool[order], far[order], len(row))
         if level > self.height:
             self.entry, self.height = node, level
 
     def nearest(self, q: np.ndarray, count: int, width: int) -> list[int]:
-        qq = float(q @ q)
-        near = self._walk(q, qq, self._descend(q, qq, 0), max(width, count), 0)
+        at = (float(q @ q), 0.0) if self.lift is None else None
+        start = self._descend(q, at, 0)
+        if self.long is not None:
+            far = self._far(q, at, self.long)
+            best = np.argsort(far, kind="stable")[:max(width, count)]
+            # One entry a node: its product may round differently beside other nodes.
+            both = {n: d for d, n in [*start, *zip(far[best].tolist(), self.long[best].tolist())]}
+            start = sorted((d, n) for n, d in both.items())[:max(width, count)]
+        near = self._walk(q, at, start, max(width, count), 0)
         return [n for _, n in near[:count]]
 
 
-def build_graph(x: np.ndarray, slots: int, width: int, seed: int = 1) -> Graph:
+def build_graph(x: np.ndarray, slots: int, width: int, seed: int = 1, lift: np.ndarray | None = None) -> Graph:
     """Insert all rows; a node's top layer is geometric, as usual for these graphs."""
-    g = Graph(x, slots)
+    g = Graph(x, slots, lift)
     drawn = np.random.default_rng(seed).random(len(x))
     for node, level in enumerate(np.floor(-np.log(1 - drawn) / math.log(slots)).astype(int).tolist()):
         g.insert(node, level, width)
     return g
 
 
-def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
-    lift = np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0.0))
-    return np.concatenate([x, lift[:, None]], axis=1).astype(np.float32)
+def _lift(x: np.ndarray, norm: float) -> np.ndarray:
+    return np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0.0))
 
 
 def _load(row: dict, slots: int) -> tuple[Graph, np.ndarray]:
     x = np.frombuffer(row["vecs"], np.float64).reshape(-1, row["dim"])
-    g = Graph(_lifted(x, row["norm"]), slots)
+    g = Graph(x, slots, _lift(x, row["norm"]))
     g.layers = [np.frombuffer(t, np.int32).reshape(len(x), -1) for t in row["layers"]]
     g.entry, g.height = row["entry"], row["height"]
     return g, x
@@ -174,7 +201,7 @@ def nearest(table: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
 
     def build(pdf: pd.DataFrame) -> dict:
         x = np.stack(pdf["key"].to_numpy()).astype(np.float64)
-        g = build_graph(_lifted(x, norm), slots, build_width)
+        g = build_graph(x, slots, build_width, lift=_lift(x, norm))
         return {"vecs": x.tobytes(), "dim": x.shape[1], "norm": norm, "entry": g.entry, "height": g.height,
                 "layers": [t.tobytes() for t in g.layers], **vectors.flat_ids(pdf["ids"])}
 
@@ -186,7 +213,7 @@ def nearest(table: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
         ids = vectors.split_ids(row)
         for place, key in enumerate(keys):
             q = np.array(key)
-            found = g.nearest(np.append(q, 0.0).astype(np.float32), k + 1, search_width)
+            found = g.nearest(q, k + 1, search_width)
             for node, score in zip(found, (x[found] * q).sum(axis=1).tolist()):
                 yield place, score, ids[node].tolist()
 

@@ -111,3 +111,18 @@ def test_search_stops_only_when_covered():
 def test_classes_keep_the_smallest_ids(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(500)], "id long, key long")
     assert {r.key: r.ids for r in vectors.classes(df, 4).collect()} == {k: [k, k + 3, k + 6, k + 9] for k in range(3)}
+
+
+@pytest.mark.parametrize("norms", ["one long", "very long", "heavy tail"])
+def test_hnsw_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20, 24))[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "heavy tail":
+        x *= np.exp(1.5 * rng.normal(size=1500))[:, None]
+    else:
+        x[7] *= {"one long": 1e4, "very long": 1e8}[norms]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = by_query(hnsw.nearest(df, F.col("vec_id") % 20 == 0, 20, per_shard=1000).collect(), "vec_id")
+    hits = sum(len(set(found) & set([j for j in np.argsort(-(x @ x[q])) if j != q][:20])) for q, found in got.items())
+    assert len(got) == 75 and hits >= 0.95 * 20 * 75
