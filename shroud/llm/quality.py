@@ -42,19 +42,23 @@ def text_features(text: bytes | None) -> np.ndarray:
     """Whole-text profile: trigram shares (square roots) and shares of character kinds and kind changes."""
     text = text or b""
     grams, kinds, pairs = np.zeros(PROFILE), np.zeros(8), np.zeros(64)
+    packer, packed = zlib.compressobj(1), 0
     for at in range(0, len(text), CHUNK):
         b = np.frombuffer(text, np.uint8, min(CHUNK + 2, len(text) - at), at).astype(np.uint32)
         if len(b) >= 3:
             h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
             grams += np.bincount((h >> np.uint32(11)) & np.uint32(PROFILE - 1), minlength=PROFILE)
-        k = _KINDS[b[:CHUNK]].astype(np.int64)
-        kinds += np.bincount(k, minlength=8)
+        # One kind beyond the chunk, for the change of kind at its end.
+        k = _KINDS[b[:CHUNK + 1]].astype(np.int64)
+        kinds += np.bincount(k[:CHUNK], minlength=8)
         pairs += np.bincount(k[:-1] * 8 + k[1:], minlength=64) if len(k) > 1 else 0
+        packed += len(packer.compress(text[at:at + CHUNK]))
+    packed += len(packer.flush())
     n = max(len(text), 1)
     letters, words = kinds[1] + kinds[2] + kinds[7], kinds[4] + kinds[5] + 1
     shape = np.concatenate([kinds / n, [
         kinds[2] / max(letters, 1), letters / n, min(letters / words, 20) / 20, kinds[5] / words, pairs[6 * 8 + 6] / n,
-        pairs[2 * 8 + 2] / n, np.log1p(n) / 15, len(zlib.compress(text[:CHUNK], 1)) / n if n > 64 else 1.0]])
+        pairs[2 * 8 + 2] / n, np.log1p(n) / 15, packed / n if n > 64 else 1.0]])
     return np.concatenate([np.sqrt(grams / n), shape]).astype(np.float32)
 
 

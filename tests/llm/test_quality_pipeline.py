@@ -44,6 +44,13 @@ def test_text_features_see_the_whole_text(monkeypatch):
     assert np.allclose(whole[: quality.PROFILE + 8], quality.text_features(text)[: quality.PROFILE + 8], atol=1e-6)
 
 
+def test_every_text_feature_sees_the_whole_text(monkeypatch):
+    text = ("abc DEF 123!! \n" * 400 + "é" * 50).encode() + np.random.default_rng(0).bytes(5000)
+    whole = quality.text_features(text)
+    monkeypatch.setattr(quality, "CHUNK", 1000)
+    assert np.allclose(whole, quality.text_features(text), atol=1e-6)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
