@@ -3,9 +3,9 @@
 The text view sees a hashed profile of byte trigrams and a few shape statistics
 of the whole text; the metadata view sees source, language and length. Each
 view has a logistic classifier fitted on a bounded, hash-chosen sample of
-labelled documents. Over several rounds each classifier labels the documents of
-a bounded unlabelled pool; those it is surest of, in the proportion of the
-classes, join the other view's training rows. Both are calibrated on held-out
+labelled documents. Over several rounds each classifier scores all unlabelled
+documents on Spark; of those it is surest of, in the proportion of the classes,
+a bounded hash sample joins the other view's training rows. Both are calibrated on held-out
 labelled rows, a small logistic model combines the two calibrated views, and
 every document is scored.
 
@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from typing import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import discard, materialize, need
 
 PROFILE = 1024
 CHUNK = 1 << 22
@@ -122,36 +123,30 @@ class QualityModel:
         return sig(t), sig(m), sig(self.blend[0] * t + self.blend[1] * m + self.blend[2])
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, share: float) -> QualityModel:
-    """``views`` and ``pool``: the two feature tables of the labelled and of the unlabelled rows."""
+def co_train(views: list[np.ndarray], y: np.ndarray, pick: Callable, rounds: int) -> QualityModel:
+    """``views``: the two feature tables of the labelled rows.
+
+    ``pick(sides, good, turn)`` gives, for each view, the two feature tables and
+    the pseudo-labels of the unlabelled rows it is surest of.
+    """
     if not 0 < y.sum() < len(y):
         return QualityModel(None, None, (0.0, 0.0, float(y.mean()) if len(y) else 0.5))
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     fit_x, fit_y, held_rows = [v[~held] for v in views], y[~held], held if held.any() else ~held
-    extra: list[list[tuple[int, float]]] = [[], []]  # pool rows and pseudo-labels given to each view
-    open_ = np.ones(len(pool[0]), bool)
-    weights: list[np.ndarray] = []
+    extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # feature rows and pseudo-labels given to each view
     for turn in range(rounds + 1):
         weights = []
         for v in (0, 1):
-            rows = [i for i, _ in extra[v]]
-            x = np.concatenate([fit_x[v], pool[v][rows]]) if rows else fit_x[v]
-            label = np.concatenate([fit_y, [p for _, p in extra[v]]]) if rows else fit_y
-            weights.append(logistic(x, label, np.concatenate([np.ones(len(fit_y)), np.full(len(rows), 0.5)])))
-        if turn == rounds or not open_.any():
+            x = np.concatenate([fit_x[v], *(x for x, _ in extra[v])])
+            label = np.concatenate([fit_y, *(p for _, p in extra[v])])
+            weights.append(logistic(x, label, np.where(np.arange(len(label)) < len(fit_y), 1.0, 0.5)))
+        if turn == rounds:
             break
-        for v in (0, 1):
-            a, b = _platt(_margin(weights[v], views[v][held_rows]), y[held_rows])
-            p = 1 / (1 + np.exp(-np.clip(a * _margin(weights[v], pool[v]) + b, -30, 30)))
-            free = np.flatnonzero(open_)
-            order = free[np.argsort(p[free], kind="stable")]
-            n = max(1, int(share * len(pool[0])))
-            low = [i for i in order[: max(1, round(n * (1 - fit_y.mean())))] if p[i] < 0.1]
-            high = [i for i in order[::-1][: max(1, round(n * fit_y.mean()))] if p[i] > 0.9]
-            extra[1 - v] += [(i, 0.0) for i in low] + [(i, 1.0) for i in high]
-            open_[low + high] = False
+        sides = [(w, *_platt(_margin(w, v[held_rows]), y[held_rows])) for w, v in zip(weights, views)]
+        for v, (tables, label) in enumerate(pick(sides, float(fit_y.mean()), turn)):
+            extra[1 - v].append((tables[1 - v], label))
     sides = [(w, *_platt(_margin(w, v[held_rows]), y[held_rows])) for w, v in zip(weights, views)]
     odds = np.stack([a * _margin(w, v[held_rows]) + b for (w, a, b), v in zip(sides, views)], axis=1)
     blend = logistic(odds, y[held_rows], np.ones(held_rows.sum()), ridge=1e-2)
@@ -174,29 +169,88 @@ def _stack(rows: list, name: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r[name]) for r in rows), np.float32).reshape(-1, width) if rows else np.zeros((0, width), np.float32)
 
 
+def _picker(docs: DataFrame, votes: DataFrame, cols: tuple[str, ...], unlabelled: int, share: float, seed: int) -> Callable:
+    """``pick`` of :func:`co_train` over all unlabelled rows of ``docs(k, <cols>)``.
+
+    Every row is scored in every round. Of those among the surest ``share`` of
+    all for each round so far, in the proportion of the classes, a view passes
+    on at most ``unlabelled * share`` new ones in a round, by the order of a hash.
+    """
+    rows = docs.withColumn("row", F.xxhash64("k", *cols, F.lit(seed)))
+    voted = materialize(votes.select("k"), "quality-voted")
+    total = docs.select("k").join(voted, "k", "left_anti").count()
+    taken: set[int] = set()
+    widths = (PROFILE + SHAPE, META_BUCKETS + 2)
+
+    def pick(sides: list[tuple], good: float, turn: int) -> list[tuple]:
+        @F.pandas_udf("text double, meta double")
+        def odds(text: pd.Series, source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.DataFrame:
+            (wt, at, bt), (wm, am, bm) = sides
+            return pd.DataFrame({"text": [at * float(_margin(wt, text_features(t))) + bt for t in text],
+                                 "meta": [am * float(_margin(wm, meta_features(*x))) + bm for x in zip(source, lang, size)]},
+                                dtype=float)
+
+        args = [F.col(c).cast(t) for c, t in zip(cols, ("binary", "string", "string", "double"))]
+        rated = materialize(rows.select("k", "row", odds(*args).alias("m")).select("k", "row", "m.text", "m.meta"), "quality-odds")
+        free = rated.join(voted, "k", "left_anti")
+        chosen: list[dict[int, float]] = []
+        n = max(1, int(share * total))
+        for view in ("text", "meta"):
+            mine: dict[int, float] = {}
+            for label, part, sure in ((0.0, 1 - good, -F.col(view)), (1.0, good, F.col(view))):
+                # The place of the surest rows, to a hundredth of the log odds; p > 0.9 at least.
+                ranked = free.select("row", F.floor(F.least(sure, F.lit(30.0)) * 100).alias("at")).where(sure > float(np.log(9)))
+                want, cut = max(1, round((turn + 1) * n * part)), None
+                for r in sorted(ranked.groupBy("at").count().collect(), reverse=True):
+                    if want <= 0:
+                        break
+                    want, cut = want - r["count"], r["at"]
+                if cut is None:
+                    continue
+                most = max(1, round(min(n, max(1, int(share * unlabelled))) * part))
+                old = list(taken)
+                fresh = ranked.where(F.col("at") >= cut).where(~F.col("row").isin(old)) if old else ranked.where(F.col("at") >= cut)
+                got = [r["row"] for r in fresh.select("row").distinct().orderBy(F.xxhash64("row"), "row").limit(most).collect()]
+                mine |= dict.fromkeys(got, label)
+                taken.update(got)
+            chosen.append(mine)
+        discard(rated)
+        every = [r for mine in chosen for r in mine]
+        if not every:
+            return []
+        found = with_features(rows.where(F.col("row").isin(every)).dropDuplicates(["row"]), *cols, "row").collect()
+        found = sorted(found, key=lambda r: r["row"])
+        out = []
+        for mine in chosen:
+            part = [r for r in found if r["row"] in mine]
+            tables = [_stack(part, name, w) for name, w in zip(("text", "meta"), widths)]
+            out.append((tables, np.array([mine[r["row"]] for r in part])))
+        return out
+
+    return pick
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text",
           source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", labelled: int = 4000,
           unlabelled: int = 4000, rounds: int = 4, share: float = 0.05, seed: int = 9) -> QualityModel:
-    """Co-train on about ``labelled`` labelled and ``unlabelled`` other whole documents, chosen by a seeded hash of the id."""
+    """Co-train on about ``labelled`` labelled documents, chosen by a seeded hash of the id, and on all others (see :func:`_picker`)."""
     need(docs, (id_col, text_col, source_col, lang_col, size_col))
     need(labels, (id_col, label_col))
     votes = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(
         F.avg(F.col(label_col).cast("double")).alias("y")).where("y <> 0.5")
-    n_votes, n_docs = votes.count(), docs.count()
+    n_votes = votes.count()
     rank = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1_000_000))
-    cut = lambda want, of: -(-want * 1_000_000 // max(of, 1))
-    few = votes.where(rank("k") < cut(labelled, n_votes))
-    narrow = docs.select(F.col(id_col).alias("k"), *{text_col, source_col, lang_col, size_col})
-    near = narrow.where(rank("k") < max(cut(labelled, n_votes), cut(unlabelled, n_docs)))
-    known = near.join(few, "k")
-    unknown = near.where(rank("k") < cut(unlabelled, n_docs)).join(votes, "k", "left_anti").withColumn("y", F.lit(-1.0))
-    sample = with_features(known.unionByName(unknown), text_col, source_col, lang_col, size_col, "k", "y").collect()
-    sample.sort(key=lambda r: zlib.crc32(str(r["k"]).encode()))
-    good, rest = [r for r in sample if r["y"] >= 0], [r for r in sample if r["y"] < 0]
+    cut = -(-labelled * 1_000_000 // max(n_votes, 1))
+    cols = (text_col, source_col, lang_col, size_col)
+    narrow = docs.select(F.col(id_col).alias("k"), *[F.col(c).alias(f"__{n}") for n, c in enumerate(cols)])
+    cols = tuple(f"__{n}" for n in range(4))
+    known = narrow.where(rank("k") < cut).join(votes.where(rank("k") < cut), "k")
+    good = with_features(known, *cols, "k", "y").collect()
+    good.sort(key=lambda r: zlib.crc32(str(r["k"]).encode()))
     widths = (PROFILE + SHAPE, META_BUCKETS + 2)
     views = [_stack(good, n, w) for n, w in zip(("text", "meta"), widths)]
-    pool = [_stack(rest, n, w) for n, w in zip(("text", "meta"), widths)]
-    return co_train(views, np.array([float(r["y"] > 0.5) for r in good]), pool, rounds, share)
+    y = np.array([float(r["y"] > 0.5) for r in good])
+    return co_train(views, y, _picker(narrow, votes, cols, unlabelled, share, seed), rounds)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", source_col: str = "source", lang_col: str = "lang",

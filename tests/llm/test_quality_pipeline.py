@@ -51,6 +51,22 @@ def test_every_text_feature_sees_the_whole_text(monkeypatch):
     assert np.allclose(whole, quality.text_features(text), atol=1e-6)
 
 
+def test_every_unlabelled_document_may_take_part(spark):
+    # With a bound of 20 the rows passed on still come from the surest of all 600.
+    good, bad = "Plain words in whole sentences, one after another. ", "#$ 00 @@ !! 77 {} "
+    rows = [(i, (good if i % 2 else bad) * (5 + i % 7), "ab"[i % 2], "en", 100) for i in range(700)]
+    docs = spark.createDataFrame(rows, "k long, __0 string, __1 string, __2 string, __3 long")
+    votes = docs.where("k < 100").select("k")
+    pick = quality._picker(docs, votes, ("__0", "__1", "__2", "__3"), 20, 0.5, 9)
+    sides = [(np.append(np.eye(1, w, at)[0] * 100, 0.0), 1.0, shift) for w, at, shift in
+             ((quality.PROFILE + quality.SHAPE, quality.PROFILE + 1, -30.0), (quality.META_BUCKETS + 2, 0, 0.0))]
+    seen = [len(pick(sides, 0.5, turn)[0][1]) for turn in range(3)]
+    assert seen == [10, 10, 10]  # a pool of 20 would have been used up
+    model = quality.train(docs.selectExpr("k AS doc_id", "__0 AS text", "__1 AS source", "__2 AS lang", "__3 AS n_chars"),
+                          docs.where("k < 100").selectExpr("k AS doc_id", "CAST(k % 2 AS INT) AS quality"), unlabelled=20)
+    assert model.text is not None
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
