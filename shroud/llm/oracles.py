@@ -19,5 +19,49 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER
 """
 
 
+#: CRC-32 of a column of words: a table of 256 values, then one step for each byte.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n)) AS tab
+)"""
+CRC_OF = """xor(4294967295::BIGINT, list_reduce(list_transform(range(octet_length(encode({w}))),
+  lambda i: ('0x' || substr(hex(encode({w})), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT),
+  lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT))"""
+
+IMPORTANCE = f"""
+WITH {CRC_TABLE}, texts AS (
+  SELECT 0 AS kind, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT kind, r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), features AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS f FROM words
+), distinct_features AS (SELECT DISTINCT f FROM features
+), bucketed AS (SELECT f, {CRC_OF.format(w="f")} % 10000 AS bucket FROM distinct_features, crc
+), placed AS (SELECT kind, r, bucket FROM features JOIN bucketed USING (f)
+), counts AS (
+  SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM placed GROUP BY bucket
+), totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM counts, totals
+), weights AS (
+  SELECT r, count(*) AS n, sum(gain) AS g FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(CAST(floor(g / n) AS BIGINT), 0) AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h
+  FROM words LEFT JOIN weights USING (r) WHERE kind = 0
+), final AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST) AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS able FROM final
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n_words >= 20 AND place <= able * 25 // 100 THEN CAST(place AS BIGINT) END AS rank FROM placed_rank
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hamming_topk": HAMMING_TOPK}
+    return {"op4_hamming_topk": HAMMING_TOPK, "op11_importance_resampling": IMPORTANCE}

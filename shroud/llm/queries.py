@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, hnsw, langid, mixing, packing, pii, quality, simhash, templates, urls
+from . import hamming, hnsw, importance, langid, mixing, packing, pii, quality, simhash, templates, urls
 from . import vectors
 from .common import table
 
@@ -79,6 +79,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the benchmark's distribution of words and word pairs."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     """Every ``opN_<name>`` query of this subpackage."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
