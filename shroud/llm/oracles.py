@@ -63,5 +63,27 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 """
 
 
+MINHASH = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END) AS s FROM docs
+), classes AS (
+  SELECT s, row_number() OVER () AS c, low FROM (SELECT s, min(doc_id) AS low FROM sets WHERE len(s) > 0 GROUP BY s)
+), items AS (SELECT c, len(s) AS n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS u, b.c AS v FROM items a JOIN items b USING (x) WHERE a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(c, d) AS (
+  SELECT c, c FROM classes UNION SELECT reach.c, links.v FROM reach JOIN links ON links.u = reach.d
+), lowest AS (SELECT reach.c, min(low) AS component_id FROM reach JOIN classes ON classes.c = reach.d GROUP BY reach.c)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+  coalesce(doc_id = CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END, false) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN lowest ON lowest.c = classes.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hamming_topk": HAMMING_TOPK, "op11_importance_resampling": IMPORTANCE}
+    return {"op13_minhash_dedup": MINHASH, "op4_hamming_topk": HAMMING_TOPK, "op11_importance_resampling": IMPORTANCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, hnsw, importance, langid, mixing, packing, pii, quality, simhash, templates, urls
+from . import alignment, hamming, hnsw, importance, langid, minhash, mixing, packing, pii, quality, simhash, templates, urls
 from . import vectors
 from .common import table
 
@@ -85,6 +85,19 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment between the byte-level and the piece tokenizer."""
+    found = alignment.alignment(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.col("groups").alias("groups_sha256"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (3-word shingles, similarity from 0.85 on)."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=(85, 100))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
     """Every ``opN_<name>`` query of this subpackage."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
