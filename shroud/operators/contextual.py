@@ -54,7 +54,7 @@ def prepare_gazetteer(gazetteer: DataFrame, policy: P.Policy) -> DataFrame:
 
 def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str) -> DataFrame:
     """``out`` = contextual findings array (category per element)."""
-    if policy.contextual_status != "active":
+    if policy.contextual_status != "active" or policy.gazetteer is None:
         return df.withColumn(out, F.array().cast(CTX_TYPE))
     g = prepare_gazetteer(policy.gazetteer, policy)
     few = g.limit(PLAN_TERMS + 1).collect()

@@ -24,8 +24,10 @@ from ..functions.scan import SENTINEL_COL, Scan, with_sentinel, with_spans, with
 from ..functions.sql import FINDING_T, add, empty, ident, q
 from . import catalog as C
 from .contextual import with_contextual
+from .dates import with_dates
 from .dotenv import with_dotenv_spans
 from .resolve import with_resolved
+from .tagger import with_tagged_entities
 from .terms import term_table, with_term_hits
 
 
@@ -109,6 +111,16 @@ def with_raw_findings(df: DataFrame, text: str, policy: P.Policy, out: str = "ra
         df = with_contextual(df, text, policy, "__ctx")
         arrays.append("__ctx")
         extra.append("__ctx")
+        if policy.tagger is not None:
+            df = with_tagged_entities(df, text, policy.tagger, "__tag")
+            on = ", ".join(q(c) for c in sorted(policy.contextual_enabled))
+            arrays.append(f"transform(filter(__tag, s -> s.score >= {float(policy.contextual_min_score)!r}D AND s.category IN ({on})), "
+                          "s -> named_struct('start', s.start, 'end', s.`end`, 'category', s.category, 'value', s.value))")
+            extra.append("__tag")
+        if policy.dates and policy.is_on(P.DATE):
+            df = with_dates(df, text, "__dated")
+            arrays.append("transform(__dated, s -> named_struct('start', s.start, 'end', s.`end`, 'category', s.category, 'value', s.value))")
+            extra.append("__dated")
     if policy.keyword_table is not None and policy.is_on(P.KEYWORD):
         df = with_keyword_table(df, text, policy.keyword_table, "__kwt")
         arrays.append("__kwt")
