@@ -7,18 +7,19 @@ the end of the last kept finding. This is a fold, not a running max
 Two physical forms:
 
 * :func:`with_resolved` — per row, on the findings array (no shuffle).
-* :func:`resolve_exploded` — on an exploded findings table, for documents
-  with very many findings: islands of overlapping findings are found with a
-  window (running max of earlier ends), and the fold runs per island only.
+* :func:`resolve_exploded` — on an exploded findings table, for keys with any
+  number of findings: islands of overlapping findings are found by a running
+  maximum of earlier ends over range partitions, and the fold runs per island.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import priority_of
 from ..functions.sql import FINDING_T, add, empty, ident, let
+from ..session import materialize, remove_tables, table_path
 
 SORT_T = ("ARRAY<STRUCT<start: INT, neg_len: INT, prio: INT, `end`: INT, category: STRING, "
           "value: STRING>>")
@@ -83,23 +84,60 @@ def with_resolved(df: DataFrame, raw: str, out: str) -> DataFrame:
                          f"WHEN size({r}) <= {FOLD_UP_TO} THEN {resolve_sql(r)} ELSE {body} END"})
 
 
-def resolve_exploded(findings: DataFrame, key: str = "doc_id") -> DataFrame:
+def _carried(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(__pid, __carry)``: for each range, the largest ``value`` that earlier ranges hold under the key it begins with.
+
+    ``rows`` are range-partitioned and sorted by key, so ranges that end with
+    one key follow each other. One row per range.
+    """
+    ends = rows.groupBy("__pid").agg(F.min(F.struct(F.col(key).alias("k"))).alias("first"),
+                                     F.max(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("last"))
+    so_far = F.max("last.v").over(Window.partitionBy("last.k").orderBy("__pid"))
+    ends = ends.select("__pid", "first", F.struct(F.col("last.k").alias("k"), so_far.alias("v")).alias("last"))
+    before = F.lag("last").over(Window.orderBy("__pid"))
+    ends = ends.select("__pid", "first", before.alias("before"))
+    same = F.col("before").isNotNull() & F.col("before.k").eqNullSafe(F.col("first.k"))
+    return ends.where(same & F.col("before.v").isNotNull()).select("__pid", F.struct("first.k", "before.v").alias("__carry"))
+
+
+def _running(rows: DataFrame, key: str, value: str, order: list, last_row: int) -> Column:
+    """The largest ``value`` of the key's rows so far (up to ``last_row`` from this one), earlier ranges included.
+
+    Keys ascend in a range, so the largest ``(key, value)`` seen is of the
+    present key if any row of it came before.
+    """
+    own = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
+    seen = F.max(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).over(own)
+    here = F.when(seen["k"].eqNullSafe(F.col(key)), seen["v"])
+    return F.greatest(here, F.when(F.col("__carry").isNotNull() & F.col("__carry.k").eqNullSafe(F.col(key)), F.col("__carry.v")))
+
+
+def resolve_exploded(findings: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Resolve an exploded findings table ``(key, start, end, category, value)``.
 
-    An island starts where a finding begins at or after every earlier end
-    (earlier in sort order); no keep/drop decision crosses that boundary, so
-    the greedy fold runs per island. Islands are usually a single finding, so
-    no group holds more than one run of mutually overlapping spans.
+    An island starts where a finding begins at or after every earlier end of
+    its key; no keep/drop decision crosses that boundary, so the greedy fold
+    runs per island. Rows are range-partitioned by (key, sort order) and the
+    ranges frozen in a written table; the running maximum of ends is segmented
+    by key inside a range and carried over range borders by one row per range.
+    A key with any number of findings spreads over as many tasks as its rows
+    need; only the findings of one island (a run of overlapping spans) meet.
+    Null keys are one key; offsets may be of any integer type.
     """
-    f = findings.withColumn("__prio", F.expr(priority_of("category")))
-    order = [F.col("start"), F.col("start") - F.col("end"), F.col("__prio"), F.col("end"),
-             F.col("category"), F.col("value")]
-    w = Window.partitionBy(key).orderBy(*order)
-    f = f.withColumn("__prev_max", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    f = f.withColumn("__new", F.when(F.col("__prev_max").isNull() | (F.col("start") >= F.col("__prev_max")), 1)
-                     .otherwise(0))
-    f = f.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = f.groupBy(key, "__island").agg(
-        F.collect_list(F.struct("start", "end", "category", "value")).alias("__raw"))
-    grouped = with_resolved(grouped, "__raw", "__kept")
-    return grouped.select(key, F.inline("__kept"))
+    partitions = partitions or int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = findings.select(key, "start", "end", "category", "value").withColumn("__prio", F.expr(priority_of("category")))
+    order = [F.col(key), F.col("start"), F.col("start") - F.col("end"), F.col("__prio"), F.col("end"), F.col("category"), F.col("value")]
+    ranged = materialize(f.repartitionByRange(partitions, *order).withColumn("__pid", F.spark_partition_id()), "resolve-ranges")
+    rows = ranged.join(F.broadcast(_carried(ranged, key, "end")), "__pid", "left")
+    rows = rows.withColumn("__ends", _running(rows, key, "end", order, -1)).drop("__carry")
+    opens = F.col("__ends").isNull() | (F.col("start") >= F.col("__ends"))
+    rows = materialize(rows.withColumn("__open", F.when(opens, F.col("start"))).drop("__ends"), "resolve-islands")
+    remove_tables(findings.sparkSession, [table_path(ranged)])
+    # The start of the latest island so far names a finding's island.
+    islands = rows.join(F.broadcast(_carried(rows, key, "__open")), "__pid", "left")
+    islands = islands.withColumn("__island", _running(islands, key, "__open", order, 0))
+    near = [(F.col(c) - F.col("__island")).cast("int").alias(c) for c in ("start", "end")]
+    grouped = islands.groupBy(key, "__island").agg(F.collect_list(F.struct(*near, "category", "value")).alias("__raw"))
+    kept = with_resolved(grouped, "__raw", "__kept").select(key, "__island", F.inline("__kept"))
+    types = dict(findings.dtypes)
+    return kept.select(key, *[(F.col(c) + F.col("__island")).cast(types[c]).alias(c) for c in ("start", "end")], "category", "value")

@@ -100,6 +100,21 @@ def resolve_planted(spark: SparkSession, sf: str) -> DataFrame:
         *KEYS, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "category", "value")
 
 
+#: Room of one turn in the text that all turns make together.
+ROOM = 10_000_000
+
+
+def resolve_one_key(spark: SparkSession, sf: str) -> DataFrame:
+    """All findings of all planted turns as those of one text (one key): the same as resolved turn by turn."""
+    from ..operators.detect import with_raw_findings
+    from ..operators.resolve import resolve_exploded
+
+    table = explode_findings(with_raw_findings(planted(spark, sf), "text", P.Policy(), "raw"), KEYS, "raw")
+    at = (F.col("conv_id") * 1000 + F.col("turn")).cast("long") * ROOM
+    one = table.select(F.lit("all").alias("corpus"), (F.col("start") + at).alias("start"), (F.col("end") + at).alias("end"), "category", "value")
+    return resolve_exploded(one, "corpus")
+
+
 def mask_planted(spark: SparkSession, sf: str) -> DataFrame:
     df = mask(planted(spark, sf), "text", P.Policy())
     return df.select(*KEYS, "masked_text", F.size("findings").cast("long").alias("n_findings"))
@@ -140,7 +155,7 @@ def unlock_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return V.unlock(spark.read.parquet(path).withColumnRenamed("locked_text", "text"), reloaded).drop("n_replaced")
 
 
-QUERIES = {f.__name__: f for f in (find_planted, entropy_planted, resolve_planted, mask_planted, counts_planted,
+QUERIES = {f.__name__: f for f in (find_planted, entropy_planted, resolve_planted, resolve_one_key, mask_planted, counts_planted,
                                    lock_conversations, lock_totals, unlock_conversations)}
 
 
@@ -163,6 +178,8 @@ tokens AS (SELECT id, value, 'PMV_' || lpad(CAST(row_number() OVER (ORDER BY id,
         "entropy_planted": (f"WITH {src_t} SELECT {keys}, start, value, round({O.entropy_sql('value')}, 6) AS entropy, "
                             f"{O.looks_secret_sql('value')} AS is_secret FROM {cand}"),
         "resolve_planted": f"{kept} SELECT {keys}, start, \"end\", category, value FROM kept",
+        "resolve_one_key": (f"{kept} SELECT 'all' AS corpus, start + (id // 1000000 * 1000 + id % 1000000) * {ROOM} AS start, "
+                            f"\"end\" + (id // 1000000 * 1000 + id % 1000000) * {ROOM} AS \"end\", category, value FROM kept"),
         "mask_planted": O.mask_sql("conversations", KEYS, "text", P.Policy(), src),
         "counts_planted": f"{kept} SELECT CAST(id % 1000000 AS BIGINT) AS turn, category, CAST(count(*) AS BIGINT) AS n_findings "
                           "FROM kept GROUP BY id % 1000000, category",
