@@ -7,11 +7,8 @@ whole words together with the exact separators between them, so it must begin
 and end with a word character. Terms scoring below the policy's minimum (0.4 by
 default) are ignored.
 
-A short gazetteer (up to :data:`PLAN_TERMS` terms) is compiled into the narrow
-detection stage: a trie-shaped regex finds the terms' first words, and each
-candidate term is checked in place. A longer one is joined
-(:mod:`shroud.operators.terms`). The findings are the same; only the plan
-differs. The joined form needs a batch DataFrame.
+A gazetteer of any size is compiled into automata that every executor gets as
+files (:mod:`shroud.operators.automaton`); one plan serves batches and streams.
 
 Any other detector (a model, a service client) plugs in as a pandas UDF through
 :func:`custom_detector`; it runs on executors in Arrow batches.
@@ -25,14 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy as P
-from ..functions.scan import Scan, with_spans
-from ..functions.sql import add, ident, let, q
-from .terms import term_table, with_term_hits
-
-#: Terms that are compiled into the plan; more are joined.
-PLAN_TERMS = 5000
-#: Up to this many first words the row gate is a set of byte searches; above it the trie regex itself is the gate.
-HEAD_CONTAINS_GATE = 32
+from .automaton import build_terms, with_terms
 
 # FIXED VALUES: external entity labels and the categories they map to.
 ENTITY_LABELS = {"PERSON": P.PERSON, "LOCATION": P.LOCATION, "ORGANIZATION": P.ORG, "DATE_TIME": P.DATE}
@@ -49,86 +39,14 @@ def prepare_gazetteer(gazetteer: DataFrame, policy: P.Policy) -> DataFrame:
         g = g.where(F.col("score") >= F.lit(policy.contextual_min_score))
     g = g.where(F.col("category").isin(*sorted(policy.contextual_enabled)))
     g = g.where(F.col("term").rlike(r"(?Us)^\w(?:.*\w)?$"))
-    return g.select("term", "category", F.regexp_extract("term", r"(?U)^\w+", 0).alias("head")).dropDuplicates(["term", "category"])
+    return g.select("term", "category")
 
 
 def with_contextual(df: DataFrame, text: str, policy: P.Policy, out: str) -> DataFrame:
     """``out`` = contextual findings array (category per element)."""
     if policy.contextual_status != "active" or policy.gazetteer is None:
         return df.withColumn(out, F.array().cast(CTX_TYPE))
-    g = prepare_gazetteer(policy.gazetteer, policy)
-    few = g.limit(PLAN_TERMS + 1).collect()
-    if not few:
-        return df.withColumn(out, F.array().cast(CTX_TYPE))
-    if len(few) <= PLAN_TERMS:
-        return _compiled(df, text, few, out)
-    return with_term_hits(df, text, term_table(g, fold=False), out, fold=False)
-
-
-def _trie_regex(words) -> str:
-    """Alternation of literal words factored by common prefix (no backtracking blow-up)."""
-    trie: dict = {}
-    for w in words:
-        node = trie
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def emit(node) -> str:
-        alts, end = [], False
-        for ch in sorted(node):
-            if ch == "":
-                end = True
-            else:
-                alts.append(_quote(ch) + emit(node[ch]))
-        if not alts:
-            return ""
-        body = alts[0] if len(alts) == 1 and not end else "(?:" + "|".join(alts) + ")"
-        return body + ("?" if end else "")
-
-    return emit(trie)
-
-
-def _quote(ch: str) -> str:
-    return "\\" + ch if not ch.isalnum() else ch
-
-
-def _compiled(df: DataFrame, text: str, rows: list, out: str) -> DataFrame:
-    """Locate whole-word first words, then test each term that starts there.
-
-    A term matches where the text continues with exactly the term and the next
-    character is not a word character.
-    """
-    t = ident(text)
-    heads = sorted({r["head"] for r in rows})
-    rx = r"(?U)(?<!\w)(?:" + _trie_regex(heads) + r")(?!\w)"
-    if len(heads) <= HEAD_CONTAINS_GATE:
-        gate = " OR ".join(f"contains({t}, {q(h)})" for h in heads)
-    else:
-        gate = f"{t} RLIKE {q(rx)}"
-    df = with_spans(df, text, [Scan("__heads", rx, False, gate)])
-    # first word -> its (term, category) candidates, a constant-folded map
-    by_head: dict = {}
-    for r in sorted(rows, key=lambda r: (P.CONTEXTUAL_CATEGORIES.index(r["category"]), r["term"])):
-        by_head.setdefault(r["head"], []).append(f"named_struct('term', {q(r['term'])}, 'category', {q(r['category'])})")
-    table = "map(" + ", ".join(f"{q(h)}, array({', '.join(v)})" for h, v in sorted(by_head.items())) + ")"
-    from .mask import SPLICE_CHUNKED_ABOVE, _piece_sql
-
-    def per_head(sub, n, heads_col):
-        end = "h.start + length(cd.term)"
-        after = f"CASE WHEN {end} >= {n} THEN '' ELSE {sub(end, end + ' + 1')} END"
-        ok = (f"{end} <= {n} AND {sub('h.start', end)} = cd.term AND "
-              f"({after} = '' OR NOT {after} RLIKE {q(r'(?U)\w')})")
-        cands = (f"transform(filter(coalesce({table}[h.value], array()), cd -> {ok}), cd -> named_struct("
-                 f"'start', h.start, 'end', {end}, 'category', cd.category, 'value', cd.term))")
-        return f"flatten(transform({heads_col}, h -> {cands}))"
-
-    direct = per_head(lambda a, b: f"substr({t}, ({a}) + 1, ({b}) - ({a}))", f"length({t})", "__heads")
-    # many occurrences: cut the text into chunks once (substr walks from the start)
-    chunked = let({"ch": f"regexp_extract_all({t}, '(?s).{{1,2048}}', 0)", "n": f"length({t})", "hs": "__heads"},
-                  per_head(_piece_sql, "v.n", "v.hs"), "v")
-    df = add(df, {out: f"CASE WHEN size(__heads) <= {SPLICE_CHUNKED_ABOVE} THEN {direct} ELSE {chunked} END"})
-    return df.drop("__heads")
+    return with_terms(df, text, build_terms(prepare_gazetteer(policy.gazetteer, policy), fold=False), out)
 
 
 def custom_detector(fn: Callable[[str], Iterable[tuple]], category: str | None = None):

@@ -23,12 +23,12 @@ from ..functions.scalar import looks_secret, luhn_valid
 from ..functions.scan import SENTINEL_COL, Scan, with_sentinel, with_spans, with_tagged_spans
 from ..functions.sql import FINDING_T, add, empty, ident, q
 from . import catalog as C
+from .automaton import build_terms, with_terms
 from .contextual import with_contextual
 from .dates import with_dates
 from .dotenv import with_dotenv_spans
 from .resolve import with_resolved
 from .tagger import with_tagged_entities
-from .terms import term_table, with_term_hits
 
 
 LOWER_COL = "__lc"
@@ -54,19 +54,8 @@ def detector_plan(text: str, policy: P.Policy, lowered: str | None = None) -> li
 
 
 def with_keyword_table(df: DataFrame, text: str, keywords: DataFrame, out: str) -> DataFrame:
-    """Keywords of a table ``(keyword)`` of any size, whatever their case, as whole words (marks may touch anything).
-
-    Keywords without a word of their own (only marks, or an underscore at an
-    end, which may continue a word) can't be joined by words; those few are
-    scanned one by one.
-    """
-    terms = keywords.select(F.trim("keyword").alias("term"), F.lit(P.KEYWORD).alias("category")).where(F.length("term") > 0)
-    loose = ~F.col("term").rlike(r"(?U)\w") | F.col("term").rlike(r"^_|_$")
-    df = with_term_hits(df, text, term_table(terms.where(~loose), fold=True), out, fold=True)
-    for i, r in enumerate(terms.where(loose).distinct().orderBy("term").collect()):
-        df = with_spans(df, text, [Scan(f"__kw{i}", C.keyword_regex(r["term"]))])
-        df = add(df, {out: f"concat({out}, {_tagged(f'__kw{i}', P.KEYWORD)})"}).drop(f"__kw{i}")
-    return df
+    """Keywords of a table ``(keyword)`` of any size, whatever their case, as whole words (marks may touch anything)."""
+    return with_terms(df, text, build_terms(keywords.select(F.col("keyword").alias("term"), F.lit(P.KEYWORD).alias("category")), fold=True), out)
 
 
 def _needs_lower(policy: P.Policy) -> bool:

@@ -153,11 +153,8 @@ def gazetteer_find(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gazetteer_large_find(spark: SparkSession, sf: str) -> DataFrame:
-    """The same terms among one term for each line item (tens of thousands): the joined form, equal to the short one."""
-    items = read_table(spark, sf, "lineitem").select(F.concat_ws(" ", F.lit("Item"), "l_orderkey", "l_linenumber").alias("term"))
-    gaz = items.distinct().withColumn("category", F.lit(P.LOCATION)).unionByName(
-        spark.createDataFrame(list(GAZETTEER), "term string, category string"))
-    policy = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=gaz)
+    """The same terms among tens of thousands."""
+    policy = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=large_gazetteer(spark, sf))
     return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
 
 
@@ -187,6 +184,30 @@ def keyword_table_find(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(find(read_texts(spark, sf, "documents"), "text", policy), ("doc_id",))
 
 
+def mark_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Two keywords for each customer that hold no whole word: they may stand inside one."""
+    customers = read_table(spark, sf, "customer")
+    return customers.select(F.explode(F.array(F.concat(F.lit("_"), "c_custkey", F.lit("_")),
+                                              F.concat(F.lit("->"), "c_custkey", F.lit("<-")))).alias("keyword"))
+
+
+ORDER_NOTE = "'Note ' || o_orderkey || ': KEY_' || o_custkey || '_x, é->' || o_custkey || '<- _' || o_custkey || '.'"
+
+
+def keyword_marks_find(spark: SparkSession, sf: str) -> DataFrame:
+    """A note for every order scanned with thousands of keywords that are no whole words."""
+    notes = read_table(spark, sf, "orders").select("o_orderkey", F.expr(ORDER_NOTE).alias("text"))
+    policy = P.Policy(enabled={P.KEYWORD}, keyword_table=mark_keywords(spark, sf))
+    return _flat(find(notes, "text", policy), ("o_orderkey",))
+
+
+def large_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+    """The short gazetteer among one term for each line item (tens of thousands)."""
+    items = read_table(spark, sf, "lineitem").select(F.concat_ws(" ", F.lit("Item"), "l_orderkey", "l_linenumber").alias("term"))
+    return items.distinct().withColumn("category", F.lit(P.LOCATION)).unionByName(
+        spark.createDataFrame(list(GAZETTEER), "term string, category string"))
+
+
 def keyword_table_edit(spark: SparkSession, sf: str) -> DataFrame:
     """Keywords added (duplicates in other case skipped) and removed by joins, with their length."""
     from ..sources import policy_store as PS

@@ -72,6 +72,19 @@ def stream_mask(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).select("doc_id", "masked_text", "n_findings")
 
 
+def stream_gazetteer_find(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of documents searched for tens of thousands of terms, in the same narrow plan as a batch."""
+    from ..operators.detect import find
+    from ..operators.report import explode_findings
+    from .queries import large_gazetteer
+
+    policy = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=large_gazetteer(spark, sf))
+    out = explode_findings(find(_doc_stream(spark, sf).select("doc_id", "text"), "text", policy), ("doc_id",))
+    sink, ck = scratch_path(spark, "stream-terms"), scratch_path(spark, "stream-terms-ck")
+    S.run_available(out.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "category", "value"), sink, ck)
+    return spark.read.parquet(sink)
+
+
 def stream_window_report(spark: SparkSession, sf: str) -> DataFrame:
     """Findings per 10-minute event-time window (derived clock) and category."""
     from ..operators.detect import find
@@ -90,7 +103,8 @@ def stream_dedup_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return _stream_without_repeats(spark, _doc_stream(spark, sf, "conversations").select("conv_id", "turn", "text"))
 
 
-def _stream_without_repeats(spark: SparkSession, src: DataFrame) -> DataFrame:
+def _stream_without_repeats(spark: SparkSession, src: DataFrame, arrivals=(None,)) -> DataFrame:
+    """Run the stream after each of ``arrivals`` (functions that add files to its source)."""
     from ..operators.mask import mask
 
     def masked(kept):
@@ -98,7 +112,10 @@ def _stream_without_repeats(spark: SparkSession, src: DataFrame) -> DataFrame:
         return out.select("conv_id", "turn", "masked_text", F.size("findings").cast("long").alias("n_findings"))
 
     sink, ck = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ck")
-    S.run_without_repeats(src, "conv_id", "turn", "text", sink, ck, then=masked)
+    for arrive in arrivals:
+        if arrive:
+            arrive()
+        S.run_without_repeats(src, "conv_id", "turn", "text", sink, ck, then=masked)
     return spark.read.parquet(sink).select("conv_id", "turn", "masked_text", "n_findings")
 
 
@@ -118,11 +135,15 @@ def stream_dedup_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Turns with repeats and gaps in several micro-batches: only changes are processed."""
     rows = repeated_turns(spark, sf)
     src = scratch_path(spark, "stream-repeats")
-    for b in range(BATCHES):  # one file per micro-batch, in order of turns
+
+    def arrival(b: int):
+        """The turns of one micro-batch, written by as many tasks as there are."""
         last = b == BATCHES - 1
         part = rows.where((F.col("turn") >= 10 * b) & (F.lit(last) | (F.col("turn") < 10 * (b + 1))))
-        part.coalesce(1).write.mode("append").parquet(src)
-    return _stream_without_repeats(spark, S.read_stream(spark, src, rows.schema, max_files_per_trigger=1))
+        return lambda: part.write.mode("append").parquet(src)
+
+    rows.limit(0).write.parquet(src)
+    return _stream_without_repeats(spark, S.read_stream(spark, src, rows.schema), [arrival(b) for b in range(BATCHES)])
 
 
 def dedup_repeats_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +170,7 @@ def stream_dedup_conversations_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedup_conversations_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch form: equi-join each turn with its predecessor."""
+    """Batch form: each turn is compared with its neighbour inside a range, borders with the range before."""
     from ..operators.mask import mask
 
     df = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
@@ -165,6 +186,7 @@ def oracles() -> dict:
         "unlock_documents": O.unlock_sql(),
         "lock_unlock_roundtrip": O.roundtrip_sql(),
         "stream_mask": O.mask_sql("documents", ("doc_id",), "text", P.Policy()),
+        "stream_gazetteer_find": O.gazetteer_sql(),
         "stream_window_report": O.window_report_sql(EPOCH0, SECONDS_PER_DOC),
         "stream_dedup_conversations": O.dedup_sql(),
         "dedup_conversations_batch": O.dedup_sql(),
