@@ -206,6 +206,28 @@ def run_without_repeats(stream: DataFrame, key: str, seq: str, text: str, sink:
     return q
 
 
+def run_lock(stream: DataFrame, vault, key, sink: str, checkpoint: str, text: str = "text", policy: P.Policy | None = None):
+    """Lock a stream batch by batch into ``sink/batch_id=N``; all tokens are in the vault before a batch's text is written.
+
+    A batch is a named run of the vault: if it is replayed, it takes the ids it
+    had and replaces its entries and its output.
+    """
+    import hashlib
+
+    from ..operators.vault import lock
+
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def step(batch: DataFrame, batch_id: int):
+        res = lock(batch, vault, key, text, policy, owner=f"{name}-{batch_id}")
+        res.locked.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        res.release()
+
+    q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
