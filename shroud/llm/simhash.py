@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroud.functions.hashing import PAIR, row_hash
+
 from .common import blocks_of, materialize, need
 from .components import connected_components
 
@@ -189,6 +191,17 @@ def links(tiles: DataFrame, radius: int) -> DataFrame:
     return spread.mapInArrow(compare, "u long, v long")
 
 
+def _components(rows: DataFrame, k: int, radius: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, t, ...)`` -> ``(id, fp, ...)`` of every row, and ``(fp, root, component_id)`` of every distinct fingerprint."""
+    prints = materialize(with_fingerprint(rows, "t", "fp", k).drop("t"), "simhash-prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    roots = connected_components(links(tiles_of(distinct, tile_rows), radius))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = materialize(member.select("fp", "root", "low"), "simhash-members")
+    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints, member.join(lowest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
                     radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(id, fp, component_id, root)`` for every row of ``docs``; see the module text for the edge cases.
@@ -196,30 +209,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``root`` is the component's smallest fingerprint.
     """
     need(docs, (id_col, text_col))
-    prints = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "fp", k)
-    prints = materialize(prints.select("id", "fp"), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    roots = connected_components(links(tiles_of(distinct, tile_rows), radius))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = materialize(member.select("fp", "root", "low"), "simhash-members")
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "root", "component_id")
+    prints, named = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), k, radius, tile_rows)
     return prints.join(named, "fp").select("id", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row left of each near-duplicate component.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 3,
+             tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``docs`` with exactly one row left of each near-duplicate component.
 
-    The row whose id is the component's id stays; of rows that repeat that id,
-    any one. Rows with a null id stay only in components without any id: one
-    row, with the component's smallest fingerprint.
+    It is a row with the component's smallest id; a null id counts as larger
+    than all others, and of several rows with that id the one with the smallest
+    row hash stays, so reruns agree. Rows that repeat an id but not its text are
+    judged by their own texts: each component keeps its row.
     """
-    member = near_duplicates(docs, id_col, text_col, k, radius)
-    ids = member.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(ids, id_col).dropDuplicates([id_col]).select(*docs.columns)
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return kept
-    roots = member.where("component_id IS NULL AND fp = root").select(F.col("fp").alias("__fp")).distinct()
-    alone = with_fingerprint(nameless, text_col, "__fp", k).join(roots, "__fp").dropDuplicates(["__fp"])
-    return kept.unionByName(alone.select(*docs.columns))
+    need(docs, (id_col, text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *row_hash(docs))
+    prints, named = _components(rows, k, radius, tile_rows)
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", *PAIR)).alias("w")
+    kept = prints.join(named, "fp").groupBy("root").agg(first).select(*[f"w.{c}" for c in PAIR])
+    return docs.select("*", *row_hash(docs)).join(kept, PAIR, "left_semi").dropDuplicates(PAIR).select(*docs.columns)

@@ -81,15 +81,35 @@ def test_components_match_brute_force(spark):
         ((i, f, low.get(comp[f])) for i, f in texts), key=key)
 
 
+def kept_by_hand(rows):
+    """How many rows stay of each component, and which ids and components they may have."""
+    prints = [brute_fingerprint(t) for _, t in rows]
+    comp = classes(set(prints), [(a, b) for a in set(prints) for b in set(prints) if a < b and (a ^ b).bit_count() <= 3])
+    low = {}
+    for (i, _), f in zip(rows, prints):
+        low.setdefault(comp[f], []).append(i)
+    return sorted((c, min((i for i in ids if i is not None), default=-1)) for c, ids in low.items()), comp
+
+
 def test_one_of_each_group_stays(spark):
     docs = docs_frame(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
-    want = {r.id: r for r in simhash.near_duplicates(docs).collect()
-            if r.id is not None and r.id == r.component_id}
-    assert sorted(i for i, _ in got if i != "None") == sorted(str(i) for i in want)
-    assert [t for i, t in got if i == "None"] == ["only here with no id"]
+    want, comp = kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted((comp[brute_fingerprint(r.text)], -1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == want
+
+
+def test_repeated_ids_with_different_texts_lose_nothing(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice([f"w{i}" for i in range(300)]) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (5, b), (3, b), (5, b), (None, c), (None, c), (None, d), (9, d), (5, d), (3, b), (None, None), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    want, comp = kept_by_hand(rows)
+    got = simhash.keep_one(docs, tile_rows=2).collect()
+    assert sorted((comp[brute_fingerprint(r.text)], -1 if r.doc_id is None else r.doc_id) for r in got) == want
+    assert {(r.doc_id, r.text) for r in got} >= {(5, a), (3, b), (None, c), (5, d)}
+    assert set(map(tuple, got)) == set(map(tuple, simhash.keep_one(docs.repartition(2)).collect()))
 
 
 def test_empty_documents(spark):
