@@ -1,14 +1,20 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed into element subtrees. The hash of a subtree covers its
-tag, its text and its children; subtrees are counted per host over distinct
-contents of pages in Spark (copies under several urls count once), and those
-that recur on many of the host's are deleted:
-anywhere outside the article, and in it if they are boxes (``div``, lists,
-tables and the like), not paragraphs or headings of its own. What a page marks
-itself as furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) goes by tag, role, class or id. If the
-page has an article or main element, the rest of the page goes too.
+tag, its text and its children; subtrees are counted per host in Spark, and
+those that recur on many of its pages are deleted: anywhere outside the article,
+and in it if they are plain boxes (``div``, ``section`` and the like; not
+paragraphs, headings, lists or tables) of a large share of the host's pages.
+A page has a vote if a good part of its text is its own: contents are counted,
+not urls, so copies vote once, and near copies, which share most of their text
+with other pages, do not vote at all. So what copies share is not taken for
+template, however many there are.
+
+What a page marks itself as furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) goes by tag, role,
+class or id; in an article, where ids are anchors and classes may be subjects
+(``related-work``), only by names that mean nothing else. If the page has an
+article or main element, the rest of the page goes too.
 
 Text is cut into blocks at block elements; character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line feed.
@@ -23,8 +29,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from typing import Iterator
-
+from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +43,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("nav footer aside form button select input label fieldset legend dialog menu head datalist option".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption article main body html".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption figure ul ol dl table thead tbody tfoot caption "
+                  "article main body html".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
                    "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -50,12 +56,30 @@ _MARK = re.compile(
     r"cookies|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|promotion|"
     r"related|replies|respond|share|sharing|sidebar|sidebars|signup|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|"
     r"site-header|page-header)(?:$|[\s_-])", re.I)
+#: Furniture by class or id in an article, alone or with words of place and kind, and ids that are subjects too.
+_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
+                   "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related "
+                   "replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget".split())
+_PLAIN = frozenset("area article articles bar block bottom box btn button buttons col container content form group header icon icons inner item items "
+                   "left link links list main media module outer page pages panel post posts reader readers right row section site slot stories "
+                   "story text top unit user users wrap wrapper".split())
+_SUBJECTS = frozenset("banner comment comments menu navigation notice notices promotion related replies share sharing social".split())
 _TOKEN = re.compile(
     r"<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>|[^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+def _names_furniture(name: str, value: str) -> bool:
+    """Whether a class or id of an element in an article names furniture and nothing else."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if any(w in _NAMES for w in words) and all(w in _NAMES or w in _PLAIN or w.isdigit() for w in words):
+            if name == "class" or len(words) > 1 or words[0] not in _SUBJECTS:
+                return True
+    return False
+
+
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not in_article):
         return True
@@ -63,8 +87,9 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _MARK.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            if _names_furniture(name, value) if in_article else _MARK.search(value):
+                return True
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[\s_-])(?:comment|reply|teaser|promo|ad)(?:$|[\s_-])", value, re.I):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -75,13 +100,16 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Page:
-    """One parsed page: subtree hashes, and blocks of text with the subtrees they lie in."""
+    """One parsed page: subtree hashes, and blocks of text with the subtree they lie in."""
 
     def __init__(self, source: str):
-        self.hashes: list[int] = []  # of subtrees that may be template
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []  # text, subtrees by number, in an article
+        self.hashes: list[int] = []  # of subtrees that may be template; outer ones first
+        self.outer: list[int] = []  # the next such subtree around each (-1: none)
+        self.inside: list[bool] = []  # whether it lies in an article
+        self.blocks: list[tuple[str, int, bool]] = []  # text, innermost such subtree, in an article
         self.has_article = False
-        self._stack: list[list] = []  # [tag, own furniture, number or -1, content for the hash, in an article]
+        self._stack: list[list] = []  # [tag, own furniture, number or -1, content for the hash, in an article, number around it]
+        self._open_tags: Counter = Counter()
         self._buffer: list[str] = []
         self._read(source)
 
@@ -98,8 +126,13 @@ class Page:
         if text:
             if self._stack:
                 self._stack[-1][3].append(text)
-            inside = tuple(e[2] for e in self._stack if e[2] >= 0)
-            self.blocks.append((text, inside, bool(self._stack and self._stack[-1][4])))
+            top = self._stack[-1] if self._stack else None
+            self.blocks.append((text, self._number(top), bool(top and top[4])))
+
+    @staticmethod
+    def _number(entry: list | None) -> int:
+        """The innermost numbered subtree at an open element."""
+        return -1 if entry is None else entry[2] if entry[2] >= 0 else entry[5]
 
     def _open(self, tag: str, attrs: str) -> None:
         above = self._stack[-1] if self._stack else None
@@ -111,17 +144,21 @@ class Page:
         if not gone and not (in_article and tag in PROSE) and tag not in ("html", "body"):
             number = len(self.hashes)
             self.hashes.append(0)
-        self._stack.append([tag, gone, number, [], in_article])
+            self.outer.append(self._number(above))
+            self.inside.append(in_article)
+        self._stack.append([tag, gone, number, [], in_article, self._number(above)])
+        self._open_tags[tag] += 1
 
     def _close(self) -> None:
         import xxhash
 
-        tag, gone, number, content, _ = self._stack.pop()
+        tag, gone, number, content, _, _ = self._stack.pop()
+        self._open_tags[tag] -= 1
         if gone or not content:
             return
         h = xxhash.xxh64_intdigest("\x1f".join([tag, *content]))
         if number >= 0:
-            self.hashes[number] = h - (1 << 64) if h >= 1 << 63 else h
+            self.hashes[number] = _signed(h)
         if self._stack:
             self._stack[-1][3].append(f"{h:x}")
 
@@ -131,6 +168,8 @@ class Page:
             self._close()
 
     def _find(self, tags, stop) -> int:
+        if not any(self._open_tags[t] for t in tags):
+            return -1
         for at in range(len(self._stack) - 1, -1, -1):
             if self._stack[at][0] in tags:
                 return at
@@ -175,57 +214,89 @@ class Page:
         self._close_to(0)
         self._flush()
 
-    def content(self) -> int:
-        """Hash of the text that the page may keep; copies of a page share it, whatever their urls."""
-        import xxhash
-
-        h = xxhash.xxh64_intdigest("\x1f".join(t for t, _, article in self.blocks if article or not self.has_article))
-        return h - (1 << 64) if h >= 1 << 63 else h
+    def kept(self) -> list[str]:
+        """Blocks that the page may keep."""
+        return [t for t, _, article in self.blocks if article or not self.has_article]
 
     def text(self, recurring) -> str:
-        """The main text without the subtrees whose hashes recur."""
-        drop = {n for n, h in enumerate(self.hashes) if h in recurring} if recurring else ()
-        return "\n".join(t for t, inside, article in self.blocks
-                         if (article or not self.has_article) and not (drop and any(n in drop for n in inside)))
+        """The main text without the subtrees whose hashes recur (in an article, and outside, by :func:`_own`)."""
+        gone = [False] * len(self.hashes)
+        for n, (h, outer) in enumerate(zip(self.hashes, self.outer)):
+            gone[n] = _own(h, self.inside[n]) in recurring or outer >= 0 and gone[outer]
+        return "\n".join(t for t, n, article in self.blocks if (article or not self.has_article) and not (n >= 0 and gone[n]))
 
 
-def subtree_counts(pages: DataFrame) -> DataFrame:
-    """``(host, key, html)`` -> ``(host, key, content, h)``: each page's distinct subtree hashes (one null if none) and the hash of its content."""
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-    @F.pandas_udf("content long, hs array<long>")
+
+def _own(h: int, inside: bool) -> int:
+    """Subtrees in articles are counted apart: their hashes are made even, others odd."""
+    return h & ~1 if inside else h | 1
+
+
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """``(host, key, html)`` -> ``(host, key, content, hs, blocks)``: each distinct page's subtree hashes, and its blocks' hashes and lengths."""
+
+    @F.pandas_udf("content long, hs array<long>, blocks array<struct<b:long,size:long>>")
     def hashes(col: pd.Series) -> pd.DataFrame:
-        read = [Page(t or "") for t in col]
-        return pd.DataFrame({"content": [p.content() for p in read], "hs": [sorted({h for h in p.hashes if h}) for p in read]})
+        import xxhash
+
+        rows = []
+        for source in col:
+            page = Page(source or "")
+            kept = page.kept()
+            sizes: Counter = Counter()
+            for t in kept:
+                sizes[_signed(xxhash.xxh64_intdigest(t))] += len(t)
+            rows.append((_signed(xxhash.xxh64_intdigest("\x1f".join(kept))), sorted({_own(h, i) for h, i in zip(page.hashes, page.inside) if h}),
+                         [{"b": b, "size": n} for b, n in sizes.items()]))
+        return pd.DataFrame(rows, columns=["content", "hs", "blocks"])
 
     found = pages.select("host", "key", hashes("html").alias("p")).dropDuplicates(["host", "key"])
-    return found.select("host", "key", F.col("p.content").alias("content"), F.explode_outer("p.hs").alias("h"))
+    return found.select("host", "key", "p.*")
+
+
+def voters(found: DataFrame, min_pages: int, min_own: float) -> DataFrame:
+    """``(host, content, h)``: subtrees of the contents of which at least ``min_own`` is text that fewer than ``min_pages`` contents of the host hold."""
+    contents = found.groupBy("host", "content").agg(F.first("hs").alias("hs"), F.first("blocks").alias("blocks"))
+    contents = materialize(contents, "template-contents")
+    blocks = contents.select("host", "content", F.inline("blocks"))
+    often = blocks.groupBy("host", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "b", F.lit(1).alias("common"))
+    own = blocks.join(often, ["host", "b"], "left").groupBy("host", "content").agg(
+        F.sum("size").alias("size"), F.sum(F.when(F.col("common").isNull(), F.col("size")).otherwise(0)).alias("own"))
+    able = own.where((F.col("own") >= F.col("size") * min_own) & (F.col("own") > 0)).select("host", "content")
+    return contents.select("host", "content", "hs").join(able, ["host", "content"]).select("host", "content", F.explode_outer("hs").alias("h"))
 
 
-def recurring(subtrees: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``(host, h)`` on at least ``min_pages`` distinct contents and ``min_share`` of the host's."""
-    counts = subtrees.where(F.col("h").isNotNull()).groupBy("host", "h").agg(F.count_distinct("content").alias("n"))
-    sizes = subtrees.groupBy("host").agg(F.count_distinct("content").alias("pages"))
-    counts = counts.where(F.col("n") >= min_pages).join(sizes, "host")
-    return counts.where(F.col("n") >= F.col("pages") * min_share).select("host", "h")
+def recurring(votes: DataFrame, min_pages: int, min_share: float, article_share: float) -> DataFrame:
+    """``(host, h)`` of at least ``min_pages`` voting contents and their share of the host's (a larger one in articles)."""
+    counts = votes.where(F.col("h").isNotNull()).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = votes.groupBy("host").agg(F.count_distinct("content").alias("pages"))
+    share = F.when(F.col("h") % 2 == 0, article_share).otherwise(min_share)
+    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).select("host", "h")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4,
-            min_share: float = 0.02) -> DataFrame:
+            min_share: float = 0.02, article_share: float = 0.2, min_own: float = 0.15) -> DataFrame:
     """``(id, url, text, n_chars)`` for every row.
 
-    A subtree is template if it stands on ``min_pages`` pages of its host that
-    differ in content and on ``min_share`` of them.
+    A subtree is template if it stands on ``min_pages`` voting contents of its
+    host and on ``min_share`` of them (``article_share`` in articles). Contents
+    vote of which ``min_own`` is on fewer than ``min_pages`` contents of the
+    host: pages that share more than 85% of their text are near copies.
     """
     need(pages, (id_col, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("key", F.xxhash64(host_of(F.col("url")), "html"))
-    trees = materialize(subtree_counts(rows.select(host_of(F.col("url")).alias("host"), "key", "html")), "template-subtrees")
-    template = recurring(trees, min_pages, min_share)
+    found = materialize(page_hashes(rows.select(host_of(F.col("url")).alias("host"), "key", "html")), "template-pages")
+    template = materialize(recurring(voters(found, min_pages, min_own), min_pages, min_share, article_share), "template-recurring")
+    trees = found.select("host", "key", F.explode("hs").alias("h"))
     drops = trees.join(template, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("drops"))
 
     @F.pandas_udf("string")
     def main_text(source: pd.Series, drop: pd.Series) -> pd.Series:
-        return pd.Series([Page(s or "").text(set() if d is None else set(d)) for s, d in zip(source, drop)])
+        return pd.Series([Page(s or "").text(frozenset(() if d is None else d)) for s, d in zip(source, drop)])
 
     out = rows.join(drops, "key", "left").select("id", "url", main_text("html", "drops").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

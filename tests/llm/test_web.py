@@ -130,3 +130,44 @@ def test_copies_under_other_urls_are_no_template(spark):
     df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
     got = {r.id: r.text for r in templates.extract(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+def near_copies(n, article):
+    """Pages of one long text that differ in one line."""
+    lines = [f"<p>Line {k} of the common story, long enough to count.</p>" for k in range(12)]
+    for i in range(n):
+        body = "".join([*lines[:6], f"<p>Only here {i}</p>", "<ul><li>one</li><li>two</li></ul><div><p>A box of its own</p></div>", *lines[6:]])
+        text = [re.sub("<[^>]*>", "", x) for x in lines[:6]] + [f"Only here {i}", "one", "two", "A box of its own"] + [re.sub("<[^>]*>", "", x) for x in lines[6:]]
+        yield f"<body>{'<article>' * article}<div>{body}</div>{'</article>' * article}</body>", "\n".join(text)
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_near_copies_keep_their_text(spark, article):
+    rows = [(f"http://four.com/{i}", h, t) for i, (h, t) in enumerate(near_copies(4, article))]
+    rows += [(f"http://forty.com/{i}", h, t) for i, (h, t) in enumerate(near_copies(40, article))]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    assert {r.id: r.text for r in templates.extract(df).collect()} == {i: t for i, (_, _, t) in enumerate(rows)}
+
+
+def test_shared_tables_and_subjects_stay_in_articles(spark):
+    page = ("<article><h1>Match {i}</h1><p>Report number {i} on what happened in the game between teams {i} and more.</p>"
+            "<table><tr><td>Draw 1-1</td></tr></table><div class='related-work'><p>Work of {i}</p></div><section id='social'>Life {i}</section>"
+            "<div class='related-posts'>Read on</div><div class='share-buttons'>Share</div><p class='comments'>first!</p></article>")
+    rows = [(i, f"http://sport.com/{i}", page.format(i=i)) for i in range(4)]
+    # A box that only a few of the host's many articles share stays, one of most of them goes.
+    rows += [(10 + i, f"http://big.com/{i}", f"<article><p>Story {i} has its own words {i}</p><div>{'Score 2-0' if i < 4 else f'Score {i}'}</div>"
+              f"<div>Subscribe now</div></article>") for i in range(40)]
+    got = {r.id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):
+        assert got[i] == f"Match {i}\nReport number {i} on what happened in the game between teams {i} and more.\nDraw 1-1\nWork of {i}\nLife {i}"
+    for i in range(40):
+        assert got[10 + i] == f"Story {i} has its own words {i}\n{'Score 2-0' if i < 4 else f'Score {i}'}"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    assert text_of("<div>x" * 100_000) == "\n".join(["x"] * 100_000)
+    assert text_of("<center>x</b></i></li></table>" * 50_000).count("x") == 50_000
+    assert time.time() - start < 20
