@@ -124,6 +124,32 @@ def counts_planted(spark: SparkSession, sf: str) -> DataFrame:
     return counts_by(find(planted(spark, sf), "text", P.Policy()), ("turn",))
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Planted turns with findings; every fifth conversation has no source."""
+    source = F.expr("CASE WHEN conv_id % 5 = 0 THEN NULL ELSE 's' || (conv_id % 5) END")
+    return find(planted(spark, sf), "text", P.Policy()).withColumn("source", source)
+
+
+def rollup_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings and distinct values per source and category, per source, per category and in all."""
+    from ..operators.report import rollup_report
+
+    return rollup_report(_sources(spark, sf), "source")
+
+
+def sketches_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same report merged from sketch tables of two halves of the corpus; the estimate has to be within 5%."""
+    from ..operators.report import merge_sketches, rollup_report, sketch_report
+
+    turns = _sources(spark, sf)
+    halves = [sketch_report(turns.where(F.col("conv_id") % 2 == n), "source") for n in (0, 1)]
+    about = merge_sketches(halves[0].unionByName(halves[1]), "source")
+    exact = rollup_report(turns, "source").withColumnRenamed("n_findings", "n")
+    same = [about[c].eqNullSafe(exact[c]) for c in ("level", "source", "category")]
+    close = F.abs(F.col("about_values") - F.col("n_values")) <= F.greatest(F.lit(1), F.col("n_values") * 0.05)
+    return about.join(exact, same[0] & same[1] & same[2]).select(about["level"], about["source"], about["category"], "n_findings", close.alias("close"))
+
+
 def _lock(spark: SparkSession, sf: str):
     from .scenarios import PASSPHRASE
 
@@ -155,7 +181,7 @@ def unlock_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return V.unlock(spark.read.parquet(path).withColumnRenamed("locked_text", "text"), reloaded).drop("n_replaced")
 
 
-QUERIES = {f.__name__: f for f in (find_planted, entropy_planted, resolve_planted, resolve_one_key, mask_planted, counts_planted,
+QUERIES = {f.__name__: f for f in (find_planted, entropy_planted, resolve_planted, resolve_one_key, mask_planted, counts_planted, rollup_planted, sketches_planted,
                                    lock_conversations, lock_totals, unlock_conversations)}
 
 
@@ -173,7 +199,13 @@ def oracles() -> dict:
     cand = O.spans_sql("src_t", "sid", "text", O.ENTROPY_RE2, False)
     firsts = """firsts AS (SELECT id, value, min(start) AS first FROM kept GROUP BY id, value),
 tokens AS (SELECT id, value, 'PMV_' || lpad(CAST(row_number() OVER (ORDER BY id, first) AS VARCHAR), 8, '0') AS token FROM firsts)"""
+    sources = f"""{kept}, tagged AS (SELECT CASE WHEN id // 1000000 % 5 = 0 THEN NULL ELSE 's' || CAST(id // 1000000 % 5 AS BIGINT) END AS source, * FROM kept),
+rolled AS (SELECT source, category, CAST(count(*) AS BIGINT) AS n_findings, count(DISTINCT category || chr(1) || value) AS n_values,
+  CASE GROUPING(source, category) WHEN 0 THEN 'both' WHEN 1 THEN 'group' WHEN 2 THEN 'category' ELSE 'total' END AS level
+  FROM tagged GROUP BY GROUPING SETS ((source, category), (source), (category), ()))"""
     return {
+        "rollup_planted": f"{sources} SELECT level, source, category, n_findings, n_values FROM rolled",
+        "sketches_planted": f"{sources} SELECT level, source, category, n_findings, true AS close FROM rolled",
         "find_planted": f"WITH {src_t}\n{shapes}",
         "entropy_planted": (f"WITH {src_t} SELECT {keys}, start, value, round({O.entropy_sql('value')}, 6) AS entropy, "
                             f"{O.looks_secret_sql('value')} AS is_secret FROM {cand}"),
