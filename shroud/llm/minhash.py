@@ -10,13 +10,12 @@ signatures give the number of equal minima, and after correction for equal low
 bits by chance the estimated similarity. Only pairs that could reach the
 threshold (``margin`` standard errors below it) are confirmed, on full sets.
 
-A large group never becomes a table of its pairs: in each round a class names
-its nearest unlinked candidates in other components only, confirmed links merge
-components, and the next round names four times as many. The rounds end when no
-class has candidates left, so every link between candidates is either confirmed
-or inside a component. With 40 bands of 6 rows a pair of similarity 0.85 shares
-no band with a probability of 6e-9; sets are compared by 64-bit hashes of
-their shingles.
+A large group never becomes a table of its pairs: candidates leave a block as a
+forest, connected components of those edges are clusters, and the sets of a
+cluster's classes meet in units of bounded size, where candidates are compared
+again and confirmed with numpy; confirmed links leave a unit as a forest, too.
+With 40 bands of 6 rows a pair of similarity 0.85 shares no band with a
+probability of 6e-9; sets are compared by 64-bit hashes of their shingles.
 
 Null and empty texts, and texts without words, have an empty set and are linked
 with nothing. A null id takes part; ``component_id`` is the smallest non-null id
@@ -30,7 +29,6 @@ import re
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +36,12 @@ from shroud.functions.hashing import PAIR, text_hash
 
 from .common import discard, materialize, need
 from .components import connected_components
+from .simhash import _merge as merge
 
 CHUNK_BYTES = 1 << 22
 BLOCK = 2048
-STEP = 4  # growth of the number of candidates a class names, from round to round
+SMALL = 64  # runs of up to so many classes are compared together
+SLOT_SHINGLES = 1 << 16  # hashes of the sets on one side of a unit
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -74,7 +74,7 @@ def shingle_set(text: bytes | None, k: int = 3) -> np.ndarray:
 class MinHasher:
     """``bands * rows`` hash functions, the band keys and packed low bits of their minima."""
 
-    def __init__(self, bands: int = 40, rows: int = 6, bits: int = 2, seed: int = 13):
+    def __init__(self, bands: int = 40, rows: int = 6, bits: int = 4, seed: int = 13):
         if bits not in (1, 2, 4, 8):
             raise ValueError("bits must be 1, 2, 4 or 8")
         rng = np.random.default_rng(seed)
@@ -103,11 +103,10 @@ class MinHasher:
         return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
 
     def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many kept minima differ, for each row of ``a`` against each of ``b``."""
-        out = np.zeros((len(a), len(b)), np.uint16)
-        lanes = np.uint64(sum(1 << i for i in range(0, 64, self.bits)))
-        for w in range(a.shape[1]):
-            x, half = a[:, w, None] ^ b[None, :, w], self.bits // 2
+        """How many kept minima differ between packed rows (the last axis) of ``a`` and ``b``."""
+        out, lanes = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.uint16), np.uint64(sum(1 << i for i in range(0, 64, self.bits)))
+        for w in range(a.shape[-1]):
+            x, half = a[..., w] ^ b[..., w], self.bits // 2
             while half:  # any differing bit of a minimum shows in its lowest bit
                 x |= x >> np.uint64(half)
                 half //= 2
@@ -162,43 +161,84 @@ def band_members(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "band").select("band", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "cls")
 
 
-def nearest_candidates(a: pd.DataFrame, b: pd.DataFrame, hasher: MinHasher, threshold: tuple[int, int], margin: float,
-                       k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(u, v, more)``: for each class its ``k`` nearest candidates of other components; ``more`` where a class has others."""
-    same = b is a
-    sides = [(x["cls"].to_numpy(np.int64), x["root"].to_numpy(np.int64), x["n"].to_numpy(np.int64),
-              np.frombuffer(b"".join(x["sig"]), "<u8").reshape(len(x), -1)) for x in ((a,) if same else (a, b))]
-    (cls_a, root_a, n_a, sig_a), (cls_b, root_b, n_b, sig_b) = sides[0], sides[-1]
-    part, whole = threshold
-    far = np.concatenate([hasher.differing(sig_a[i:i + 256], sig_b) for i in range(0, len(sig_a), 256)])
-    # Sets of too different sizes cannot reach the threshold.
-    open_ = (far <= hasher.most_differing(part / whole, margin)) & (root_a[:, None] != root_b[None, :])
-    open_ &= whole * np.minimum(n_a[:, None], n_b[None, :]) >= part * np.maximum(n_a[:, None], n_b[None, :])
-    out = []
-    for left, right, rank, seen in ((cls_a, cls_b, far, open_), (cls_b, cls_a, far.T, open_.T))[:1 if same else 2]:
-        counts = seen.sum(axis=1)
-        for i in np.flatnonzero(counts):
-            near = np.flatnonzero(seen[i])
-            if len(near) > k:
-                near = near[np.argsort(rank[i, near], kind="stable")[:k]]
-            out.append((np.full(len(near), left[i]), right[near], np.full(len(near), counts[i] > k)))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    u, v, more = (np.concatenate(x) for x in zip(*out))
-    return np.minimum(u, v), np.maximum(u, v), more
-
-
-def candidates(members: DataFrame, classes: DataFrame, roots: DataFrame | None, hasher: MinHasher, threshold: tuple[int, int],
-               margin: float, k: int) -> DataFrame:
-    """Distinct ``(u, v, more)`` that the classes of each band name in one round."""
+class Block:
+    """Classes of one or many runs (bands, clusters), one after another; ``part`` tells the sides of a unit apart."""
+
+    def __init__(self, cls, n, sig, part=None):
+        self.cls, self.n, self.sig, self.part = cls, n, sig, part
+
+    @classmethod
+    def of(cls, rows) -> "Block":
+        """From an Arrow struct array of ``(cls, n, sig)``."""
+        sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), "<u8").reshape(len(rows), -1)
+        return cls(rows.field("cls").to_numpy(), rows.field("n").to_numpy(), sig)
+
+    def slice(self, start: int, end: int) -> "Block":
+        return Block(self.cls[start:end], self.n[start:end], self.sig[start:end], None if self.part is None else self.part[start:end])
+
+
+class Candidates:
+    """Which pairs of classes could be linked, by the bit counts of their signatures."""
+
+    def __init__(self, hasher: MinHasher, threshold: tuple[int, int], margin: float):
+        self.hasher, (self.over, self.under) = hasher, threshold
+        self.limit = hasher.most_differing(self.over / self.under, margin)
+
+    def near(self, a: Block, i, b: Block, j) -> np.ndarray:
+        """Whether pairs (by place) may reach the threshold."""
+        n, m = a.n[i], b.n[j]
+        # Sets of too different sizes cannot.
+        near = self.hasher.differing(a.sig[i], b.sig[j]) <= self.limit
+        near &= self.under * np.minimum(n, m) >= self.over * np.maximum(n, m)
+        return near if a.part is None else near & (a.part[i] != b.part[j])
+
+    def in_runs(self, block: Block, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the near pairs inside the block's runs; short runs of one length all at once."""
+        starts = np.cumsum(lengths) - lengths
+        for length in np.unique(lengths[(lengths > 1) & (lengths <= SMALL)]).tolist():
+            i, j = np.triu_indices(length, 1)
+            of, step = starts[lengths == length], max(1, 200_000 // len(i))
+            for at in range(0, len(of), step):
+                left, right = ((of[at:at + step, None] + x).ravel() for x in (i, j))
+                near = self.near(block, left, block, right)
+                yield left[near], right[near]
+        for start, length in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist()):
+            run = block.slice(start, start + length)
+            for i, j in self.between(run, run):
+                upper = i < j
+                yield i[upper] + start, j[upper] + start
+
+    def between(self, a: Block, b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the near pairs of two blocks."""
+        for at in range(0, len(a.cls), 256):
+            rows = np.arange(at, min(at + 256, len(a.cls)))[:, None]
+            i, j = np.nonzero(self.near(a, rows, b, np.arange(len(b.cls))[None, :]))
+            yield i + at, j
+
+
+class Forest:
+    """Classes joined so far; its edges lead to the smallest class of each tree, one for each class at most."""
+
+    def __init__(self, cls: np.ndarray):
+        self.cls = np.unique(cls)
+        self.label = np.arange(len(self.cls))
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        if len(u):
+            merge(self.label, np.searchsorted(self.cls, u), np.searchsorted(self.cls, v))
+
+    def joined(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return self.label[np.searchsorted(self.cls, u)] == self.label[np.searchsorted(self.cls, v)]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.cls)))
+        return self.cls[moved], self.cls[self.label[moved]]
+
+
+def candidate_forest(members: DataFrame, classes: DataFrame, hasher: MinHasher, threshold: tuple[int, int], margin: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect all classes which candidates connect; at most one for each class of a block."""
     rows = members.join(classes.select("cls", "n", "sig"), "cls")
-    if roots is None:
-        rows = rows.withColumn("root", F.col("cls"))
-    else:
-        rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        apart = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        rows = rows.join(apart, "band", "left_semi")
-    blocks = rows.groupBy("band", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("cls", "root", "n", "sig"))).alias("x"))
+    blocks = rows.groupBy("band", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "sig"))).alias("x"))
     pairs = blocks.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)")))
     right = blocks.where("blocks > 1").select("band", F.col("block").alias("other"), F.col("x").alias("y"))
     pairs = pairs.join(right, ["band", "other"]).select("x", F.when(F.col("block") < F.col("other"), F.col("y")).alias("y"))
@@ -207,16 +247,25 @@ def candidates(members: DataFrame, classes: DataFrame, roots: DataFrame | None,
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        search = Candidates(hasher, threshold, margin)
         for batch in batches:
-            for n in range(batch.num_rows):
-                x, y = (pd.DataFrame(batch.column(c)[n].as_py() or []) for c in ("x", "y"))
-                found = nearest_candidates(x, y if len(y) else x, hasher, threshold, margin, k)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["u", "v", "more"])
-
-    named = units.mapInArrow(meet, "u long, v long, more boolean")
-    return named.groupBy("u", "v").agg(F.max("more").alias("more"))
+            x, y = batch.column("x"), batch.column("y")
+            alone = pc.is_null(y)
+            runs = x.filter(alone)
+            block = Block.of(runs.flatten())
+            forest = Forest(np.concatenate([block.cls, *(c.flatten().field("cls").to_numpy() for c in (x, y))]))
+            for i, j in search.in_runs(block, pc.list_value_length(runs).to_numpy()):
+                forest.join(block.cls[i], block.cls[j])
+            for n in np.flatnonzero(~alone.to_numpy(zero_copy_only=False)).tolist():
+                left, right = (Block.of(c.slice(n, 1).flatten()) for c in (x, y))
+                for i, j in search.between(left, right):
+                    forest.join(left.cls[i], right.cls[j])
+            u, v = forest.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return units.mapInArrow(meet, "u long, v long").distinct()
 
 
 def class_sets(docs: DataFrame, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
@@ -228,27 +277,87 @@ def class_sets(docs: DataFrame, text_col: str, wanted: DataFrame, k: int) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            for cls, text in zip(batch.column("cls"), batch.column("t")):
-                found = shingle_set(text.as_py(), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([cls.as_py()], pa.int64()), pa.array([len(found)], pa.int64()),
-                                                  pa.array([found], pa.list_(pa.int64()))], ["cls", "n", "s"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.sort(shingle_set(t.as_py(), k).view(np.int64)) for t in part.column("t")]
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([len(x) for x in found], pa.int64()),
+                                                  pa.array(found, pa.list_(pa.int64()))], ["cls", "n", "s"])
 
     return rows.mapInArrow(gather, "cls long, n long, s array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets reach the threshold."""
-    part, whole = threshold
-    left = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
-    right = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"))
-    return both.where(F.col("i") * whole >= (F.col("nu") + F.col("nv") - F.col("i")) * part).select("u", "v")
+def units_of(sets: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(place, p, q, part, cls, root, n, sig, hashes)``: the classes of each unit in which sets are compared.
+
+    Classes of one cluster lie in one slot or, if their sets have more than
+    ``SLOT_SHINGLES`` hashes together, in several, any two of which meet in a
+    unit; slots hold many small clusters. So no task gathers a large cluster,
+    and a set travels to as many units as its cluster has slots.
+    """
+    rows = sets.join(clusters.select(F.col("node").alias("cls"), "root"), "cls")
+    sizes = materialize(rows.groupBy("root").agg(F.sum("n").alias("size")), "minhash-clusters")
+    slots = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // SLOT_SHINGLES))
+    rows = rows.join(sizes.select("root", F.ceil(F.col("size") / SLOT_SHINGLES).cast("long").alias("parts")), "root")
+    rows = rows.join(classes.select("cls", "sig"), "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    return rows.select(F.pmod(F.xxhash64("root"), F.lit(slots)).alias("place"), F.least("part", "other").alias("p"),
+                       F.greatest("part", "other").alias("q"), "part", "cls", "root", "n", "sig", F.col("s").alias("hashes"))
+
+
+def common_sizes(values: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes the sets ``i`` and ``j`` (by place; ``values[ends[k]:ends[k + 1]]``) share, for sorted ``i``."""
+    kept, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # hashes that only one set holds are in no intersection
+    shared = count[inverse] > 1
+    width = -(-max(1, int((count > 1).sum())) // 64)
+    bits = np.zeros((len(ends) - 1, width), np.uint64)
+    row, bit = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[shared], number[inverse[shared]]
+    np.bitwise_or.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    out = np.empty(len(i), np.int64)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+        out[at:to] = np.bitwise_count(bits[i[at]] & bits[j[at:to]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def confirmed(units: DataFrame, hasher: MinHasher, threshold: tuple[int, int], margin: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect all classes which links connect: candidates whose full sets reach the threshold."""
+    over, under = threshold
+
+    def confirm(rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by([("root", "ascending"), ("cls", "ascending")]).combine_chunks()
+        cls, root, n = (rows[c].to_numpy() for c in ("cls", "root", "n"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u8").reshape(len(cls), -1)
+        block = Block(cls, n, sig, rows["part"].to_numpy() if rows["p"][0] != rows["q"][0] else None)
+        lists = rows["hashes"].chunk(0)
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        borders = np.append(np.flatnonzero(np.diff(root, prepend=root[0] - 1)), len(root))
+        forest, search = Forest(cls), Candidates(hasher, threshold, margin)
+        for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            run = block.slice(start, end)
+            for i, j in search.in_runs(run, np.array([end - start])):
+                open_ = ~forest.joined(run.cls[i], run.cls[j])
+                i, j = i[open_], j[open_]
+                if len(i):
+                    order = np.lexsort((j, i))
+                    i, j = i[order], j[order]
+                    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    own = [values[ends[start + k]:ends[start + k + 1]] for k in used.tolist()]
+                    common = common_sizes(np.concatenate(own), np.cumsum([0, *map(len, own)]), place[:len(i)], place[len(i):])
+                    linked = under * common >= over * (run.n[i] + run.n[j] - common)
+                    forest.join(run.cls[i[linked]], run.cls[j[linked]])
+        u, v = forest.edges()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return units.groupBy("place", "p", "q").applyInArrow(confirm, "u long, v long")
 
 
 # ------------------------------------------------------------------ components
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100),
-                    hasher: MinHasher | None = None, margin: float = 6.0) -> DataFrame:
+                    hasher: MinHasher | None = None, margin: float = 5.5) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row; documents are linked from a similarity of ``threshold`` (a fraction) on."""
     need(docs, (id_col, text_col))
     hasher = hasher or MinHasher()
@@ -258,27 +367,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "minhash-classes")
     members = materialize(band_members(classes), "minhash-bands")
-    tried = links = roots = sets = None
-    near = 1
-    while True:
-        named = materialize(candidates(members, classes, roots, hasher, threshold, margin, near), "minhash-named")
-        if sets is None:  # a class that names no candidate now never will
-            ends = named.select(F.col("u").alias("cls")).unionByName(named.select(F.col("v").alias("cls"))).distinct()
-            sets = materialize(class_sets(docs, text_col, classes.select("cls", "rep").join(ends, "cls"), k), "minhash-sets")
-        fresh = named.select("u", "v") if tried is None else named.select("u", "v").join(tried, ["u", "v"], "left_anti")
-        found = materialize(confirmed(fresh, sets, threshold), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        if named.where("more").isEmpty():
-            break
-        tried = named.select("u", "v") if tried is None else tried.unionByName(fresh)
-        near *= STEP
+    clusters = materialize(connected_components(candidate_forest(members, classes, hasher, threshold, margin)), "minhash-clustered")
+    wanted = classes.select("cls", "rep").join(clusters.select(F.col("node").alias("cls")), "cls")
+    sets = materialize(class_sets(docs, text_col, wanted, k), "minhash-sets")
+    roots = connected_components(confirmed(units_of(sets, classes, clusters), hasher, threshold, margin))
     member = classes.select("key", "cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     member = member.select("key", "low", F.coalesce("root", "cls").alias("root"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named_classes = materialize(member.join(lowest, "root").select("key", "component_id"), "minhash-members")
+    lowest = materialize(member.join(lowest, "root").select("key", "component_id"), "minhash-members")
     discard(members)
-    out = prints.select("id", "n", "key").join(named_classes, "key", "left")
+    out = prints.select("id", "n", "key").join(lowest, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 from shroud.llm import minhash, queries
 
@@ -73,7 +72,7 @@ def test_estimates_are_corrected_for_chance(bits):
             both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (int(400 * true), *(2 * [int(400 * (1 - true) / 2)])))
             low = np.stack([hasher.minima(np.concatenate([both, x])) for x in (a, b)])
             sig = hasher.packed(low)
-            far = hasher.differing(sig[:1], sig[1:])[0, 0]
+            far = hasher.differing(sig[0], sig[1])
             mixed = low * np.uint32(0x9E3779B1)
             mixed ^= mixed >> np.uint32(15)
             assert far == np.count_nonzero((mixed[0] ^ mixed[1]) & np.uint32(2 ** bits - 1))
@@ -93,19 +92,46 @@ def test_band_keys_find_similar_sets():
     assert len(np.unique(keys[0])) == hasher.bands
 
 
-def test_nearest_candidates_of_other_components():
-    rng, hasher = np.random.default_rng(5), minhash.MinHasher()
+def similar_block(seed=5):
+    rng, hasher = np.random.default_rng(seed), minhash.MinHasher()
     base = rng.integers(0, 1 << 63, 200, np.uint64)
-    sets = [np.concatenate([base[i:], rng.integers(0, 1 << 63, i, np.uint64)]) for i in range(12)]
-    frame = pd.DataFrame({"cls": range(12), "root": [0] * 4 + list(range(4, 12)), "n": 200,
-                          "sig": [hasher.packed(hasher.minima(s)[None])[0].tobytes() for s in sets]})
-    u, v, more = minhash.nearest_candidates(frame, frame, hasher, (85, 100), 6.0, 100)
-    assert not more.any()
-    assert set(zip(u.tolist(), v.tolist())) == {(i, j) for i in range(12) for j in range(i + 1, 12) if j > 3}
-    u, v, more = minhash.nearest_candidates(frame, frame, hasher, (85, 100), 6.0, 1)
-    assert len(u) == 12 and more.any()
-    halves = minhash.nearest_candidates(frame[:6], frame[6:], hasher, (85, 100), 6.0, 100)
-    assert set(zip(*(x.tolist() for x in halves[:2]))) == {(i, j) for i in range(6) for j in range(6, 12)}
+    sets = [np.unique(np.concatenate([base[4 * i:], rng.integers(0, 1 << 63, 4 * i, np.uint64)])) for i in range(12)]
+    return hasher, sets, minhash.Block(np.arange(12) * 10, np.full(12, 200), hasher.packed(np.stack([hasher.minima(s) for s in sets])))
+
+
+def all_of(pairs):
+    return {(a, b) for i, j in pairs for a, b in zip(i.tolist(), j.tolist())}
+
+
+def test_candidates_of_runs_and_blocks(monkeypatch):
+    hasher, sets, block = similar_block()
+    search = minhash.Candidates(hasher, (85, 100), 5.5)
+    est = lambda i, j: hasher.similarity(hasher.differing(block.sig[i], block.sig[j]))
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if hasher.differing(block.sig[i], block.sig[j]) <= search.limit}
+    assert {(0, 1), (1, 2), (0, 3)} <= want and (0, 11) not in want
+    assert all(est(i, j) > 0.7 for i, j in want)
+    runs = np.array([1, 3, 0, 3, 5])
+    ends = np.cumsum(runs)
+    inside = {(i, j) for i, j in want if np.searchsorted(ends, i, "right") == np.searchsorted(ends, j, "right")}
+    for small in (64, 2):  # all at once, and one by one
+        monkeypatch.setattr(minhash, "SMALL", small)
+        assert all_of(search.in_runs(block, np.array([12]))) == want
+        assert all_of(search.in_runs(block, runs)) == inside
+    halves = all_of(search.between(block.slice(0, 6), block.slice(6, 12)))
+    assert {(i, j + 6) for i, j in halves} == {(i, j) for i, j in want if i < 6 <= j}
+    block.part = np.arange(12) % 2
+    assert all_of(search.in_runs(block, np.array([12]))) == {(i, j) for i, j in want if (j - i) % 2}
+
+
+def test_forest_and_common_sizes():
+    forest = minhash.Forest(np.array([50, 10, 30, 20, 10]))
+    forest.join(np.array([50, 30]), np.array([20, 50]))
+    assert forest.joined(np.array([20, 10]), np.array([30, 20])).tolist() == [True, False]
+    assert sorted(zip(*(x.tolist() for x in forest.edges()))) == [(30, 20), (50, 20)]
+    _, sets, _ = similar_block(3)
+    i, j = np.triu_indices(12, 1)
+    got = minhash.common_sizes(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), i, j)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
 
 
 def test_components_match_brute_force(spark, monkeypatch):
@@ -123,6 +149,8 @@ def test_components_match_brute_force(spark, monkeypatch):
 def test_large_group_over_many_blocks(spark, monkeypatch):
     """A bucket of several blocks: the blocks' size reaches the plan, so it can be made small here."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SMALL", 5)
+    monkeypatch.setattr(minhash, "SLOT_SHINGLES", 2000)  # a cluster over several slots
     rows = list(enumerate(near_groups(random.Random(9), 2, 90, words=80, changes=4)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(map(tuple, minhash.near_duplicates(docs, k=3, threshold=(85, 100)).collect()), key=key)
