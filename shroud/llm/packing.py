@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain, filterfalse
 from typing import Iterator
 
 import numpy as np
@@ -116,12 +117,11 @@ class WordEncoder:
         # Special tokens are matched in the whole text, before any splitting.
         whole = {n: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
                  for n, t in enumerate(texts) if "<|" in t}
-        words = set().union(*split)
-        if new := words - self.known.keys():
+        if new := set(filterfalse(self.known.__contains__, chain.from_iterable(split))):
             learnt = self._learn(new)
             if len(self.known) > CACHE_WORDS:
                 self.older, self.known = self.known, {"": b""}
-                learnt.update((w, self.older[w]) for w in words - new)
+                learnt.update((w, self.older[w]) for w in set(chain.from_iterable(split)) - new)
             self.known.update(learnt)
         get = self.known.__getitem__
         out = [whole[n] if n in whole else b"".join(map(get, w)) for n, w in enumerate(split)]
