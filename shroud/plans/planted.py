@@ -181,8 +181,21 @@ def unlock_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return V.unlock(spark.read.parquet(path).withColumnRenamed("locked_text", "text"), reloaded).drop("n_replaced")
 
 
+def unlock_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Two locks on one vault, its entries then laid out by token ranges, and all turns unlocked from there."""
+    from .scenarios import PASSPHRASE
+
+    vault, turns, path = V.new_scratch_vault(spark, PASSPHRASE), planted(spark, sf), scratch_path(spark, "locked")
+    for half in (0, 1):
+        res = V.lock(turns.where(F.col("conv_id") % 2 == half), vault, KEYS)
+        res.locked.write.mode("append").parquet(path)
+        res.release()
+    vault.compact(ids_per_bucket=100)
+    return V.unlock(spark.read.parquet(path).withColumnRenamed("locked_text", "text"), vault).drop("n_replaced")
+
+
 QUERIES = {f.__name__: f for f in (find_planted, entropy_planted, resolve_planted, resolve_one_key, mask_planted, counts_planted, rollup_planted, sketches_planted,
-                                   lock_conversations, lock_totals, unlock_conversations)}
+                                   lock_conversations, lock_totals, unlock_conversations, unlock_compacted)}
 
 
 def oracles() -> dict:
@@ -203,7 +216,12 @@ tokens AS (SELECT id, value, 'PMV_' || lpad(CAST(row_number() OVER (ORDER BY id,
 rolled AS (SELECT source, category, CAST(count(*) AS BIGINT) AS n_findings, count(DISTINCT category || chr(1) || value) AS n_values,
   CASE GROUPING(source, category) WHEN 0 THEN 'both' WHEN 1 THEN 'group' WHEN 2 THEN 'category' ELSE 'total' END AS level
   FROM tagged GROUP BY GROUPING SETS ((source, category), (source), (category), ()))"""
+    unlocked = f"""{kept},
+per AS (SELECT id, count(*) AS n FROM kept GROUP BY id)
+SELECT s.conv_id, s.turn, s.text AS unlocked_text, CAST(coalesce(p.n, 0) AS BIGINT) AS n_restored
+FROM src_t s LEFT JOIN per p ON p.id = s.sid"""
     return {
+        "unlock_compacted": unlocked,
         "rollup_planted": f"{sources} SELECT level, source, category, n_findings, n_values FROM rolled",
         "sketches_planted": f"{sources} SELECT level, source, category, n_findings, true AS close FROM rolled",
         "find_planted": f"WITH {src_t}\n{shapes}",
@@ -227,8 +245,5 @@ SELECT s.conv_id, s.turn, CASE WHEN a.id IS NULL THEN s.text ELSE a.body || subs
 {firsts}
 SELECT CAST(count(*) AS BIGINT) AS n_tokens, (SELECT CAST(count(*) AS BIGINT) FROM kept) AS n_replaced,
   CAST(count(*) AS BIGINT) AS n_entries, arg_max(token, CAST(substr(token, 5) AS BIGINT)) AS max_token FROM tokens""",
-        "unlock_conversations": f"""{kept},
-per AS (SELECT id, count(*) AS n FROM kept GROUP BY id)
-SELECT s.conv_id, s.turn, s.text AS unlocked_text, CAST(coalesce(p.n, 0) AS BIGINT) AS n_restored
-FROM src_t s LEFT JOIN per p ON p.id = s.sid""",
+        "unlock_conversations": unlocked,
     }
