@@ -8,11 +8,16 @@ trees over format and context features score every proposal; a cut per kind,
 calibrated on held-out rows, accepts it. Accepted proposals that touch no base
 span and no earlier accepted one are added.
 
-Everything on the data path is one narrow Catalyst plan. The trees are fitted
-on a bounded hash sample of documents (``sample_docs``), merged to weighted
-feature rows. Proposals that pass their kind's format check count as examples,
-the rest and altered copies (a changed last digit, a lifted octet, a lost plus
-or point) as counter-examples.
+Everything on the data path is one narrow Catalyst plan. The trees are fitted on
+the proposals of all documents, which Spark merges to weighted feature rows (the
+features are few and coarse; ``sample_rows`` bounds the different rows that the
+classifier is fitted on). A proposal is an example if its normalised value
+passes its kind's check: brackets undone, and for phones a plus, a leading
+``00``, an area code in the usual 3-3-4 form, or a word such as ``tel`` before
+it. Each proposal is also written in other ways (``10[.]0[.]0[.]1``, ``(at)``,
+points between the groups of a card, ``00``, area codes, a home number) and
+altered (a changed last digit, a lifted octet, a lost point, bare digits), and
+every form is labelled by the same check.
 
 Null text counts as empty: no spans. Repeated rows and null ids are kept.
 Finding costs time in proportion to the text; adding and merging cost
@@ -64,7 +69,11 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT = 24
 _HINTS = r"(?i)\b(?:e-?mail|mail|contact|write|tel|phone|call|fax|mobile|card|visa|credit|pay|ip|host|server|addr(?:ess)?|from|to)\b"
 _AGAINST = r"(?i)(?:\b(?:version|v|id|token|hash|commit|sha|order|isbn|build|serial|key)\b|[=#/_])"
-FEATURES = ("digits", "marks", "plus", "luhn", "octets", "at", "tail", "left", "right", "hint", "distinct", "size", "brackets")
+_BRACKETS = r"(?i) ?[(\[{{] ?(?:{}) ?[)\]}}] ?"
+#: A phone's area code form, and words that call what follows a phone.
+_AREA = r"^(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}$"
+_CALLED = r"(?i)\b(?:tel|phone|call|fax|mobile|cell)\b[^0-9A-Za-z]{0,4}(?:(?:no|number|at|me|us|us at|me at)\b[^0-9A-Za-z]{0,3})?$"
+FEATURES = ("digits", "marks", "form", "luhn", "octets", "at", "tail", "left", "right", "hint", "distinct", "size", "called", "brackets")
 
 
 def _digits(v: str) -> str:
@@ -95,42 +104,67 @@ def _class(c: str) -> str:
             f"WHEN {c} = '.' THEN 3 ELSE 4 END")
 
 
+def _form(v: str) -> str:
+    """SQL: 3 a plus, 2 two noughts, each with as many digits as such a phone has; 1 an area code form; else 0."""
+    n = f"length({_digits(v)})"
+    return (f"CASE WHEN startswith({v}, '+') AND {n} BETWEEN 9 AND 15 THEN 3 WHEN startswith({v}, '00') AND {n} BETWEEN 11 AND 17 THEN 2 "
+            f"WHEN {v} RLIKE {q(_AREA)} THEN 1 ELSE 0 END")
+
+
 def _features(v: str, before: str, after: str) -> dict[str, str]:
     d = _digits(v)
     return {
         "digits": f"least(length({d}), 20)",
         "marks": f"least(length(regexp_replace({v}, '[^ .()-]', '')), 8)",
-        "plus": f"IF(startswith({v}, '+'), 1, 0)",
+        "form": _form(v),
         "luhn": f"IF({let({'d': d}, _luhn('w.d'), 'w')}, 1, 0)",
-        "octets": f"IF({_valid('ip', v)}, 1, 0)",
-        "at": f"IF(contains({v}, '@'), 1, 0)",
-        "tail": f"least(length(regexp_extract({v}, '[.)\\\\]}} ]([A-Za-z]+)$', 1)), 8)",
+        "octets": f"IF({_valid('ip', _plain('ip', v))}, 1, 0)",
+        "at": f"IF(contains({_plain('email', v)}, '@'), 1, 0)",
+        "tail": f"least(length(regexp_extract({_plain('email', v)}, '[.]([A-Za-z]+)$', 1)), 8)",
         "left": _class(f"right({before}, 1)"),
         "right": _class(f"left({after}, 1)"),
         "hint": f"1 + IF({before} RLIKE {q(_HINTS)}, 1, 0) - IF({before} RLIKE {q(_AGAINST)}, 1, 0)",
         "distinct": f"size(array_distinct(split({d}, '')))",
         "size": f"least(length({v}) div 4, 16)",
+        "called": f"IF({before} RLIKE {q(_CALLED)}, 1, 0)",
         "brackets": f"IF({v} RLIKE '[\\\\[{{]|[(] ?[a-zA-Z@.]', 1, 0)",
     }
 
 
-def _example(kind: str, v: str) -> str:
-    """SQL: whether a proposal's format is that of real data."""
+def _plain(kind: str, v: str) -> str:
+    """SQL: the value with brackets undone."""
     if kind == "email":
-        return f"{v} RLIKE {q('^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}$')}"
+        at = f"regexp_replace({v}, {q(_BRACKETS.format('at|@'))}, '@')"
+        return f"regexp_replace({at}, {q(_BRACKETS.format('dot|[.]'))}, '.')"
+    return f"replace(replace({v}, '[', ''), ']', '')" if kind == "ip" else v
+
+
+def _example(kind: str, v: str, before: str) -> str:
+    """SQL: whether a proposal is real data, by its normalised value (and for phones what stands before it)."""
+    if kind == "email":
+        return f"{_plain(kind, v)} RLIKE {q('^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}$')}"
     if kind == "phone":
-        return f"startswith({v}, '+') AND {_valid('phone', v)}"
-    return _valid(kind, f"replace(replace({v}, '[', ''), ']', '')" if kind == "ip" else v)
+        return f"({_form(v)} > 0 OR {before} RLIKE {q(_CALLED)} AND length({_digits(v)}) BETWEEN 7 AND 15)"
+    return _valid(kind, _plain(kind, v))
 
 
-def _altered(kind: str, v: str) -> str:
+def _variants(kind: str, v: str, before: str) -> list[tuple[str, str]]:
+    """SQL of ``(value, what stands before)``: the proposal, the same value in other ways of writing, and altered copies."""
     if kind == "email":
-        return f"replace({v}, '.', '')"
-    if kind == "ip":
-        return f"concat('7', lpad({v}, length({v}) + 1, '8'))"
-    if kind == "card":
-        return f"concat(left({v}, length({v}) - 1), CAST((CAST(right({v}, 1) AS INT) + 1) % 10 AS STRING))"
-    return f"substr({v}, 2)"
+        others = [f"replace({v}, '@', ' (at) ')", f"replace(replace({v}, '@', ' [at] '), '.', ' [dot] ')", f"replace({_plain(kind, v)}, '.', '')"]
+    elif kind == "ip":
+        others = [f"replace({_plain(kind, v)}, '.', '[.]')", f"concat('7', lpad({v}, length({v}) + 1, '8'))"]
+    elif kind == "card":
+        changed = f"concat(left({v}, length({v}) - 1), CAST((CAST(right({v}, 1) AS INT) + 1) % 10 AS STRING))"
+        others = [f"translate({v}, ' -', '..')", changed]
+    else:
+        d = f"lpad({_digits(v)}, 10, '5')"
+        home = f"concat('0', substr({d}, -9, 2), ' ', substr({d}, -7, 4), ' ', substr({d}, -3))"
+        area = f"substr({d}, -10, 3), {{}}, substr({d}, -7, 3), '-', substr({d}, -4)"
+        others = [f"IF(startswith({v}, '+'), concat('00', substr({v}, 2)), {v})", f"concat('(', {area.format(q(') '))})", f"concat({area.format(q('-'))})",
+                  home, _digits(v), f"concat(substr({d}, -10, 4), ' ', substr({d}, -6, 3), ' ', substr({d}, -3))"]
+        return [(v, before)] + [(x, before) for x in others] + [(home, "'tel: '")]
+    return [(x, before) for x in (v, *others)]
 
 
 def _proposals_sql(kind: str, spans: str, parts: str, text_n: str = "") -> str:
@@ -161,20 +195,16 @@ class PiiModel:
     kinds: dict
 
 
-def train(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", sample_docs: int = 4000,
-          sample_rows: int = 50_000, precision: float = 0.98, seed: int = 5) -> PiiModel:
-    """Fit on the proposals of about ``sample_docs`` whole documents, at most ``sample_rows`` different feature rows."""
-    need(docs, (text_col, key_col))
-    n = docs.count()
-    share = min(1_000_000, -(-sample_docs * 1_000_000 // max(n, 1)))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(1_000_000)) < share)
-    found = with_proposals(sample.select(F.col(text_col).alias("t")), "t")
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 50_000, precision: float = 0.98) -> PiiModel:
+    """Fit on the proposals of all documents, merged to weighted rows, of which at most ``sample_rows`` different ones (by hash) are used."""
+    need(docs, (text_col,))
+    found = with_proposals(docs.select(F.col(text_col).alias("t")), "t")
     rows = None
     for k, kind in enumerate(KINDS):
         one = found.select(F.explode(f"__prop_{kind}").alias("p"))
-        one = one.select(F.col("p.before").alias("before"), F.col("p.after").alias("after"), F.explode(F.expr(
-            f"array(named_struct('v', p.value, 'y', IF({_example(kind, 'p.value')}, 1, 0)), "
-            f"named_struct('v', {_altered(kind, 'p.value')}, 'y', 0))")).alias("e"))
+        written = ", ".join(f"named_struct('v', {v}, 'before', {before})" for v, before in _variants(kind, "p.value", "p.before"))
+        one = one.select(F.col("p.after").alias("after"), F.explode(F.expr(f"array({written})")).alias("e"))
+        one = one.select("after", F.col("e.before").alias("before"), F.struct("e.v", F.expr(f"IF({_example(kind, 'e.v', 'e.before')}, 1, 0)").alias("y")).alias("e"))
         one = one.select(F.lit(k).alias("kind"), F.col("e.y").alias("y"),
                          *[F.expr(e).cast("int").alias(f) for f, e in _features("e.v", "before", "after").items()])
         rows = one if rows is None else rows.unionByName(one)
