@@ -7,8 +7,10 @@ the script of the word first narrows the candidates to languages seen in that
 script. A Viterbi pass over the words with a fixed penalty for each change of
 language labels spans; the document gets the language with most letters.
 
-Texts are decoded whole, in windows of ``WINDOW_WORDS`` words (a change at a
-window's border costs nothing), so memory is bounded for any text length.
+Every text is decoded as one sequence, whatever its length. Short ones go step
+by step together; a long one goes word by word in pieces of ``BATCH_WORDS``
+words with the state carried from piece to piece, and keeps a few bytes for
+each word until its best path is read back. Both give the same path.
 
 Null text and text without letters give ``und`` with score 0 and no spans; so
 does every text if nothing was learned. Rows with null text or null language
@@ -34,7 +36,7 @@ from .common import need
 UND = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-WINDOW_WORDS = 2048
+TOGETHER_WORDS = 2048
 BATCH_WORDS = 100_000
 #: Nats that a change of language costs, and that a word out of script costs a language.
 SWITCH, OUT_OF_SCRIPT = 8.0, 60.0
@@ -134,16 +136,49 @@ class LanguageModel:
         codes, unique = pd.factorize(np.array(flat, dtype=object))
         scores = self.word_scores(list(unique))[codes]
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        starts, stops = [], []
-        for a, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
-            starts += range(a, a + n, WINDOW_WORDS)
-            stops += [min(x + WINDOW_WORDS, a + n) for x in range(a, a + n, WINDOW_WORDS)]
-        path = viterbi(scores, np.array(starts), np.array(stops), SWITCH)
-        return np.split(path, np.cumsum(sizes)[:-1])
+        stops = np.cumsum(sizes)
+        some = sizes > 0
+        path = viterbi(scores, (stops - sizes)[some], stops[some], SWITCH)
+        return np.split(path, stops[:-1])
+
+    def long_letters(self, pieces: Iterator[list[str]]) -> np.ndarray:
+        """Letters by language of one text that comes in pieces."""
+        state, held = [0.0] * len(self.langs), []
+        for words in pieces:
+            codes, unique = pd.factorize(np.array(words, dtype=object))
+            stay, jump, state = forward(self.word_scores(list(unique))[codes], state, SWITCH)
+            held.append((stay, jump, np.fromiter(map(len, words), np.int64, len(words))))
+        now, letters = state.index(max(state)) if held else 0, np.zeros(len(self.langs))
+        for stay, jump, sizes in reversed(held):
+            path, now = backward(stay, jump, now)
+            letters += np.bincount(path, sizes, len(self.langs))
+        return letters
+
+
+def forward(scores: np.ndarray, state: list[float], penalty: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """One text's next words: which labels go on at each word, the label that a switch comes from, and the state behind."""
+    stay, jump = [], []
+    for row in scores.tolist():
+        top = max(state)
+        switch = top - penalty
+        jump.append(state.index(top))
+        stay.append([b >= switch for b in state])
+        state = [(b if b >= switch else switch) + s for b, s in zip(state, row)]
+    return np.array(stay, bool), np.array(jump, np.uint8), state
+
+
+def backward(stay: np.ndarray, jump: np.ndarray, now: int) -> tuple[np.ndarray, int]:
+    """The best path through a piece that ends with label ``now``, and the label before the piece."""
+    path = []
+    for kept, before in zip(reversed(stay.tolist()), reversed(jump.tolist())):
+        path.append(now)
+        if not kept[now]:
+            now = before
+    return np.array(path[::-1], np.int64), now
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, stops: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label sequence of every window ``scores[start:stop]``, all windows step by step together."""
+    """Best label sequence of every text ``scores[start:stop]``, all texts step by step together."""
     order = np.argsort(starts - stops, kind="stable")  # longest first: the active ones are a prefix
     first, size = starts[order], (stops - starts)[order]
     longest = int(size[0])
@@ -217,23 +252,38 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_c
 
 # ---------------------------------------------------------------- prediction
 
-def _groups(texts, limit: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Pieces ``(row, words)`` in lists of about ``limit`` words; a long text gives several pieces."""
+def _letter_words(text: str, limit: int) -> Iterator[list[str]]:
+    """The words of a text in lists of up to ``limit``."""
+    found = (m[0] for m in _WORD.finditer(text.lower()))
+    words = (w for w in found if w.isalpha() or any(c.isalpha() for c in w))
+    while part := list(islice(words, limit)):
+        yield part
+
+
+def _letters(model: LanguageModel, texts) -> np.ndarray:
+    """Letters by language of every text."""
+    n = len(model.langs)
+    out = np.zeros((len(texts), max(1, n)))
+
+    def together(held: list[tuple[int, list[str]]]) -> None:
+        for (row, words), path in zip(held, model.decode([w for _, w in held])):
+            out[row] += np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), n)
+
     held, size = [], 0
     for row, text in enumerate(texts):
-        found = _WORD.finditer(text.lower()) if text is not None and len(text) > 4_000_000 else None
-        while True:
-            words = [m[0] for m in islice(found, limit)] if found else _words(text) if text else []
-            words = [w for w in words if w.isalpha() or any(c.isalpha() for c in w)]
-            held.append((row, words))
-            size += len(words)
-            if size >= limit:
-                yield held
+        pieces = _letter_words(text or "", BATCH_WORDS)
+        first = next(pieces, [])
+        if len(first) > TOGETHER_WORDS:
+            out[row] = model.long_letters(chain([first], pieces))
+        elif first:
+            held.append((row, first))
+            size += len(first)
+            if size >= BATCH_WORDS:
+                together(held)
                 held, size = [], 0
-            if not found or not words:
-                break
     if held:
-        yield held
+        together(held)
+    return out
 
 
 def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred",
@@ -244,12 +294,7 @@ def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_o
     @F.pandas_udf("lang string, score double")
     def predict(col: pd.Series) -> pd.DataFrame:
         n = len(model.langs)
-        letters = np.zeros((len(col), max(1, n)))
-        if n:
-            for group in _groups(col, BATCH_WORDS):
-                for (row, words), path in zip(group, model.decode([w for _, w in group])):
-                    if words:
-                        letters[row] += np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), n)
+        letters = _letters(model, col) if n else np.zeros((len(col), 1))
         total, top = letters.sum(axis=1), letters.argmax(axis=1)
         names = np.array(model.langs or (UND,), dtype=object)
         share = letters[np.arange(len(col)), top] / np.maximum(total, 1)

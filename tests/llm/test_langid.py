@@ -81,3 +81,26 @@ def test_labels_are_no_input(spark):
     plain = langid.detect(docs.select("doc_id", "text"), model)
     odd = langid.detect(docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("q")), model).select(*plain.columns)
     assert sorted(plain.drop("text").collect()) == sorted(odd.drop("text").collect())
+
+
+def test_one_path_at_any_length(monkeypatch, spark):
+    """Long texts go word by word in pieces, short ones together: the same letters either way, borders of pieces included."""
+    model, rng = model_of(spark), np.random.default_rng(6)
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").limit(60).collect() for w in r.text.split()]
+    text = " ".join(rng.choice(words, 5000))
+    texts = [text, None, "", text[:400], "123", text * 3]
+    monkeypatch.setattr(langid, "TOGETHER_WORDS", 10 ** 9)
+    monkeypatch.setattr(langid, "BATCH_WORDS", 10 ** 9)
+    whole = langid._letters(model, texts)
+    for together, batch in ((0, 700), (0, 4999), (100, 1000), (2048, 100_000)):
+        monkeypatch.setattr(langid, "TOGETHER_WORDS", together)
+        monkeypatch.setattr(langid, "BATCH_WORDS", batch)
+        assert np.array_equal(langid._letters(model, texts), whole)
+
+
+def test_a_text_of_millions_of_characters(spark):
+    model = model_of(spark)
+    text = "the and of that with this " * 170_000  # 4.4 million characters
+    docs = spark.createDataFrame([(1, text, "a"), (2, text[:500], "b")], "doc_id long, text string, lang_pred string")
+    rows = {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(docs, model).collect()}
+    assert rows == {1: ("en", 1.0), 2: ("en", 1.0)}
