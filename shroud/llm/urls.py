@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.functions.sql import q
+from shroud.functions.sql import let, q
 
 from .common import materialize, need
 
@@ -113,10 +113,13 @@ def best_split(run: str, words: dict[int, list[tuple[int, float]]], total: float
 def segment(runs: DataFrame, words: DataFrame) -> DataFrame:
     """Distinct ``(run)`` and ``(word, n)`` -> ``(run, words)``."""
     total = float(words.agg(F.sum("n").alias("n")).first()["n"] or 1)
-    pieces = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
-    pieces = pieces.select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("run") - F.col("at") + 1))).alias("len"))
-    pieces = pieces.withColumn("word", F.expr("substr(run, at, len)"))
-    known = pieces.join(words, "word").groupBy("run").agg(F.collect_list(F.struct("at", "len", "n")).alias("k"))
+    # Runs have numbers, frozen by writing the table; only these travel with the substrings, which are cut from short windows.
+    runs = materialize(runs.withColumn("nr", F.monotonically_increasing_id()), "url-runs")
+    windows = let({"c": "split(run, '')", "n": "length(run)"}, f"transform(sequence(1, v.n), i -> array_join(slice(v.c, i, {LONGEST_WORD}), ''))", "v")
+    pieces = runs.select("nr", F.posexplode(F.expr(windows)).alias("at", "window"))
+    pieces = pieces.select("nr", (F.col("at") + 1).alias("at"), "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("len"))
+    pieces = pieces.select("nr", "at", "len", F.expr("left(window, len)").alias("word"))
+    known = pieces.join(words, "word").groupBy("nr").agg(F.collect_list(F.struct("at", "len", "n")).alias("k"))
 
     @F.pandas_udf("array<string>")
     def split(run: pd.Series, k: pd.Series) -> pd.Series:
@@ -128,7 +131,7 @@ def segment(runs: DataFrame, words: DataFrame) -> DataFrame:
             out.append(best_split(r, by_end, total))
         return pd.Series(out)
 
-    return runs.join(known, "run", "left").select("run", split("run", "k").alias("words"))
+    return runs.join(known, "nr", "left").select("run", split("run", "k").alias("words"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Rules = RULES, clip: float = 4.0, alpha: float = 0.1) -> DataFrame:
@@ -139,16 +142,17 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     sites = materialize(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-sites")
     hosts = sites.select(F.lit("h").alias("side"), F.col("host").alias("text")).distinct()
     paths = sites.select(F.lit("p").alias("side"), F.col("path").alias("text")).distinct()
-    parts = materialize(hosts.unionByName(paths), "url-parts")
+    # Words carry the number of their host or path, not its text, however long that is.
+    parts = materialize(hosts.unionByName(paths).withColumn("part", F.monotonically_increasing_id()), "url-parts")
 
-    runs = parts.select("side", "text", F.explode(runs_of(F.col("text"))).alias("run"))
+    runs = parts.select("side", "part", F.explode(runs_of(F.col("text"))).alias("run"))
     split = segment(runs.where("run <> '#'").select("run").distinct(), corpus_words(parts))
-    words = runs.join(split, "run", "left").select("side", "text", F.explode(
+    words = runs.join(split, "run", "left").select("side", "part", F.explode(
         F.coalesce("words", F.array("run"))).alias("word"))
     words = materialize(words, "url-words")
 
-    strong = words.where((F.col("side") == "h") & F.col("word").isin(*STRONG)).select("text").distinct()
-    bad = parts.where("side = 'h'").join(strong, "text", "left_semi").select(F.col("text").alias("host"))
+    strong = words.where((F.col("side") == "h") & F.col("word").isin(*STRONG)).select("part").distinct()
+    bad = parts.where("side = 'h'").join(strong, "part", "left_semi").select(F.col("text").alias("host"))
     label = sites.select("host", "path").join(bad.withColumn("bad", F.lit(1)), "host", "left").withColumn(
         "bad", F.coalesce("bad", F.lit(0)))
     host_label = label.select("host", "bad").distinct()
@@ -156,9 +160,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     n_bad, n_all = (prior_row["bad"] or 0), prior_row["n"]
     prior = math.log((n_bad + 1) / (n_all - n_bad + 2))
 
-    host_words = words.where("side = 'h'").join(host_label, F.col("text") == F.col("host")).select("side", "word", "bad")
-    path_words = words.where("side = 'p'").join(label.groupBy("path").agg(
-        F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")), F.col("text") == F.col("path"))
+    host_part = parts.where("side = 'h'").join(host_label, F.col("text") == F.col("host")).select("part", "bad")
+    path_label = label.groupBy("path").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g"))
+    path_part = parts.where("side = 'p'").join(path_label, F.col("text") == F.col("path")).select("part", "b", "g")
+    host_words = words.where("side = 'h'").join(host_part, "part").select("side", "word", "bad")
+    path_words = words.where("side = 'p'").join(path_part, "part")
     host_count = host_words.groupBy("side", "word").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g"))
     path_count = path_words.groupBy("side", "word").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
     counts = host_count.unionByName(path_count).select("side", "word", "b", "g", F.lit(0).alias("sb"), F.lit(0).alias("sg"))
@@ -173,9 +179,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     weight = counts.join(F.broadcast(sums), "side").select("side", "word", F.greatest(F.lit(-clip), F.least(F.lit(clip), llr)).alias("w"))
 
     # Sums in whole millionths do not depend on the order of rows.
-    scored = words.join(weight, ["side", "word"]).groupBy("side", "text").agg(
+    scored = words.join(weight, ["side", "word"]).groupBy("side", "part").agg(
         (F.sum(F.round(F.col("w") * 1e6).cast("long")) / 1e6).alias("s"), F.sort_array(F.collect_set("word")).alias("words"))
-    scored = materialize(scored, "url-scores")
+    scored = materialize(scored.join(parts.select("part", "text"), "part"), "url-scores")
     h = scored.where("side = 'h'").select(F.col("text").alias("host"), F.col("s").alias("hs"), "words")
     p = scored.where("side = 'p'").select(F.col("text").alias("path"), F.col("s").alias("ps"))
     out = rows.join(h, "host", "left").join(p, "path", "left")

@@ -52,6 +52,18 @@ def test_edge_urls(spark):
     assert urls.judge(pages.where("page_id < 0")).count() == 0
 
 
+def test_a_very_long_path(spark):
+    """A path of a hundred thousand letters takes seconds, for only window-sized pieces of it travel."""
+    import time
+
+    path = "freecasinopage" * 7_143
+    pages = spark.createDataFrame([(1, f"http://plain.example.com/{path}"), (2, "http://casinobonus.net/x"), (3, f"http://h.com/{path}/y")], "page_id long, url string")
+    start = time.time()
+    rows = {r.id: r for r in urls.judge(pages).collect()}
+    assert time.time() - start < 60
+    assert rows[1].path == f"/{path}" and rows[2].verdict == "block"
+
+
 def test_best_split_against_all_splits():
     import itertools
     import math
