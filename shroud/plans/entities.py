@@ -31,7 +31,7 @@ PLACE = f"({_name(8, 1)} || substr('villburgfeldhafn', 4 * (doc_id % 4) + 1, 4))
 FIRM = f"({_name(12, 2)} || ' ' || substr('GroupWerkeWorksUnion', 5 * (doc_id % 4) + 1, 5))"
 _KIND = {"P": (P.PERSON, PERSON), "L": (P.LOCATION, PLACE), "O": (P.ORG, FIRM)}
 #: A sentence for each remainder of the id by 6; a letter stands for a name.
-SENTENCES = (("I had lunch with ", "P", " today."), ("P", " moved to ", "L", " last year."), ("They met ", "P", " at ", "O", " near ", "L", "."),
+SENTENCES = (("Yesterday we called on ", "P", " again."), ("P", " moved to ", "L", " last year."), ("They met ", "P", " at ", "O", " near ", "L", "."),
              ("Our office in ", "L", " hired ", "P", "."), ("O", " announced a plan in ", "L", "."), ("Please write to ", "P", " of ", "O", "."))
 
 

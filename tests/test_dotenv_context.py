@@ -76,8 +76,8 @@ def _gazetteer(spark):
 def test_contextual_cases(spark):
     pol = P.Policy(enabled={P.PERSON, P.LOCATION, P.ORG, P.EMAIL}, gazetteer=_gazetteer(spark))
     assert pol.contextual_status == "active"
-    rows = run_mask(spark, ["I had lunch with Barack Obama today.", "She just moved to Paris.",
-                            "Email John Smith at john@corp.com", "Springfield is low score", "Parisian"], pol)
+    rows = run_mask(spark, ["The tram took Barack Obama home.", "He has a flat in Paris now.",
+                            "Send John Smith a note: john@mill.example.com", "Springfield is low score", "Parisian"], pol)
     assert "[NAME]" in rows[0].masked_text and "Obama" not in rows[0].masked_text
     assert "[LOCATION]" in rows[1].masked_text and "Paris" not in rows[1].masked_text
     assert "[NAME]" in rows[2].masked_text and "[EMAIL]" in rows[2].masked_text
@@ -85,7 +85,7 @@ def test_contextual_cases(spark):
 
 
 def test_contextual_paths_agree(spark, monkeypatch):
-    texts = ["I had lunch with Barack Obama today in Paris.", "Barack Obamas Paris-Paris John Smith", None, "", "Paris", "Paris\u0301 é Paris"]
+    texts = ["The tram took Barack Obama across Paris.", "Barack Obamas Paris-Paris John Smith", None, "", "Paris", "Paris\u0301 é Paris"]
     ids = [0, 1, 2, 3, None, None]
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     pol = P.Policy(enabled={P.PERSON, P.LOCATION}, gazetteer=_gazetteer(spark))

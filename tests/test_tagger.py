@@ -94,12 +94,12 @@ def test_held_out_names(spark):
 
 def test_masking_with_a_tagger(spark):
     model = E.entity_model(spark, "/root/testdata/sf0.01")
-    df = spark.createDataFrame([(1, "I had lunch with Tora Belimpu today. Mail tora@corp.com"), (2, None), (3, "")], "id long, text string")
+    df = spark.createDataFrame([(1, "Yesterday we called on Tora Belimpu again. Mail tora@mill.example.com"), (2, None), (3, "")], "id long, text string")
     policy = P.Policy(enabled={P.PERSON, P.LOCATION, P.EMAIL}, tagger=model)
     assert policy.contextual_status == "active" and P.Policy().contextual_status == "no_gazetteer"
     rows = {r.id: r.masked_text for r in mask(df, "text", policy).collect()}
-    assert rows == {1: "I had lunch with [NAME] today. Mail [EMAIL]", 2: None, 3: ""}
+    assert rows == {1: "Yesterday we called on [NAME] again. Mail [EMAIL]", 2: None, 3: ""}
     off = mask(df, "text", P.Policy(enabled={P.EMAIL, P.LOCATION}, tagger=model)).where("id = 1").first()
-    assert off.masked_text == "I had lunch with Tora Belimpu today. Mail [EMAIL]"
+    assert off.masked_text == "Yesterday we called on Tora Belimpu again. Mail [EMAIL]"
     strict = P.Policy(enabled={P.PERSON}, tagger=model, contextual_min_score=1.01)
     assert not mask(df, "text", strict).where("id = 1").first().findings
