@@ -42,10 +42,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document: counts, a digest of the base spans, and all spans."""
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detect(docs, pii.train(docs))
-    counts = [F.expr(f"CAST(size(filter(pii, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}")
+    counts = [F.expr(f"CAST(size(filter(pii_base, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}")
               for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.expr(pii.listing("pii_base")), 256).alias("base_sha256"),
                         F.expr(pii.listing("pii")).alias("spans"))

@@ -135,3 +135,17 @@ def test_boosting_learns_and_scores_as_sql(spark):
     df = spark.createDataFrame([tuple(map(int, r)) for r in x[600:]], "a int, b int, c int")
     got = [r.p for r in df.selectExpr(f"{m.probability_sql(['a', 'b', 'c'])} AS p").collect()]
     assert np.allclose(got, p)
+
+
+def test_query_counts_the_base_spans(spark, tmp_path):
+    """Added spans are in the list of all spans only: counts and digest are the base patterns' own."""
+    cases = ["call (415) 555-2671 now", "host 10[.]0[.]0[.]1 up", "jane (at) corp (dot) com", "+49 30 1234567 and 030 1234 567", None, "a@b.co 1.2.3.4"]
+    texts = [*cases, *(f"tel 0049 30 {n:07d}, mail u{n}@corp.com, pay 4111 1111 1111 {n % 10000:04d}, sum {n} {n}" for n in range(1, 40_000, 131))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op6_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        b = base(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in b.split(",")) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(b.encode()).hexdigest()
+    assert any(len(r.spans) > len(base(texts[r.doc_id])) for r in rows)  # the method has added some
