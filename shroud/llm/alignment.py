@@ -1,20 +1,22 @@
 """Token alignment between two tokenizers, as an Arrow pipeline inside Spark tasks.
 
-A task cuts its rows into units of bounded bytes. A unit's texts are cut at
-single spaces, where both tokenizers always end a token (checked when they are
+A task cuts its rows into units of bounded bytes, and those into parts that are
+aligned one after the other, so that a worker holds the arrays of one part. A
+part's texts are cut at single spaces, where both tokenizers always end a token (checked when they are
 loaded; a text is left whole if they do not), and each distinct piece is
-tokenised once. Everything after that is columnar: token lists are flattened
+tokenised once; the tokens of short pieces are kept in Arrow arrays. Everything after that is columnar: token lists are flattened
 beside their parent indices, segmented cumulative sums of token lengths give
 each token's end in its piece, and an Acero hash join on (piece, end) pairs the
 ends of both sides. In order of that key every row of the full join is one
 overlapping pair of tokens, and rows with both ends are the cuts between
-groups. ``Table.group_by`` counts the id pairs of a unit; Spark adds those
+groups. ``Table.group_by`` counts the id pairs of a part, numbered alike in all
+parts of a unit, whose counts leave it once; Spark adds those
 partial counts up, finds each B id's highest, and hands every unit the totals
 of its own pairs only, in a co-grouping on the unit number.
 
 Null and empty texts, and texts that one of the tokenizers does not give back
 byte for byte, have no tokens: zeros and an empty digest. A very long text is a
-unit of its own. Repeated rows and null ids count like any other row. An empty
+unit and a part of its own. Repeated rows and null ids count like any other row. An empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -35,10 +37,12 @@ from .common import materialize, need
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
-#: Bytes of text in a unit (a longer text is a unit of its own), and pieces whose tokens a worker keeps.
+#: Bytes of text in a unit and in a part of it (a longer text is one of its own), and pieces whose tokens a worker keeps.
 UNIT_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 KEPT_PIECES = 200_000
 KEPT_LENGTH = 48
+IDS = pa.list_(pa.int32())
 _MARK = "▁"
 #: The piece tokenizer reads its own mark as a space.
 _IRREGULAR = re.compile(rf"\A[\s{_MARK}]|[\s{_MARK}][\s{_MARK}]|[\s{_MARK}]\Z")
@@ -75,7 +79,10 @@ class TokenizerPair:
         inner = any(_MARK in p.lstrip(_MARK) for p in b_names)
         #: Whether every single space between two other characters starts a token on both sides.
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not inner
-        self.kept: dict[str, tuple[list[int], list[int]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept, self.kept_ids = pa.array([], pa.string()), [pa.array([], IDS)] * 2
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text; each stands for itself after one space."""
@@ -84,18 +91,19 @@ class TokenizerPair:
         return _SINGLE.split(text) if _IRREGULAR.search(text) else text.split(" ")
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        new = [p for p in pieces if p not in self.kept]
-        if new:
-            if len(self.kept) > KEPT_PIECES:
-                self.kept = {}
-                new = pieces
-            left = [e.ids for e in self.a.encode_batch([" " + p for p in new], add_special_tokens=False)]
-            self.kept.update(zip(new, zip(left, self.b.encode(new, num_threads=1))))
-        found = [self.kept[p] for p in pieces]
-        for p in new:
-            if len(p) > KEPT_LENGTH:
-                del self.kept[p]
-        return [x for x, _ in found], [y for _, y in found]
+        left = [e.ids for e in self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+        return left, self.b.encode(pieces, num_threads=1)
+
+    def tokens(self, pieces: pa.StringArray) -> list[pa.ListArray]:
+        """Ids of distinct pieces under both tokenizers; those of short pieces are kept for later parts."""
+        if len(self.kept) > KEPT_PIECES:
+            self._forget()
+        new = pieces.filter(pc.invert(pc.is_in(pieces, value_set=self.kept)))
+        known = pa.concat_arrays([self.kept, new])
+        ids = [pa.concat_arrays([x, pa.array(y, IDS)]) for x, y in zip(self.kept_ids, self.encode(new.to_pylist()))]
+        place, short = pc.index_in(pieces, value_set=known), pc.less_equal(pc.utf8_length(known), KEPT_LENGTH)
+        self.kept, self.kept_ids = known.filter(short), [x.filter(short) for x in ids]
+        return [x.take(place) for x in ids]
 
 
 _PAIRS: dict[tuple[str, str], TokenizerPair] = {}
@@ -114,7 +122,7 @@ def tokenizer_pair(byte_path: str | None = None, piece_path: str | None = None)
     return _PAIRS[paths]
 
 
-# ------------------------------------------------------------------ one unit
+# ------------------------------------------------------------------ one part
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -127,8 +135,7 @@ def _segments(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
 class Side:
     """One tokenizer's tokens of all pieces: ids, the piece of each, and its end there in bytes."""
 
-    def __init__(self, lists: list[list[int]], lengths: pa.Array, data: pa.Array):
-        tokens = pa.array(lists, pa.list_(pa.int32()))
+    def __init__(self, tokens: pa.ListArray, lengths: pa.Array, data: pa.Array):
         self.ids = pc.list_flatten(tokens)
         self.piece = pc.list_parent_indices(tokens).to_numpy()
         total = pc.cumulative_sum(pc.take(lengths, self.ids)).to_numpy()
@@ -146,12 +153,12 @@ class Side:
 
 
 def align(texts: list[str | None], pair: TokenizerPair) -> tuple[dict[str, pa.Array], dict[str, pa.Array]]:
-    """Columns of the unit's texts ``(n_a, n_b, n_groups, n_links, groups, pairs, times)`` and of its id pairs ``(pair, a, b, n)``."""
+    """Columns of the part's texts ``(n_a, n_b, n_groups, n_links, groups, pairs, times)`` and of its id pairs ``(pair, a, b, n)``."""
     lists = pa.array([pair.split(t) if t else [] for t in texts], pa.list_(pa.string()))
     words = pc.list_flatten(lists).dictionary_encode()
     doc, piece = pc.list_parent_indices(lists).to_numpy(), words.indices.to_numpy(zero_copy_only=False)
     pieces = words.dictionary
-    left, right = (Side(x, pair.lengths[s], pair.bytes[s]) for s, x in enumerate(pair.encode(pieces.to_pylist())))
+    left, right = (Side(x, pair.lengths[s], pair.bytes[s]) for s, x in enumerate(pair.tokens(pieces)))
     wanted = pc.binary_join_element_wise(pa.scalar(b"", pa.binary()), pc.cast(pieces, pa.binary()), pa.scalar(b" ", pa.binary()))
     good = pc.and_(pc.equal(left.joined, wanted), pc.equal(right.joined, wanted)).to_numpy(zero_copy_only=False)
     n_pieces, n_docs = len(pieces), len(texts)
@@ -204,11 +211,11 @@ def _one(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
 
 # -------------------------------------------------------------- whole corpus
 
-def _units(texts: list[str | None]) -> Iterator[slice]:
-    start = size = 0
+def _units(texts: list[str | None], most: int | None = None) -> Iterator[slice]:
+    most, start, size = most or UNIT_BYTES, 0, 0
     for n, t in enumerate(texts):
         more = len(t or "")
-        if size and size + more > UNIT_BYTES:
+        if size and size + more > most:
             yield slice(start, n)
             start, size = n, 0
         size += more
@@ -216,6 +223,40 @@ def _units(texts: list[str | None]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+class PairNumbers:
+    """The id pairs of a unit, numbered as its parts bring them, and how many links hold each."""
+
+    def __init__(self):
+        self.number: dict[int, int] = {}
+        self.links: list[int] = []
+
+    def add(self, lists: pa.ListArray, pairs: dict[str, pa.Array]) -> pa.ListArray:
+        """Take a part's pairs in; its texts' lists of pairs with the numbers of the unit."""
+        a, b, old = (pairs[c].to_numpy().astype(np.int64) for c in ("a", "b", "pair"))
+        renumbered = np.zeros(old.max(initial=-1) + 1, np.int32)
+        for key, at, n in zip(((a << 32) | b).tolist(), old.tolist(), pairs["n"].to_pylist()):
+            renumbered[at] = place = self.number.setdefault(key, len(self.links))
+            if place == len(self.links):
+                self.links.append(0)
+            self.links[place] += n
+        return _segments(lists.offsets.to_numpy(), pa.array(renumbered[lists.values.to_numpy()]))
+
+    def columns(self) -> dict[str, pa.Array]:
+        ids = np.fromiter(self.number, np.int64, len(self.number))
+        return {"pair": pa.array(np.arange(len(ids), dtype=np.int32)), "a": pa.array((ids >> 32).astype(np.int32)),
+                "b": pa.array((ids & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(self.links, pa.int64())}
+
+
+def align_unit(texts: list[str | None], pair: TokenizerPair) -> Iterator[tuple[slice | None, dict[str, pa.Array]]]:
+    """The columns of each part of a unit's texts with its place, then (place None) those of the unit's id pairs."""
+    numbers = PairNumbers()
+    for part in _units(texts, PART_BYTES):
+        found, pairs = align(texts[part], pair)
+        found["pairs"] = numbers.add(found["pairs"], pairs)
+        yield part, found
+    yield None, numbers.columns()
+
+
 def aligned_units(docs: DataFrame, id_col: str, text_col: str, byte_path: str | None, piece_path: str | None) -> DataFrame:
     """Both kinds of rows of every unit: its texts (``a`` is null) and its id pairs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -229,12 +270,12 @@ def aligned_units(docs: DataFrame, id_col: str, text_col: str, byte_path: str |
 
         pair, unit = tokenizer_pair(byte_path, piece_path), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in _units(texts):
-                found, pairs = align(texts[part], pair)
-                for got, n in ((found | {"id": batch.column("id")[part]}, part.stop - part.start), (pairs, len(pairs["a"]))):
-                    got["unit"] = pa.array(np.full(n, unit), pa.int64())
-                    kinds = {c: batch.schema.field("id").type if c == "id" else arrow[k] for c, k in columns.items()}
+            texts, ids = batch.column("text").to_pylist(), batch.column("id")
+            for of in _units(texts):
+                for part, got in align_unit(texts[of], pair):
+                    n = len(got["n"]) if part is None else part.stop - part.start
+                    got |= {"unit": pa.array(np.full(n, unit), pa.int64())} | ({} if part is None else {"id": ids[of][part]})
+                    kinds = {c: ids.type if c == "id" else arrow[k] for c, k in columns.items()}
                     yield pa.RecordBatch.from_arrays([got[c] if c in got else pa.nulls(n, t) for c, t in kinds.items()], list(columns))
                 unit += 1
 

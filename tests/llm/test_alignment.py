@@ -116,6 +116,37 @@ def test_units_of_any_size(monkeypatch):
             assert [x for p in parts for x in p[name].to_pylist()] == whole[name].to_pylist()
 
 
+def test_a_unit_is_aligned_in_bounded_parts(monkeypatch):
+    pair, texts = alignment.tokenizer_pair(), [t for _, t in odd_rows()]
+    whole, pairs = alignment.align(texts, pair)
+    ids = dict(zip(pairs["pair"].to_pylist(), zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())))
+    want = [sorted(zip(map(ids.get, p), n)) for p, n in zip(whole["pairs"].to_pylist(), whole["times"].to_pylist())]
+    seen, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda part, pair: seen.append(part) or align(part, pair))
+    for size, kept in ((1, 0), (40, 20), (5000, 10**6)):
+        monkeypatch.setattr(alignment, "PART_BYTES", size)
+        monkeypatch.setattr(alignment, "KEPT_PIECES", kept)
+        seen.clear()
+        *parts, (place, total) = alignment.align_unit(texts, pair)
+        assert place is None and [t for part in seen for t in part] == texts
+        assert all(sum(len(t or "") for t in part) <= size or sum(map(bool, part)) == 1 for part in seen)
+        ids = list(zip(total["a"].to_pylist(), total["b"].to_pylist()))
+        assert total["pair"].to_pylist() == list(range(len(ids))) and len(set(ids)) == len(ids)
+        assert Counter(dict(zip(ids, total["n"].to_pylist()))) == Counter(
+            {(a, b): n for a, b, n in zip(*(pairs[c].to_pylist() for c in ("a", "b", "n")))})
+        got = [sorted(zip((ids[k] for k in p), n)) for _, f in parts for p, n in zip(f["pairs"].to_pylist(), f["times"].to_pylist())]
+        assert got == want
+
+
+def test_kept_tokens_take_few_bytes():
+    pair = alignment.TokenizerPair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    words = [f"w{n}" for n in range(5000)] + ["long" * 100]
+    given = alignment.pa.array(words)
+    pair.tokens(given)
+    assert [x.to_pylist() for x in pair.tokens(given)] == [list(x) for x in pair.encode(words)]
+    assert len(pair.kept) == 5000 and sum(x.nbytes for x in (pair.kept, *pair.kept_ids)) < 100 * 5000
+
+
 def test_pieces_encode_like_whole_texts():
     pair, rng = alignment.tokenizer_pair(), random.Random(1)
     assert pair.cuts
