@@ -7,7 +7,9 @@ counts of their windows; a window is final, and written once, when the
 watermark after a batch has passed its end, and open ones are carried on to the
 next batch. Everything is written per batch id (late rows, counts, finished and
 open windows, the watermark), so a replayed batch replaces what it wrote. Counts
-are pre-aggregated: a batch adds one row for each window and category.
+are pre-aggregated: a batch adds one row for each window and category. A batch
+is read once, into a table that holds each row's counts instead of its findings;
+everything else reads that table, so detection runs once for each row.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.report import counts_sql
-from ..operators.detect import guard
 from .stream import _delete_paths, _path_exists
 
 MARK_SCHEMA = "watermark timestamp"
@@ -44,13 +45,16 @@ def run_window_report(found: DataFrame, ts: str, sink: str, late_sink: str, chec
     def step(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         mark = watermark_before(spark, root, batch_id)
+        put = lambda df, place: df.write.mode("overwrite").parquet(place)
+        # A micro-batch is computed anew, detection included, by every action on it.
+        counted = batch.withColumn("__n", F.expr(counts_sql(findings))).drop(findings)
+        put(counted, f"{root}/rows/b={batch_id}")
+        batch = spark.read.schema(counted.schema).parquet(f"{root}/rows/b={batch_id}")
         rows = batch.withColumn("__w", F.window(ts, window))  # leaves out rows without a time
         late = F.lit(False) if mark is None else F.col("__w.end") <= F.lit(mark)
-        put = lambda df, place: df.write.mode("overwrite").parquet(place)
-        aside = rows.where(late).drop("__w").unionByName(batch.where(F.col(ts).isNull())).drop(findings)
+        aside = rows.where(late).drop("__w").unionByName(batch.where(F.col(ts).isNull())).drop("__n")
         put(aside, f"{late_sink.rstrip('/')}/batch_id={batch_id}")
-        in_time = guard(rows.where(~late).select("__w", findings), findings)
-        parts = in_time.select("__w", F.explode(F.expr(counts_sql(findings))).alias("category", "n"))
+        parts = rows.where(~late).select("__w", F.explode("__n").alias("category", "n"))
         parts = parts.groupBy("__w", "category").agg(F.sum("n").cast("long").alias("n_findings"))
         put(parts.select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), "category", "n_findings"),
             f"{root}/parts/b={batch_id}")
@@ -65,6 +69,7 @@ def run_window_report(found: DataFrame, ts: str, sink: str, late_sink: str, chec
         ended = F.lit(False) if now is None else F.col("window_end") <= F.lit(now)
         put(counts.where(ended), f"{sink.rstrip('/')}/batch_id={batch_id}")
         put(counts.where(~ended), f"{root}/open/b={batch_id}")
+        _delete_paths(spark, [f"{root}/rows/b={batch_id}"])
         # The tables of the batch before stay: this batch may be replayed.
         _delete_paths(spark, [f"{root}/{kind}/b={batch_id - 2}" for kind in ("parts", "open", "watermark") if batch_id >= 2])
 

@@ -66,3 +66,25 @@ def test_windows_close_once_and_late_rows_stay(spark, tmp_path):
     final = {(r.window_start.timestamp() % 86400, r.category): r.n_findings for r in spark.read.parquet(sink).collect()}
     assert final == {(0, "email"): 2 * 2, (60, "email"): 2 * 2, (120, "email"): 2 * 2, (180, "email"): 2, (360, "email"): 2 * 2}
     assert sorted(r.id for r in spark.read.parquet(aside).collect()) == [10, 20, 21, 30]
+
+
+def test_a_batch_is_detected_once(spark, tmp_path):
+    src, sink, aside, ck = (str(tmp_path / n) for n in ("in", "out", "late", "ck"))
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<category:string>>")
+    def detect(text):
+        runs.add(1)
+        return [("email",)] * text.count("@") if text else None
+
+    rows_of(spark, []).write.parquet(src)
+    for b, times in enumerate([[0, 61, 130], [10, 65, None, 400]]):
+        rows = rows_of(spark, times, 10 * b)
+        rows.write.mode("append").parquet(src)
+        found = S.read_stream(spark, src, rows.schema).withColumn("findings", detect("text"))
+        L.run_window_report(found, "ts", sink, aside, ck, "1 minute", "60 seconds")
+    assert runs.value == 7
+    assert sorted((r.window_start.timestamp() % 86400, r.n_findings) for r in spark.read.parquet(sink).collect()) == [(0, 2), (60, 4), (120, 2)]
+    late = spark.read.parquet(aside)
+    assert late.columns == ["id", "ts", "text", "batch_id"] and sorted(r.id for r in late.collect()) == [10, 12]
+    assert not os.listdir(f"{ck}/report/rows") or all(n.endswith(".crc") for n in os.listdir(f"{ck}/report/rows"))
